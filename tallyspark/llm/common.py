@@ -105,3 +105,9 @@ def span_digest(df: DataFrame, id_col: str, base: list[str]) -> DataFrame:
         F.sha2(span_text(spans_of(F.col("found"), *base)), 256).alias("base_sha256"),
         span_text(F.col("found")).alias("spans"),
     )
+
+
+def on_plain_names(docs: DataFrame, change: Callable[[DataFrame, Callable[[str], str]], DataFrame]) -> DataFrame:
+    """change(docs, name_of) over columns called _c0, _c1 and so on, then the own names again: results can't clash with them."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return change(docs.toDF(*names.values()), names.__getitem__).select(*names.values()).toDF(*names)

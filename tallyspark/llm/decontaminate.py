@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import az_lower, materialize, text_key
+from .common import az_lower, materialize, on_plain_names, text_key
 
 #: Fixed word rule: a-z, 0-9 and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -121,6 +121,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without any hit, with the columns they had."""
-    return find_contamination(docs, benchmark, **options).where("n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return on_plain_names(docs, lambda d, name: find_contamination(d, benchmark, name(id_col), name(text_col), **options).where("n_hit = 0"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, az_lower, materialize, text_key
+from .common import SPACES, az_lower, materialize, on_plain_names, text_key
 
 
 def split_lines(text: Column) -> Column:
@@ -40,7 +40,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if min_docs == 2:  # two distinct holders: the smallest isn't the largest; no distinct step is needed
         common = lines.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
     else:
-        holders = lines.groupBy("h1", "h2", "_id").agg()
+        holders = lines.select("h1", "h2", "_id").distinct()
         common = holders.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     doomed = lines.join(common.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("_id") > F.col("first"))
     places = doomed.groupBy("_id", "_key").agg(F.collect_set("pos").alias("_gone"))
@@ -55,3 +55,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         n.cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input with the text replaced by its kept lines, and nothing else changed."""
+    return on_plain_names(docs, lambda d, name: drop_repeated_lines(d, name(id_col), name(text_col), **options))

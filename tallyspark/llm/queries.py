@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, line_dedup, near_dedup, packing, pii, quality, secrets, tokens
+from . import chat, common, decontaminate, katz, line_dedup, near_dedup, packing, pii, quality, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,11 @@ def minhash_query(spark, sf_dir):
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), size=4)
 
 
+def katz_query(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return katz.score(docs, katz.train(docs))
+
+
 def decontamination_query(spark, sf_dir):
     found = decontaminate.find_contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_token_counts": tokens_query,
     "op6_personal_data": pii_query,
     "op7_minhash": minhash_query,
+    "op8_katz": katz_query,
     "op9_decontamination": decontamination_query,
     "op10_packing": packing_query,
 }
