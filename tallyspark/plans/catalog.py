@@ -1,4 +1,454 @@
-"""All registered queries of the engine, with their DuckDB SQL."""
+"""All registered queries of the engine, with their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Driver tables stand in for quantification data: an order is a read, a part a feature, quantity a likelihood, size an
+effective length, brand a gene, ship month or priority a sample, a supplier's shipping window an interval.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import scalar
+from ..operators import features, graph, intervals, likelihood, sampling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads(spark, sf_dir):
+    return likelihood.likelihood_table(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
+
+
+def parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.col("p_size").cast("double").alias("efflen"))
+
+
+_X = "x AS (SELECT l_orderkey AS read, l_partkey AS feature, sum(l_quantity) AS prob FROM lineitem GROUP BY ALL)"
+_ROUND = """y{b} AS (SELECT p.feature, coalesce(c, 0) / (SELECT sum(c) FROM c{b}) AS y FROM y{a} p LEFT JOIN c{b} USING (feature))"""
+_COUNT = """c{b} AS (SELECT feature, sum(w / t) AS c FROM (SELECT read, feature, prob * y AS w, sum(prob * y) OVER (PARTITION BY read) AS t FROM x JOIN y{a} USING (feature)) GROUP BY feature)"""
+_EM = ", ".join(["y0 AS (SELECT p_partkey AS feature, 1.0 / (SELECT count(*) FROM part) AS y FROM part)"] + [(_COUNT + ", " + _ROUND).format(a=i, b=i + 1) for i in range(3)])
+
+
+@query(f"WITH {_X} SELECT read, feature, prob FROM x")
+def likelihood_coo(spark, sf_dir):
+    return reads(spark, sf_dir)
+
+
+@query(f"""WITH {_X}, {_EM}, r AS (SELECT y3.feature, y / p_size AS rate FROM y3 JOIN part ON p_partkey = feature)
+SELECT feature, round(1e6 * rate / (SELECT sum(rate) FROM r), 5) AS tpm FROM r""")
+def em_tpm_fixed3(spark, sf_dir):
+    f = parts(spark, sf_dir)
+    return likelihood.to_tpm(likelihood.em(reads(spark, sf_dir), f, rounds=3), f).select("feature", F.round("tpm", 5).alias("tpm"))
+
+
+_ROWS = "rows AS (SELECT read, list(feature ORDER BY feature) AS features, list(prob ORDER BY feature) AS probs FROM x GROUP BY read)"
+
+
+@query(f"WITH {_X}, {_ROWS} SELECT array_to_string(features, ',') AS features, array_to_string(list_transform(probs, lambda p: CAST(p AS BIGINT)), ',') AS probs, count(*) AS n FROM rows GROUP BY ALL")
+def eq_classes_exact(spark, sf_dir):
+    c = likelihood.exact_classes(reads(spark, sf_dir))
+    return c.select(F.array_join(c.features.cast("array<string>"), ",").alias("features"), F.array_join(c.probs.cast("array<bigint>").cast("array<string>"), ",").alias("probs"), F.col("count").alias("n"))
+
+
+_LINES = "x AS (SELECT l_suppkey AS read, l_returnflag || l_linestatus AS feature, sum(l_quantity) AS prob FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_LINES}, {_ROWS},
+s AS (SELECT read, features, unnest(features) AS feature, unnest(probs) AS prob FROM rows),
+b AS (SELECT *, min(prob) OVER w AS low, max(prob) OVER w AS high, 4 + ceil(sqrt(count(*) OVER w)) AS bins FROM s WINDOW w AS (PARTITION BY features, feature)),
+f AS (SELECT read, features, feature, CASE WHEN high = low THEN 0 ELSE least(floor((prob - low) / ((high - low) / bins)), bins - 1) END AS bin FROM b),
+g AS (SELECT read, features, list(CAST(bin AS BIGINT) ORDER BY feature) AS bins FROM f GROUP BY read, features)
+SELECT array_to_string(features, ',') AS features, array_to_string(bins, ',') AS bins, count(*) AS n FROM g GROUP BY features, g.bins""")
+def eq_classes_range(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("kind", F.concat("l_returnflag", "l_linestatus"))
+    c = likelihood.range_classes(likelihood.likelihood_table(lines, "l_suppkey", "kind", "l_quantity"))
+    return c.select(F.array_join("features", ",").alias("features"), F.array_join(c.bins.cast("array<bigint>").cast("array<string>"), ",").alias("bins"), F.col("count").alias("n"))
+
+
+@query(f"WITH {_X} SELECT round(sum(ln(p)), 4) AS log_likelihood FROM (SELECT sum(prob * (1.0 / (SELECT count(*) FROM part))) AS p FROM x GROUP BY read)")
+def log_likelihood(spark, sf_dir):
+    f = parts(spark, sf_dir)
+    return likelihood.log_likelihood(reads(spark, sf_dir), likelihood.em(reads(spark, sf_dir), f, rounds=0)).select(F.round("log_likelihood", 4).alias("log_likelihood"))
+
+
+def windows(spark, sf_dir):
+    """Per line: supplier, ship day, last day, by return flag R as the wide windows and the others as fragments."""
+    day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", day.cast("long").alias("first"), (day + F.col("l_quantity")).cast("long").alias("last"), "l_returnflag").distinct()
+    wide = rows.where("l_returnflag = 'R'").select("l_suppkey", F.col("first").alias("o_first"), (F.col("last") + 20).alias("o_last"))
+    return wide, rows.where("l_returnflag <> 'R'").select("l_suppkey", F.col("first").alias("i_first"), F.col("last").alias("i_last"))
+
+
+_WINDOWS = """r AS (SELECT DISTINCT l_suppkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS f, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS l, l_returnflag FROM lineitem),
+o AS (SELECT l_suppkey, f AS o_first, l + 20 AS o_last FROM r WHERE l_returnflag = 'R'), i AS (SELECT l_suppkey, f AS i_first, l AS i_last FROM r WHERE l_returnflag <> 'R')"""
+
+
+@query(f"WITH {_WINDOWS} SELECT l_suppkey, count(*) AS pairs, CAST(sum(i_last - i_first) AS BIGINT) AS inside FROM o JOIN i USING (l_suppkey) WHERE o_first <= i_first AND i_last <= o_last GROUP BY 1")
+def interval_containment(spark, sf_dir):
+    return intervals.containment_join(*windows(spark, sf_dir), "l_suppkey", 128).groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.col("i_last") - F.col("i_first")).alias("inside"))
+
+
+@query(f"WITH {_WINDOWS} SELECT l_suppkey, count(*) AS pairs, min(least(o_last, i_last) - greatest(o_first, i_first) + 1) AS least_shared FROM o JOIN i USING (l_suppkey) WHERE o_first <= i_last AND i_first <= o_last GROUP BY 1")
+def interval_overlap_min(spark, sf_dir):
+    shared = F.least("o_last", "i_last") - F.greatest("o_first", "i_first") + 1
+    return intervals.overlap_join(*windows(spark, sf_dir), "l_suppkey", 128).groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.min(shared).alias("least_shared"))
+
+
+@query(f"""WITH {_WINDOWS}, p AS (SELECT *, max(i_last) OVER (PARTITION BY l_suppkey ORDER BY i_first, i_last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR i_first > reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY i_first, i_last ROWS UNBOUNDED PRECEDING) AS k FROM p)
+SELECT l_suppkey, min(i_first) AS first, max(i_last) AS last, count(*) AS members FROM n GROUP BY l_suppkey, k""")
+def interval_union_islands(spark, sf_dir):
+    return intervals.islands(windows(spark, sf_dir)[1], ["l_suppkey"], "i_first", "i_last")
+
+
+@query("""WITH p AS (SELECT user_id, epoch_us(ts) AS t FROM events), q AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS new FROM p),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS k FROM q) SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS members FROM n GROUP BY user_id, k""")
+def gap_merge_clusters(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return intervals.gap_clusters(e, ["user_id"], "t", 3_600_000_000)
+
+
+_MATES = """m AS (SELECT DISTINCT l_orderkey AS read, l_suppkey AS place, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS mate, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS l, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 10 AS r FROM lineitem)"""
+
+
+@query(f"""WITH {_MATES}, p AS (SELECT DISTINCT a.read, a.place, least(a.l, b.l) AS first, greatest(a.r, b.r) AS last FROM m a JOIN m b ON a.read = b.read AND a.place = b.place AND a.mate = 1 AND b.mate = 2 WHERE greatest(a.r, b.r) - least(a.l, b.l) <= 1000),
+s AS (SELECT DISTINCT read, place, l AS first, r AS last FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.read = b.read AND a.place = b.place AND a.mate <> b.mate))
+SELECT place, single, count(*) AS n, CAST(sum(last - first) AS BIGINT) AS span FROM (SELECT *, false AS single FROM p UNION ALL SELECT *, true FROM s) GROUP BY ALL""")
+def pair_join_distance(spark, sf_dir):
+    day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("long")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_suppkey").alias("place"), F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(2).alias("mate"), day.alias("left"), (day + 10).alias("right")).distinct()
+    return intervals.pair_mates(m, ["read", "place"], 1000).groupBy("place", "single").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first")).alias("span"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type GROUP BY user_id")
+def adjacent_dedup(spark, sf_dir):
+    return intervals.drop_adjacent_equal(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def lengths(spark, sf_dir):
+    return features.length_distribution(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 8).cast("long").alias("length")))
+
+
+_PMF = "n AS (SELECT l, (SELECT count(*) FROM lineitem WHERE CAST(l_quantity * 8 AS BIGINT) = l) AS n FROM range(1, 2001) t(l)), d AS (SELECT l, (n + 1) / ((SELECT sum(n) FROM n) + 2000) AS pmf FROM n)"
+
+
+@query(f"WITH {_PMF}, c AS (SELECT l AS length, pmf, sum(pmf) OVER (ORDER BY l) AS cdf FROM d) SELECT length, round(pmf, 8) AS pmf, round(cdf, 7) AS cdf, length = (SELECT min(length) FROM c WHERE cdf >= 0.5) AS is_median FROM c")
+def length_pmf_cdf_median(spark, sf_dir):
+    d = lengths(spark, sf_dir)
+    median = d.where("cdf >= 0.5").agg(F.min("length").alias("m"))
+    return d.crossJoin(F.broadcast(median)).select("length", F.round("pmf", 8).alias("pmf"), F.round("cdf", 7).alias("cdf"), (F.col("length") == F.col("m")).alias("is_median"))
+
+
+@query(f"WITH {_PMF} SELECT p_partkey, round(greatest(1, (SELECT sum(pmf * (p_size * 12 - l + 1)) FROM d WHERE l <= p_size * 12)), 5) AS efflen FROM part")
+def effective_length_simple(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 12).cast("long").alias("t"))
+    return features.effective_lengths(p, lengths(spark, sf_dir)).select("p_partkey", F.round("efflen", 5).alias("efflen"))
+
+
+def expression(spark, sf_dir):
+    """Quantity by order priority (sample) and part (feature)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return table(spark, sf_dir, "lineitem").join(o, "l_orderkey").groupBy(F.col("o_orderpriority").alias("sample"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("x"))
+
+
+_E = "e AS (SELECT o_orderpriority AS sample, l_partkey AS feature, sum(l_quantity) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+def brands(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.col("p_brand").alias("gene"), (F.col("p_size") <= 25).alias("small"))
+
+
+@query(f"WITH {_E} SELECT sample, p_brand AS gene, sum(x) AS x FROM e JOIN part ON p_partkey = feature GROUP BY ALL")
+def gene_rollup(spark, sf_dir):
+    return features.roll_up(expression(spark, sf_dir), brands(spark, sf_dir), "sample", "feature", "gene")
+
+
+@query(f"WITH {_E} SELECT sample, p_brand AS gene, round(ln(sum(x) FILTER (p_size <= 25)) - ln(sum(x) FILTER (p_size > 25)), 6) AS log_ratio FROM e JOIN part ON p_partkey = feature GROUP BY ALL HAVING sum(x) FILTER (p_size <= 25) > 0 AND sum(x) FILTER (p_size > 25) > 0")
+def isoform_fraction(spark, sf_dir):
+    sides = brands(spark, sf_dir).withColumn("side", F.when(F.col("small"), "include").otherwise("exclude"))
+    return features.log_ratios(expression(spark, sf_dir), sides, "sample", "feature", "gene").select("sample", "gene", F.round("log_ratio", 6).alias("log_ratio"))
+
+
+@query(f"""WITH {_E}, m AS (SELECT feature, median(x) AS m FROM e GROUP BY 1), t AS (SELECT * FROM m WHERE m > (SELECT quantile_cont(m, 0.95) FROM m))
+SELECT sample, round(median(m - x), 6) AS scale FROM e JOIN t USING (feature) GROUP BY 1""")
+def sample_scales(spark, sf_dir):
+    return features.sample_scales(expression(spark, sf_dir), "sample", "feature").select("sample", F.round("scale", 6).alias("scale"))
+
+
+@query("SELECT user_id, event_type, round(exp(avg(ln(value))), 6) AS mean, round(greatest(0.5, coalesce(stddev_samp(ln(value)), 0)), 6) AS std FROM events WHERE value > 0 GROUP BY 1, 2")
+def bootstrap_logmean_std(spark, sf_dir):
+    return sampling.bootstrap_summary(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value").select("user_id", "event_type", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("""WITH f AS (SELECT DISTINCT c_custkey AS sample, 'segment' AS factor, c_mktsegment AS level FROM customer UNION ALL SELECT DISTINCT c_custkey, 'nation', CASE WHEN c_nationkey % 5 = 0 THEN 'missing' ELSE CAST(c_nationkey % 5 AS VARCHAR) END FROM customer),
+l AS (SELECT factor, level, row_number() OVER (PARTITION BY factor ORDER BY level) AS rk FROM (SELECT DISTINCT factor, level FROM f))
+SELECT sample, f.factor || ':' || l.level AS "column", CASE WHEN f.level = l.level THEN 1 ELSE -1 END AS value FROM f JOIN l ON f.factor = l.factor AND rk > 1""")
+def design_matrix(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    one = c.select(F.col("c_custkey").alias("sample"), F.lit("segment").alias("factor"), F.col("c_mktsegment").alias("level"))
+    two = c.select(F.col("c_custkey").alias("sample"), F.lit("nation").alias("factor"), F.when(F.col("c_nationkey") % 5 != 0, (F.col("c_nationkey") % 5).cast("string")).alias("level"))
+    return features.design_columns(one.unionByName(two), "sample", balanced=True)
+
+
+@query("""WITH d AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), 
+e AS (SELECT quantile_cont(n_chars, [i / 15 FOR i IN [1,2,3,4,5,6,7,8,9,10,11,12,13,14]]) AS edges FROM d),
+b AS (SELECT len(list_filter(edges, lambda x: x < n_chars)) AS bin, quality FROM d, e), c AS (SELECT bin, count(*) FILTER (quality = 1) AS foreground, count(*) FILTER (quality = 0) AS background FROM b GROUP BY 1)
+SELECT CAST(bin AS INTEGER) AS bin, foreground, background, round(((foreground + 1) / ((SELECT sum(foreground) FROM c) + 15)) / ((background + 1) / ((SELECT sum(background) FROM c) + 15)), 6) AS ratio FROM c""")
+def quantile_hist_ratio(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("n_chars", "quality")
+    return sampling.quantile_histogram_ratio(d, "n_chars", "quality").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH n AS (SELECT lower(substr(p_name, i, 1)) AS context, lower(substr(p_name, i + 1, 1)) AS next FROM (SELECT p_name, unnest(range(1, length(p_name))) AS i FROM part)),
+c AS (SELECT context, next, count(*) AS n FROM n GROUP BY ALL), a AS (SELECT DISTINCT next FROM n), g AS (SELECT context, next FROM (SELECT DISTINCT context FROM n), a)
+SELECT context, next, coalesce(n, 0) + 1 AS n, round((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY context), 6) AS p FROM g LEFT JOIN c USING (context, next)""")
+def markov_context_counts(spark, sf_dir):
+    i = F.sequence(F.lit(1), F.char_length("p_name") - 1)
+    n = table(spark, sf_dir, "part").select("p_name", F.explode(i).alias("i")).select(F.lower(F.substring("p_name", F.col("i"), F.lit(1))).alias("context"), F.lower(F.substring("p_name", F.col("i") + 1, F.lit(1))).alias("next"))
+    return scalar.markov_counts(n, "context", "next").withColumn("p", F.round("p", 6))
+
+
+@query("SELECT doc_id, q, CAST(sum(CAST(lower(substr(text, i, 1)) IN ('e', 'n') AS INTEGER)) AS BIGINT) AS hits FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i, length(text) AS t FROM documents WHERE length(text) <= 2000) s, LATERAL (SELECT CAST((i - 1) * 4 // t AS INTEGER) AS q) GROUP BY ALL")
+def nt_frequency_bins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.char_length("text").between(1, 2000))
+    return scalar.quarter_counts(d, "doc_id", "text", "en")
+
+
+@query("SELECT page_id, reverse(translate(upper(substr(url, 8, 12)), 'ACGT', 'TGCA')) AS rc, length(substr(url, 8, 12)) - length(translate(upper(substr(url, 8, 12)), 'GC', '')) AS gc FROM pages")
+def revcomp_substring(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.upper(F.substring("url", 8, 12)).alias("s"))
+    return p.select("page_id", scalar.reverse_complement(F.col("s")).alias("rc"), scalar.gc_count(F.col("s")).alias("gc"))
+
+
+@query("SELECT p_partkey, 'part' || p_partkey AS id, split_part(p_brand, ' ', 1) AS parent, '' AS alias FROM part")
+def gff_attribute_parse(spark, sf_dir):
+    attrs = F.concat(F.lit("ID=part"), F.col("p_partkey"), F.lit(";Parent="), F.col("p_brand"), F.lit(",other;Name="), F.col("p_name"))
+    m = scalar.attributes(attrs)
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.first_value(m, "ID").alias("id"), scalar.first_value(m, "Parent").alias("parent"), scalar.first_value(m, "Alias").alias("alias"))
+
+
+@query("""WITH g AS (SELECT page_id, regexp_extract(url, '//([a-z]+)\\.', 1) AS host FROM pages)
+SELECT page_id, CASE WHEN host LIKE '%a%' THEN host ELSE 'unknown-gene-' || row_number() OVER (PARTITION BY host LIKE '%a%' ORDER BY page_id) END AS gene FROM g""")
+def gene_id_regex(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"//([a-z]+)\.", 1).alias("host"))
+    return scalar.genes_by_pattern(p, "page_id", "host", r"^[a-z]*a[a-z]*$")
+
+
+_KMERS = """s AS (SELECT doc_id, bin, min(h) AS value FROM (SELECT doc_id, h, h % 50 AS bin FROM (SELECT doc_id, CAST(('0x' || substr(md5(k), 1, 15)) AS BIGINT) AS h FROM (
+SELECT DISTINCT doc_id, substr(text, i, 12) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 10)) AS i FROM documents WHERE length(text) BETWEEN 12 AND 600)))) GROUP BY ALL)"""
+
+
+def sketches(spark, sf_dir):
+    return graph.kmer_sketch(table(spark, sf_dir, "documents").where(F.char_length("text").between(12, 600)), "doc_id", "text", 12, 50)
+
+
+@query(f"WITH {_KMERS} SELECT doc_id, bin, value FROM s")
+def minhash_sketch(spark, sf_dir):
+    return sketches(spark, sf_dir)
+
+
+@query(f"WITH {_KMERS} SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS matches FROM s a JOIN s b ON a.bin = b.bin AND a.value = b.value AND a.doc_id < b.doc_id GROUP BY ALL")
+def lsh_candidates(spark, sf_dir):
+    return graph.bin_collisions(sketches(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {_KMERS}, c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) FILTER (a.value = b.value) AS m, count(*) AS shared FROM s a JOIN s b ON a.bin = b.bin AND a.doc_id < b.doc_id GROUP BY ALL HAVING m > 0), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+SELECT u, v, round(m / (a.n + b.n - shared), 6) AS jaccard FROM c JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id""")
+def minhash_jaccard(spark, sf_dir):
+    return graph.sketch_jaccard(sketches(spark, sf_dir), "doc_id").withColumn("jaccard", F.round("jaccard", 6))
+
+
+_EDGES = "e AS (SELECT DISTINCT o_custkey AS u, 1000000 + l_suppkey * 10 + l_linenumber % 10 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 240000)"
+
+
+def edges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 240000")
+    return o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("u"), (1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber") % 10).alias("v")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS reached FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.reached = b.u)
+SELECT node, min(reached) AS component FROM r GROUP BY node""")
+def connected_components(spark, sf_dir):
+    return graph.connected_components(edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node")
+def degree_counts(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir))
+
+
+_NEAR = """k AS (SELECT a.vec_id AS u, b.vec_id AS v, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+n AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d, v) AS rk FROM k)"""
+
+
+def neighbours(spark, sf_dir, k):
+    e = table(spark, sf_dir, "embeddings")
+    return graph.nearest_neighbours(e, "vec_id", "embedding", k, e.where("vec_id % 100 = 0"))
+
+
+@query(f"WITH {_NEAR} SELECT u, v, round(d, 5) AS distance FROM n WHERE rk <= 5")
+def knn_edges(spark, sf_dir):
+    return neighbours(spark, sf_dir, 5).withColumn("distance", F.round("distance", 5))
+
+
+@query(f"WITH {_NEAR}, a AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM n WHERE rk <= 5), b AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM n WHERE rk BETWEEN 3 AND 8), c AS (SELECT * FROM a INTERSECT SELECT * FROM b), d AS (SELECT * FROM a UNION SELECT * FROM b) SELECT (SELECT count(*) FROM c) AS shared, (SELECT count(*) FROM d) AS total, round((SELECT count(*) FROM c) / (SELECT count(*) FROM d), 6) AS share")
+def knn_agreement(spark, sf_dir):
+    eight = neighbours(spark, sf_dir, 8).withColumn("at", F.row_number().over(W.partitionBy("u").orderBy("distance", "v")))
+    return graph.agreement(eight.where("at <= 5"), eight.where("at >= 3")).withColumn("share", F.round("share", 6))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND l_quantity > 40), n AS (SELECT c, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.c AS u, b.c AS v, count(*) AS m FROM s a JOIN s b ON a.p = b.p AND a.c < b.c GROUP BY ALL) SELECT u, v, round(m / (a.n + b.n - m), 6) AS jaccard FROM j JOIN n a ON u = a.c JOIN n b ON v = b.c""")
+def read_set_jaccard(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    s = o.join(table(spark, sf_dir, "lineitem").where("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p")).distinct()
+    return graph.set_jaccard(s, "c", "p").withColumn("jaccard", F.round("jaccard", 6))
+
+
+_MIX = "m AS (SELECT sample, p_brand AS gene, sum(x) AS x FROM e JOIN part ON p_partkey = feature GROUP BY ALL)"
+
+
+@query(f"WITH {_E}, {_MIX} SELECT a.sample, a.gene, round(ln(a.x / b.x), 6) AS alr FROM m a JOIN m b ON a.sample = b.sample AND b.gene = (SELECT max(gene) FROM m) WHERE a.gene <> b.gene")
+def alr_transform(spark, sf_dir):
+    m = gene_rollup(spark, sf_dir)
+    return scalar.additive_log_ratios(m, "sample", "gene", "x").withColumn("alr", F.round("alr", 6))
+
+
+@query(f"WITH {_E}, {_MIX}, c AS (SELECT sample, gene, ln(x) - avg(ln(x)) OVER (PARTITION BY sample) AS c FROM m) SELECT a.sample AS u, b.sample AS v, round(sqrt(avg((a.c - b.c) ** 2)), 6) AS distance FROM c a JOIN c b ON a.gene = b.gene AND a.sample < b.sample GROUP BY ALL")
+def clr_distance(spark, sf_dir):
+    return scalar.aitchison_distances(gene_rollup(spark, sf_dir), "sample", "gene", "x").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-sinh(0.3 + asinh(value / 10 - 1)))), 6) AS y FROM events")
+def skew_logit_normal(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(scalar.logistic(scalar.sinh_asinh(F.col("value") / 10 - 1, F.lit(0.3))), 6).alias("y"))
+
+
+@query("""WITH h AS (SELECT user_id, value, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 2 <= count(*) OVER (PARTITION BY user_id) THEN 0 ELSE 1 END AS half FROM events),
+p AS (SELECT user_id, half, count(*) AS m, avg(value) AS mean, var_samp(value) AS var FROM h GROUP BY ALL), b AS (SELECT user_id, min(m) AS m, avg(var) AS w, var_samp(mean) AS b FROM p GROUP BY 1)
+SELECT user_id, round(sqrt(((m - 1) / m * w + b) / w), 6) AS rhat FROM b WHERE m > 1 AND w > 0""")
+def split_rhat(spark, sf_dir):
+    return sampling.split_rhat(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value").withColumn("rhat", F.round("rhat", 6))
+
+
+@query("SELECT event_type, user_id, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1, 2")
+def draw_quantiles(spark, sf_dir):
+    q = sampling.draw_quantiles(table(spark, sf_dir, "events"), ["event_type", "user_id"], "value", (0.05, 0.5, 0.95))
+    return q.select("event_type", "user_id", *(F.round(c, 6).alias(c) for c in ("q05", "q50", "q95")))
+
+
+@query("SELECT user_id, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS spread FROM events GROUP BY 1 ORDER BY spread DESC, user_id LIMIT 20")
+def topk_features_spread(spark, sf_dir):
+    q = sampling.draw_quantiles(table(spark, sf_dir, "events"), ["user_id"], "value", (0.1, 0.9))
+    return q.select("user_id", F.round(F.col("q90") - F.col("q10"), 6).alias("spread")).orderBy(F.desc("spread"), "user_id").limit(20)
+
+
+@query("SELECT DISTINCT l_suppkey AS feature, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
+def distinct_feature_gene(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size > 45"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("feature"), F.col("p_brand").alias("gene")).distinct()
+
+
+@query("""WITH s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), p AS (SELECT *, n * 3 // 4 AS base, n * 3 % 4 AS rest FROM s), t AS (SELECT (SELECT sum(n) FROM p) * 3 // 4 - (SELECT sum(base) FROM p) AS more),
+q AS (SELECT c_mktsegment, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_mktsegment) <= more THEN 1 ELSE 0 END AS quota FROM p, t)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) <= quota AS training FROM customer JOIN q USING (c_mktsegment)""")
+def stratified_split(spark, sf_dir):
+    return sampling.stratified_split(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", 3, 4, "7").select("c_custkey", "training")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY md5('3:' || l_orderkey) LIMIT 200) GROUP BY 1")
+def reservoir_by_hash(spark, sf_dir):
+    return sampling.keep_random_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", 200, "3").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS gene, a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b USING (p_brand) WHERE a.p_partkey < b.p_partkey AND a.p_size = b.p_size")
+def exclusion_pairs(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("u"), "p_size")
+    return p.join(p.withColumnRenamed("u", "v"), ["gene", "p_size"]).where("u < v").select("gene", "u", "v")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part)) AS only_left, (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem)) AS only_right")
+def set_equality_check(spark, sf_dir):
+    a, b = table(spark, sf_dir, "lineitem").select("l_partkey").distinct(), table(spark, sf_dir, "part").select("p_partkey")
+    return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+
+
+def exons(spark, sf_dir):
+    """Transcripts made of orders' lines: an order is a transcript, 20 of them share a gene's place; exons lie on a coarse grid."""
+    li = table(spark, sf_dir, "lineitem")
+    first = (F.col("l_partkey") % 40) * 100 + F.col("l_linenumber") % 3
+    rows = li.select(F.col("l_orderkey").alias("transcript"), (F.col("l_orderkey") % 7).cast("string").alias("seqname"), (F.col("l_orderkey") % 2).alias("strand"), first.alias("first"), (first + 40 + F.when(F.col("l_quantity") > 40, 110).otherwise(F.col("l_suppkey") % 2)).alias("last"))
+    merged = intervals.islands(rows.withColumnsRenamed({"first": "f", "last": "l"}), ["transcript", "seqname", "strand"], "f", "l", 1)
+    return merged.select("transcript", "seqname", "strand", "first", "last")
+
+
+_EXONS = """r AS (SELECT l_orderkey AS transcript, CAST(l_orderkey % 7 AS VARCHAR) AS seqname, l_orderkey % 2 AS strand, (l_partkey % 40) * 100 + l_linenumber % 3 AS f,
+(l_partkey % 40) * 100 + l_linenumber % 3 + 40 + CASE WHEN l_quantity > 40 THEN 110 ELSE l_suppkey % 2 END AS l FROM lineitem),
+rp AS (SELECT *, max(l) OVER (PARTITION BY transcript ORDER BY f, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+rn AS (SELECT *, sum(CASE WHEN reach IS NULL OR f > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY transcript ORDER BY f, l ROWS UNBOUNDED PRECEDING) AS k FROM rp),
+x AS (SELECT transcript, seqname, strand, min(f) AS first, max(l) AS last FROM rn GROUP BY transcript, seqname, strand, k),
+near AS (SELECT *, lag(last) OVER (PARTITION BY transcript ORDER BY first) AS before, lead(first) OVER (PARTITION BY transcript ORDER BY first) AS after FROM x),
+introns AS (SELECT seqname, strand, last + 1 AS intron_first, after - 1 AS intron_last, list(DISTINCT transcript) AS ids FROM near WHERE after IS NOT NULL GROUP BY ALL)"""
+
+
+def _ids(column):
+    return F.md5(F.array_join(F.array_sort(column).cast("array<string>"), ",").cast("binary"))
+
+
+@query(f"""WITH {_EXONS}, t AS (SELECT seqname, strand, first, last, before + 1 AS intron_first, after - 1 AS intron_last, list(DISTINCT transcript) AS inc FROM near WHERE before IS NOT NULL AND after IS NOT NULL GROUP BY ALL)
+SELECT seqname, strand, first, last, intron_first, intron_last, md5(array_to_string(list_sort(inc), ',')) AS include, md5(array_to_string(list_sort(ids), ',')) AS exclude FROM t JOIN introns USING (seqname, strand, intron_first, intron_last)""")
+def splicing_cassette(spark, sf_dir):
+    return features.cassette_exons(exons(spark, sf_dir)).withColumns({"include": _ids("include"), "exclude": _ids("exclude")})
+
+
+@query(f"""WITH {_EXONS}, f AS (SELECT DISTINCT seqname, strand, before + 1 AS intron_first, after - 1 AS intron_last, first, last FROM near WHERE before IS NOT NULL AND after IS NOT NULL),
+p AS (SELECT *, max(last) OVER (PARTITION BY seqname, strand, intron_first, intron_last ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR first > reach THEN 1 ELSE 0 END) OVER (PARTITION BY seqname, strand, intron_first, intron_last ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS k FROM p),
+i AS (SELECT seqname, strand, intron_first, intron_last, min(first) AS a, max(last) AS b FROM n GROUP BY seqname, strand, intron_first, intron_last, k)
+SELECT seqname, strand, intron_first, intron_last, min(a) AS first_a, min(b) AS last_a, max(a) AS first_b, max(b) AS last_b FROM i GROUP BY 1, 2, 3, 4 HAVING count(*) = 2""")
+def splicing_mutex(spark, sf_dir):
+    return features.mutually_exclusive_exons(exons(spark, sf_dir))
+
+
+_SITE = """SELECT a.seqname, a.strand, a.fixed, a.site AS short, b.site AS long, '{side}' AS side, md5(array_to_string(list_sort(a.ids), ',')) AS include, md5(array_to_string(list_sort(b.ids), ',')) AS exclude
+FROM {t} a JOIN {t} b ON a.seqname = b.seqname AND a.strand = b.strand AND a.fixed = b.fixed AND abs(a.site - a.fixed) < abs(b.site - b.fixed) AND a.lo <= b.hi AND b.lo <= a.hi"""
+
+
+@query(f"""WITH {_EXONS}, s AS (SELECT seqname, strand, before AS fixed, first AS site, list(DISTINCT transcript) AS ids, min(first) AS lo, max(last) AS hi FROM near WHERE before IS NOT NULL GROUP BY ALL),
+e AS (SELECT seqname, strand, after AS fixed, last AS site, list(DISTINCT transcript) AS ids, min(first) AS lo, max(last) AS hi FROM near WHERE after IS NOT NULL GROUP BY ALL)
+{_SITE.format(side='start', t='s')} UNION ALL {_SITE.format(side='end', t='e')}""")
+def splicing_altsite(spark, sf_dir):
+    return features.alternative_sites(exons(spark, sf_dir)).withColumns({"include": _ids("include"), "exclude": _ids("exclude")})
+
+
+@query(f"""WITH {_EXONS} SELECT i.seqname, i.strand, intron_first, intron_last, md5(array_to_string(list_sort(list(DISTINCT transcript)), ',')) AS include, md5(array_to_string(list_sort(any_value(ids)), ',')) AS exclude
+FROM introns i JOIN x ON i.seqname = x.seqname AND i.strand = x.strand AND x.first <= intron_first AND intron_last <= x.last GROUP BY ALL""")
+def splicing_retained(spark, sf_dir):
+    return features.retained_introns(exons(spark, sf_dir)).withColumns({"include": _ids("include"), "exclude": _ids("exclude")})
+
+
+@query(f"""WITH {_EXONS} SELECT seqname AS gene, transcript, first, last, CASE WHEN before IS NULL THEN min(CASE WHEN before IS NULL THEN first END) OVER (PARTITION BY seqname, last) ELSE first END AS new_first,
+CASE WHEN after IS NULL THEN max(CASE WHEN after IS NULL THEN last END) OVER (PARTITION BY seqname, first) ELSE last END AS new_last FROM near""")
+def exon_extension(spark, sf_dir):
+    w = W.partitionBy("transcript").orderBy("first")
+    marked = exons(spark, sf_dir).withColumns({"initial": F.lag("last").over(w).isNull(), "terminal": F.lead("first").over(w).isNull()}).withColumnRenamed("seqname", "gene")
+    return intervals.exon_extension(marked).select("gene", "transcript", "first", "last", "new_first", "new_last")
