@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.scratch import materialize
+
 
 def kmer_sketch(texts: DataFrame, key: str, text: str, k: int, bins: int) -> DataFrame:
     """(key, bin, value): the smallest hash in each bin over the k-mers of a sequence; hashes are 60 bits of md5, the same in every engine."""
@@ -32,15 +34,15 @@ def sketch_jaccard(sketch: DataFrame, key: str) -> DataFrame:
 def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v), by min-label propagation with pointer jumping.
 
-    Labels are cut with checkpoint() each round, so that plans stay short and lost executors can be replaced.
+    Labels are written to the shared folder each round, so that plans stay short and lost executors can be replaced.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct().checkpoint()
+    both = materialize(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
     for _ in range(most):
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
         best = labels.join(heard, "node").withColumn("to", F.least("component", "heard"))
         jumped = best.join(labels.select(F.col("node").alias("to"), F.col("component").alias("further")), "to", "left")
-        following = jumped.select("node", F.least("to", F.coalesce("further", "to")).alias("component"), F.col("component").alias("was")).checkpoint()
+        following = materialize(jumped.select("node", F.least("to", F.coalesce("further", "to")).alias("component"), F.col("component").alias("was")), "labels")
         labels = following.select("node", "component")
         if following.where("component <> was").limit(1).count() == 0:
             break

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.scratch import materialize
+
 
 def likelihood_table(rows: DataFrame, read: str, feature: str, weight: str) -> DataFrame:
     """(read, feature, prob): duplicate entries are summed, combined in the map tasks."""
@@ -45,7 +47,7 @@ def em(table: DataFrame, features: DataFrame, rounds: int | None = None, toleran
     for number in range(most):
         y = em_round(table, y, small)
         if number % 5 == 4:
-            y = y.checkpoint()
+            y = materialize(y, "em")
             now = log_likelihood(table, y).first()[0]
             if before is not None and now - before < tolerance:
                 break
