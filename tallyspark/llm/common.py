@@ -1,17 +1,17 @@
-"""Shared helpers of the training-data operators: scratch tables, Arrow row maps, word rules."""
+"""Shared helpers of the training-data operators: Arrow row maps, spans, word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..plans.scratch import materialize, scratch_root  # noqa: F401
+
 #: ASCII letters, for lower-casing A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -20,27 +20,6 @@ SPACE_SET = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session without one gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and spark.sparkContext.getCheckpointDir():
-        root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def az_lower(text: Column) -> Column:
     """Lower-case A-Z only; text that is all ASCII takes the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
