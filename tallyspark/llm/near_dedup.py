@@ -21,9 +21,9 @@ from pyspark.sql import Window as W
 from .common import LOWER_BYTES, materialize
 
 ROWS, BANDS, BITS = 4, 24, 2
-HASHES = 128  # of which ROWS * BANDS make the bands; all make the signature
-#: Four of the estimate's standard deviations at 0.8 (0.17), and one more.
-MARGIN = 0.21
+HASHES = 256  # of which ROWS * BANDS make the bands; all make the signature
+#: Four and a half of the estimate's standard deviations at 0.8.
+MARGIN = 0.135
 _seeds = np.random.Generator(np.random.PCG64(20240607))
 XOR = _seeds.integers(0, 2**32, HASHES, np.uint32)
 TIMES = _seeds.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -191,7 +191,7 @@ def member_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
 
 def pivots_of(active: DataFrame, k: int) -> DataFrame:
-    """Of each band its k most popular members; ties go to the smaller class."""
+    """Of each band the k most popular of the given members; ties go to the smaller class."""
     order = F.struct((-F.col("popular")).alias("a"), F.col("c").alias("b"))
     if k == 1:
         best = active.groupBy("band").agg(F.min(order).alias("best")).select("band", F.col("best.b").alias("c"))
@@ -199,7 +199,7 @@ def pivots_of(active: DataFrame, k: int) -> DataFrame:
     return active.withColumn("at", F.row_number().over(W.partitionBy("band").orderBy(order))).where(F.col("at") <= k).drop("at")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pivots: int = 64) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
     Two texts are linked when 100 * intersection >= percent * union of their shingle sets. Null and empty texts and
@@ -207,9 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and it is kept. Rows that share an id each give a row by their own text; an empty table gives none; other
     columns are ignored.
 
-    A link at the threshold is missed with a chance of (1 - 0.8^4)^24 = 3e-6 by the bands and 1e-6 by the estimate.
-    Copies are collapsed before anything is paired. Each round pairs a bucket's members with few pivots, and only
-    where components differ; then the pivots leave the bucket, and a bucket of one component is done.
+    A link at the threshold is missed with a chance of (1 - 0.8^4)^24 = 3e-6 by the bands and 3e-6 by the estimate.
+    Copies are collapsed before anything is paired. The first round pairs a bucket's members with its most popular
+    one; later rounds take pivots outside the bucket's largest component, `pivots` at first and four times as many
+    each round, and pair them with members of other components. Pivots then leave the bucket, and a bucket of one
+    component is done.
     """
     rows = materialize(sketch(docs, id_col, text_col, size), "sketch")
     full = rows.where(F.col("_id").isNotNull() & (F.col("n") > 0))
@@ -220,11 +222,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(banded.join(shared, "band"), "members")
     signed = materialize(reps.select("c", "_id", "n", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
     texts = materialize(member_texts(docs, signed.select("c", "_id"), id_col, text_col), "texts")
-    active = materialize(members.select("band", "c").join(signed.drop("_id"), "c").withColumn("root", F.col("c")), "active")
+    signatures = signed.select("c", "n", *SIGNATURE)
+    active = members.select("band", "c").join(signed.select("c", "popular"), "c")
     roots = done = None
-    while active.limit(1).count():
-        pivot = pivots_of(active, 1 if roots is None else pivots)
-        p, m = pivot.alias("p"), active.alias("m")
+    while True:
+        if roots is None:
+            active = materialize(active.withColumns({"root": F.col("c"), "major": F.lit(None).cast("long")}), "active")
+        else:
+            named = active.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+            sizes = named.groupBy("band", "root").agg(F.count("*").alias("k"))
+            mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("most.root").alias("major"))
+            active = materialize(named.join(mixed, "band").select("band", "c", "popular", "root", "major"), "active")
+        if active.limit(1).count() == 0:
+            break
+        pivot = pivots_of(active, 1) if roots is None else pivots_of(active.where("root <> major"), pivots)
+        p, m = pivot.join(signatures, "c").alias("p"), active.join(signatures, "c").alias("m")
         near = p.join(
             m,
             (F.col("p.band") == F.col("m.band"))
@@ -237,9 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = pairs if done is None else done.union(pairs)
         links = confirm(pairs, texts, size, percent)
         roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        left = active.join(pivot.select("band", "c"), ["band", "c"], "left_anti").drop("root").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = left.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-        active = materialize(left.join(mixed, "band"), "active")
+        active = active.join(pivot.select("band", "c"), ["band", "c"], "left_anti").select("band", "c", "popular")
+        pivots *= 4
     by_class = classes.withColumn("root", F.col("c1"))
     if roots is not None:
         by_class = classes.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
