@@ -159,10 +159,10 @@ def length_pmf_cdf_median(spark, sf_dir):
     return d.crossJoin(F.broadcast(median)).select("length", F.round("pmf", 8).alias("pmf"), F.round("cdf", 7).alias("cdf"), (F.col("length") == F.col("m")).alias("is_median"))
 
 
-@query(f"WITH {_PMF} SELECT p_partkey, round(greatest(1, (SELECT sum(pmf * (p_size * 12 - l + 1)) FROM d WHERE l <= p_size * 12)), 5) AS efflen FROM part")
+@query(f"WITH {_PMF} SELECT p_partkey, round(greatest(1, (SELECT sum(pmf * (p_size * 12 - l + 1)) FROM d WHERE l <= p_size * 12)), 7) AS efflen FROM part")
 def effective_length_simple(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 12).cast("long").alias("t"))
-    return features.effective_lengths(p, lengths(spark, sf_dir)).select("p_partkey", F.round("efflen", 5).alias("efflen"))
+    return features.effective_lengths(p, lengths(spark, sf_dir)).select("p_partkey", F.round("efflen", 7).alias("efflen"))
 
 
 def expression(spark, sf_dir):
