@@ -24,6 +24,8 @@ ROWS, BANDS, BITS = 4, 24, 2
 HASHES = 256  # of which ROWS * BANDS make the bands; all make the signature
 #: Four and a half of the estimate's standard deviations at 0.8.
 MARGIN = 0.135
+#: Pivots of a bucket in the first rounds.
+POPULAR = (1, 8, 32)
 _seeds = np.random.Generator(np.random.PCG64(20240607))
 XOR = _seeds.integers(0, 2**32, HASHES, np.uint32)
 TIMES = _seeds.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -196,7 +198,7 @@ def pivots_of(active: DataFrame, k: int) -> DataFrame:
     if k == 1:
         best = active.groupBy("band").agg(F.min(order).alias("best")).select("band", F.col("best.b").alias("c"))
         return active.join(best, ["band", "c"], "left_semi")
-    return active.withColumn("at", F.row_number().over(W.partitionBy("band").orderBy(order))).where(F.col("at") <= k).drop("at")
+    return active.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy(order))).where(F.col("rank") <= k).drop("rank")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pivots: int = 64) -> DataFrame:
@@ -208,23 +210,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
 
     A link at the threshold is missed with a chance of (1 - 0.8^4)^24 = 3e-6 by the bands and 3e-6 by the estimate.
-    Copies are collapsed before anything is paired. The first round pairs a bucket's members with its most popular
-    one; later rounds take pivots outside the bucket's largest component, `pivots` at first and four times as many
+    Copies are collapsed before anything is paired. The first rounds pair a bucket's members with its most popular
+    ones; later rounds take pivots outside the bucket's largest component, `pivots` at first and four times as many
     each round, and pair them with members of other components. Pivots then leave the bucket, and a bucket of one
-    component is done.
+    component is done. A pair counts in the first band that it shares, and in no other.
     """
     rows = materialize(sketch(docs, id_col, text_col, size), "sketch")
     full = rows.where(F.col("_id").isNotNull() & (F.col("n") > 0))
     classes = materialize(full.groupBy("c1", "c2").agg(F.min("_id").alias("_id")), "classes")
     reps = full.join(classes, ["c1", "c2", "_id"], "left_semi").dropDuplicates(["c1", "c2"]).withColumnRenamed("c1", "c")
-    banded = reps.select("c", F.explode("bands").alias("band"))
+    banded = reps.select("c", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(banded.join(shared, "band"), "members")
-    signed = materialize(reps.select("c", "_id", "n", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
+    signed = materialize(reps.select("c", "_id", "n", "bands", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
     texts = materialize(member_texts(docs, signed.select("c", "_id"), id_col, text_col), "texts")
-    signatures = signed.select("c", "n", *SIGNATURE)
-    active = members.select("band", "c").join(signed.select("c", "popular"), "c")
+    signatures = signed.select("c", "n", "bands", *SIGNATURE)
+    active = members.select("band", "at", "c").join(signed.select("c", "popular"), "c")
     roots = done = None
+    number = 0
     while True:
         if roots is None:
             active = materialize(active.withColumns({"root": F.col("c"), "major": F.lit(None).cast("long")}), "active")
@@ -232,25 +235,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             named = active.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
             sizes = named.groupBy("band", "root").agg(F.count("*").alias("k"))
             mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("most.root").alias("major"))
-            active = materialize(named.join(mixed, "band").select("band", "c", "popular", "root", "major"), "active")
+            active = materialize(named.join(mixed, "band").select("band", "at", "c", "popular", "root", "major"), "active")
         if active.limit(1).count() == 0:
             break
-        pivot = pivots_of(active, 1) if roots is None else pivots_of(active.where("root <> major"), pivots)
+        if number < len(POPULAR):
+            pivot = pivots_of(active, POPULAR[number])
+        else:
+            pivot = pivots_of(active.where("root <> major"), pivots)
+            pivots *= 4
+        number += 1
         p, m = pivot.join(signatures, "c").alias("p"), active.join(signatures, "c").alias("m")
         near = p.join(
             m,
             (F.col("p.band") == F.col("m.band"))
             & (F.col("p.root") != F.col("m.root"))
             & (100 * F.least("p.n", "m.n") >= percent * F.greatest("p.n", "m.n"))
-            & (estimate("p", "m") >= percent / 100 - MARGIN),
+            & (estimate("p", "m") >= percent / 100 - MARGIN)
+            & ~F.arrays_overlap(F.slice("p.bands", F.lit(1), F.col("p.at")), F.slice("m.bands", F.lit(1), F.col("p.at"))),
         )
         pairs = near.select(F.col("p.c").alias("u"), F.col("m.c").alias("v")).distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
         links = confirm(pairs, texts, size, percent)
         roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        active = active.join(pivot.select("band", "c"), ["band", "c"], "left_anti").select("band", "c", "popular")
-        pivots *= 4
+        active = active.join(pivot.select("band", "c"), ["band", "c"], "left_anti").select("band", "at", "c", "popular")
     by_class = classes.withColumn("root", F.col("c1"))
     if roots is not None:
         by_class = classes.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
