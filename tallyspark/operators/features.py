@@ -116,3 +116,21 @@ def effective_lengths(features: DataFrame, distribution: DataFrame) -> DataFrame
     keyed = features.crossJoin(F.broadcast(most)).withColumn("_at", F.least(F.col("t"), F.col("most")))
     joined = keyed.join(F.broadcast(sums.withColumnRenamed("length", "_at")), "_at", "left")  # at most 2000 rows
     return joined.withColumn("efflen", F.greatest(F.lit(1.0), F.coalesce((F.col("t") + 1) * F.col("s0") - F.col("s1"), F.lit(0.0)))).drop("_at", "most", "s0", "s1")
+
+
+def alternative_ends(exons: DataFrame, genes: DataFrame, within: int = 250, forward: object = "+") -> DataFrame:
+    """(gene, type, first, last, include, exclude): places where a gene's transcripts begin or end, merged within a distance.
+
+    Only genes whose transcripts have several such clusters count. Of two clusters the first is given, of more each;
+    the transcripts of the gene's other clusters are excluded. Lowest positions are 5' ends on the forward strand.
+    """
+    spans = exons.groupBy("transcript", "strand").agg(F.min("first").alias("first"), F.max("last").alias("last")).join(genes, "transcript")
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("low"), F.col("first").alias("at")), F.struct(F.lit(False).alias("low"), F.col("last").alias("at"))))
+    ends = spans.select("gene", "transcript", "strand", sides.alias("e")).select("gene", "transcript", (F.col("e.low") == (F.col("strand") == forward)).alias("five"), F.col("e.at").alias("at"))
+    w = W.partitionBy("gene", "five").orderBy("at", "transcript")
+    numbered = ends.withColumn("new", (F.col("at") - F.lag("at", 1).over(w) > within).cast("int")).withColumn("k", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    clusters = numbered.groupBy("gene", "five", "k").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("transcript").alias("include"))
+    whole = W.partitionBy("gene", "five")
+    several = clusters.withColumns({"c": F.count("*").over(whole), "every": F.flatten(F.collect_list("include").over(whole))}).where("c > 2 or c = 2 and k = 0")
+    kind = F.when(F.col("five"), "alt_5p_end").otherwise("alt_3p_end")
+    return several.select("gene", kind.alias("type"), "first", "last", "include", F.array_except("every", "include").alias("exclude"))

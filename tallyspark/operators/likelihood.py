@@ -77,3 +77,12 @@ def range_classes(table: DataFrame) -> DataFrame:
     binned = sets.join(span, ["features", "feature"]).withColumn("bin", F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.floor((F.col("prob") - F.col("low")) / width), bins - 1)))
     per_read = binned.groupBy("read", "features").agg(F.array_sort(F.collect_list(F.struct("feature", "bin"))).alias("row"))
     return per_read.groupBy("features", F.col("row.bin").alias("bins")).agg(F.count("*").alias("count"))
+
+
+def assign_reads(table: DataFrame, seed: int = 0) -> DataFrame:
+    """(read, feature): one feature of each read, drawn by prob; the draw is a hash of seed and read, so a lost task redraws the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("read").cast("string")).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+    w = W.partitionBy("read")
+    summed = table.where("prob > 0").withColumns({"upto": F.sum("prob").over(w.orderBy("feature")), "total": F.sum("prob").over(w)})
+    return summed.where(F.col("upto") > draw * F.col("total")).groupBy("read").agg(F.min("feature").alias("feature"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import approximation, kernels
 
 
 def sample_posterior(prepared: DataFrame, draws: int = 1000, seed: int = 123_456_789) -> DataFrame:
@@ -42,3 +42,26 @@ def gibbs(table: DataFrame, efflens: list[float], chains: int = 2, draws: int =
 
     copies = table.withColumn("chain", F.explode(F.array(*(F.lit(c) for c in range(chains)))))
     return copies.groupBy("sample", "chain").applyInPandas(run, "sample string, chain int, draw int, x array<double>")
+
+
+def approximate(classes: DataFrame, trees: DataFrame, steps: int = 500, draws: int = 6, seed: int = 123_456_789) -> DataFrame:
+    """(sample, mu, omega, alpha, parents, leaves), as sample_posterior takes them, from equivalence classes.
+
+    classes has (sample, class_key, count, feature from 0, prob), trees (sample, parents, leaves). One task fits one
+    sample; reads come as classes with counts, so that a task's input grows with the features, not with the reads.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or tree.empty:
+            return pd.DataFrame(columns=["sample", "mu", "omega", "alpha", "parents", "leaves"], dtype=object)
+        rows = rows.sort_values(["class_key", "feature"])
+        number, _ = pd.factorize(rows.class_key)
+        parents, leaves = np.asarray(tree.parents.iloc[0]), np.asarray(tree.leaves.iloc[0])
+        counts = rows["count"].to_numpy(float)[np.unique(number, return_index=True)[1]]
+        own = approximation.Classes(number, rows.feature.to_numpy(int), rows.prob.to_numpy(float), counts, (len(parents) + 1) // 2)
+        mu, omega, alpha = approximation.fit(own, parents, leaves, steps, draws, seed)
+        return pd.DataFrame({"sample": [key[0]], "mu": [mu], "omega": [omega], "alpha": [alpha], "parents": [parents], "leaves": [leaves]})
+
+    schema = "sample string, mu array<double>, omega array<double>, alpha array<double>, parents array<int>, leaves array<int>"
+    rows = classes.select("sample", "class_key", "count", "feature", "prob")
+    return rows.groupBy("sample").cogroup(trees.select("sample", "parents", "leaves").groupBy("sample")).applyInPandas(run, schema)

@@ -452,3 +452,25 @@ def exon_extension(spark, sf_dir):
     w = W.partitionBy("transcript").orderBy("first")
     marked = exons(spark, sf_dir).withColumns({"initial": F.lag("last").over(w).isNull(), "terminal": F.lead("first").over(w).isNull()}).withColumnRenamed("seqname", "gene")
     return intervals.exon_extension(marked).select("gene", "transcript", "first", "last", "new_first", "new_last")
+
+
+@query(f"""WITH {_EXONS}, s AS (SELECT transcript, transcript % 700 AS gene, strand, min(first) AS f, max(last) AS l FROM x GROUP BY ALL),
+e AS (SELECT gene, transcript, strand = 0 AS five, f AS place FROM s UNION ALL SELECT gene, transcript, strand <> 0, l FROM s),
+g AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY gene, five ORDER BY place, transcript) > 250 THEN 1 ELSE 0 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY gene, five ORDER BY place, transcript ROWS UNBOUNDED PRECEDING) AS k FROM g),
+c AS (SELECT gene, five, k, min(place) AS first, max(place) AS last, count(*) AS included, md5(string_agg(CAST(transcript AS VARCHAR), ',' ORDER BY transcript)) AS include FROM n GROUP BY gene, five, k),
+t AS (SELECT *, count(*) OVER (PARTITION BY gene, five) AS clusters, sum(included) OVER (PARTITION BY gene, five) AS every FROM c)
+SELECT gene, CASE WHEN five THEN 'alt_5p_end' ELSE 'alt_3p_end' END AS type, first, last, include, CAST(every - included AS BIGINT) AS excluded FROM t WHERE clusters > 2 OR clusters = 2 AND k = 0""")
+def splicing_altends(spark, sf_dir):
+    rows = exons(spark, sf_dir)
+    genes = rows.select("transcript", (F.col("transcript") % 700).alias("gene")).distinct()
+    found = features.alternative_ends(rows, genes, forward=0)
+    return found.select("gene", "type", "first", "last", _ids("include").alias("include"), F.size("exclude").cast("long").alias("excluded"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS read, l_partkey AS feature, sum(l_quantity) AS prob FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, sum(prob) OVER (PARTITION BY read ORDER BY feature) AS upto, sum(prob) OVER (PARTITION BY read) AS total FROM t)
+SELECT read, min(feature) AS feature FROM s WHERE upto > CAST('0x' || substr(md5('0:' || CAST(read AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * total GROUP BY read""")
+def read_assignment(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("read"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("prob"))
+    return likelihood.assign_reads(lines)

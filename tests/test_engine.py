@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import kernels, scalar
+from tallyspark.functions import approximation, kernels, scalar
 from tallyspark.operators import features, intervals, likelihood, posterior
 from tallyspark.plans import catalog
 from tallyspark.sources import readers, sinks
@@ -137,3 +137,38 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = batch.groupBy(F.col("event_type").alias("sample"), (F.col("user_id") % 5).alias("class_key")).count()
     assert sorted(map(tuple, spark.sql("SELECT * FROM classes").collect())) == sorted(map(tuple, want.collect())) and schema
+
+
+def test_approximation_gradients():
+    rng = np.random.default_rng(4)
+    parents, leaves = kernels.sequential_tree(4)
+    classes = approximation.Classes(np.array([0, 0, 1, 1, 2]), np.array([0, 1, 1, 2, 3]), np.array([0.5, 0.2, 0.3, 0.9, 1.0]), np.array([30.0, 20.0, 5.0]), 4)
+    z, values = rng.standard_normal(3), [rng.standard_normal(3), rng.standard_normal(3) - 1, rng.standard_normal(3) / 3]
+    found = approximation.bound(z, *values, classes, parents, leaves)[1:]
+    for which in range(3):
+        for i in range(3):
+            up, down = [v.copy() for v in values], [v.copy() for v in values]
+            up[which][i] += 1e-5
+            down[which][i] -= 1e-5
+            slope = (approximation.bound(z, *up, classes, parents, leaves)[0] - approximation.bound(z, *down, classes, parents, leaves)[0]) / 2e-5
+            assert found[which][i] == pytest.approx(slope, rel=1e-4, abs=1e-4)
+
+
+def test_approximation_finds_the_posterior(spark):
+    """With reads of one feature each the posterior is a Dirichlet of the counts plus one."""
+    parents, leaves = (a.tolist() for a in kernels.sequential_tree(3))
+    counts = [600, 300, 100]
+    rows = spark.createDataFrame([("s", k, n, k, 1.0) for k, n in enumerate(counts)], "sample string, class_key int, count long, feature int, prob double")
+    trees = spark.createDataFrame([("s", parents, leaves), ("none", parents, leaves)], "sample string, parents array<int>, leaves array<int>")
+    fitted = posterior.approximate(rows, trees)
+    x = np.array([r.x for r in posterior.sample_posterior(fitted, 2000).collect()])
+    want = (np.array(counts) + 1) / (sum(counts) + 3)
+    assert x.mean(axis=0) == pytest.approx(want, rel=0.03)
+    assert x.std(axis=0) == pytest.approx(np.sqrt(want * (1 - want) / (sum(counts) + 4)), rel=0.25)
+
+
+def test_alternative_ends(spark):
+    exons = spark.createDataFrame([(1, "+", 1, 50), (1, "+", 100, 900), (2, "+", 251, 900), (3, "+", 502, 2000), (4, "-", 5, 9), (5, "-", 5, 9)], "transcript int, strand string, first int, last int")
+    genes = spark.createDataFrame([(1, "g"), (2, "g"), (3, "g"), (4, "h"), (5, "h")], "transcript int, gene string")
+    got = {(r.gene, r.type, r["first"], r["last"], tuple(sorted(r.include)), tuple(r.exclude)) for r in features.alternative_ends(exons, genes).collect()}
+    assert got == {("g", "alt_5p_end", 1, 251, (1, 2), (3,)), ("g", "alt_3p_end", 900, 900, (1, 2), (3,))}
