@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar
-from ..operators import features, graph, intervals, likelihood, sampling
+from ..operators import compatibility, coregulation, effects, features, graph, intervals, likelihood, sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -474,3 +474,47 @@ SELECT read, min(feature) AS feature FROM s WHERE upto > CAST('0x' || substr(md5
 def read_assignment(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("read"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("prob"))
     return likelihood.assign_reads(lines)
+
+
+@query(f"""WITH {_EXONS}, f AS (SELECT *, lead(last) OVER (PARTITION BY transcript ORDER BY first) AS l2 FROM x),
+m AS (SELECT transcript, first + first % 45 - 3 AS af, first + first % 45 + 16 AS al, l2 + first % 7 - 22 AS bf, l2 + first % 7 - 3 AS bl FROM f WHERE l2 IS NOT NULL),
+s AS (SELECT transcript, min(first) AS t_first, max(last) AS t_last FROM x GROUP BY 1),
+fit AS (SELECT m.transcript, af, al, bf, bl, bool_or(af >= n.first - 2 AND (af >= n.first OR af > before) AND af <= n.last AND al <= n.last + 2) AND bool_or(bf >= n.first - 2 AND (bf >= n.first OR bf > before) AND bf <= n.last AND bl <= n.last + 2)
+AND least(af, bf) >= any_value(t_first) AND greatest(al, bl) <= any_value(t_last) AS ok,
+coalesce(sum(after - 1 - last) FILTER (last + 1 > least(af, bf) AND after - 1 < greatest(al, bl)), 0) AS gaps FROM m JOIN s USING (transcript) JOIN near n USING (transcript) GROUP BY m.transcript, af, al, bf, bl)
+SELECT transcript % 50 AS part, coalesce(ok, false) AS compatible, count(*) AS n, CAST(coalesce(sum(CASE WHEN ok THEN greatest(al, bl) - least(af, bf) + 1 - gaps END), 0) AS BIGINT) AS bases FROM fit GROUP BY ALL""")
+def fragment_compatibility(spark, sf_dir):
+    """Each pair of neighbouring exons carries a fragment, which may overhang; compatible ones have a length."""
+    x = exons(spark, sf_dir)
+    ends = x.withColumn("l2", F.lead("last").over(W.partitionBy("transcript").orderBy("first"))).where("l2 is not null")
+    cigar = F.array(F.struct(F.lit("M").alias("op"), F.lit(20).alias("len")))
+    mates = ends.select("transcript", compatibility.blocks(F.col("first") + F.col("first") % 45 - 3, cigar).alias("one"), compatibility.blocks(F.col("l2") + F.col("first") % 7 - 22, cigar).alias("two")).distinct()
+    whole = x.groupBy("transcript").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("exons"))
+    found = mates.join(whole, "transcript").select((F.col("transcript") % 50).alias("part"), compatibility.fragment_length(F.col("exons"), F.col("one"), F.col("two")).alias("length"))
+    return found.groupBy("part", F.col("length").isNotNull().alias("compatible")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+
+
+_T10 = "0.5 + 0.5 * ({t}) / sqrt(10 + ({t}) ** 2) * (1 + 0.5 / (1 + ({t}) ** 2 / 10) + 0.375 / (1 + ({t}) ** 2 / 10) ** 2 + 0.3125 / (1 + ({t}) ** 2 / 10) ** 3 + 0.2734375 / (1 + ({t}) ** 2 / 10) ** 4)"
+_RISE, _FALL = _T10.format(t="(loc - ln(1.5)) / scale"), _T10.format(t="(-ln(1.5) - loc) / scale")
+
+
+@query(f"""WITH f AS (SELECT user_id, event_type, avg(ln(value)) - 2 AS loc, stddev_samp(ln(value)) AS scale FROM events WHERE value > 0 GROUP BY 1, 2 HAVING count(*) > 1 AND stddev_samp(ln(value)) > 0)
+SELECT user_id, event_type, round(loc / ln(2), 6) AS mean_effect_size, round((loc - 2.2281388520 * scale) / ln(2), 6) AS lower_credible, round((loc + 2.2281388520 * scale) / ln(2), 6) AS upper_credible,
+round({_FALL}, 6) AS prob_down_de, round({_RISE}, 6) AS prob_up_de, round(greatest({_FALL}, {_RISE}), 6) AS prob_de FROM f""")
+def regression_effects(spark, sf_dir):
+    logs = table(spark, sf_dir, "events").where("value > 0").groupBy("user_id", "event_type").agg((F.avg(F.log("value")) - 2).alias("loc"), F.stddev_samp(F.log("value")).alias("scale")).where("scale > 0")
+    shown = ["mean_effect_size", "lower_credible", "upper_credible", "prob_down_de", "prob_up_de", "prob_de"]
+    return effects.credible_effects(logs, effect=1.5).select("user_id", "event_type", *(F.round(c, 6).alias(c) for c in shown))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT a.vec_id AS u, b.vec_id AS v, corr(a.x, b.x) AS c FROM v a JOIN v b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY ALL)
+SELECT u, v, CAST(1 AS INTEGER) AS hits FROM p WHERE abs(c) >= 0.5""")
+def coregulated_pairs(spark, sf_dir):
+    return coregulation.correlated_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.5)
+
+
+@query("""WITH e AS (SELECT event_id, value FROM events), k AS (SELECT event_id, i, exp(-(((value - i * 25.0) / 20.0) ** 2) / 2) AS d FROM e, range(0, 5) t(i))
+SELECT event_id, CAST(i AS INTEGER) AS knot, round(d / sum(d) OVER (PARTITION BY event_id), 6) AS weight FROM k WHERE event_id IN (SELECT event_id FROM events WHERE value BETWEEN 0 AND 200)""")
+def kernel_weights(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value between 0 and 200")
+    return effects.kernel_weights(e, "event_id", "value", [25.0 * i for i in range(5)], 20.0).withColumn("weight", F.round("weight", 6))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import approximation, kernels, scalar
-from tallyspark.operators import features, intervals, likelihood, posterior
+from tallyspark.operators import compatibility, coregulation, effects, features, intervals, likelihood, models, posterior
 from tallyspark.plans import catalog
 from tallyspark.sources import readers, sinks
 from tallyspark.streaming import counts
@@ -172,3 +172,76 @@ def test_alternative_ends(spark):
     genes = spark.createDataFrame([(1, "g"), (2, "g"), (3, "g"), (4, "h"), (5, "h")], "transcript int, gene string")
     got = {(r.gene, r.type, r["first"], r["last"], tuple(sorted(r.include)), tuple(r.exclude)) for r in features.alternative_ends(exons, genes).collect()}
     assert got == {("g", "alt_5p_end", 1, 251, (1, 2), (3,)), ("g", "alt_3p_end", 900, 900, (1, 2), (3,))}
+
+
+def mates(spark, *rows):
+    """Fragments against T+ or T-, each (strand, left and CIGAR of a mate, those of another or None, reverse)."""
+    ops = "array<struct<op:string,len:int>>"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, strand string, l1 long, c1 {ops}, l2 long, c2 {ops}, reverse boolean")
+    e = F.array(*(F.struct(F.lit(a).cast("long").alias("first"), F.lit(a + 99).cast("long").alias("last")) for a in (101, 301, 501)))
+    one, two = compatibility.blocks(F.col("l1"), F.col("c1")), compatibility.blocks(F.col("l2"), F.col("c2"))
+    out = df.select("id", compatibility.fragment_length(e, one, two).alias("length"), compatibility.transcript_range(e, F.col("strand"), one, two, F.col("reverse"), 80).alias("at")).orderBy("id").collect()
+    return [(r.length, None if r["at"] is None else tuple(r["at"])) for r in out]
+
+
+def test_fragment_compatibility_by_hand(spark):
+    m50, spliced = [("M", 50)], [("M", 51), ("N", 100), ("M", 49)]
+    got = mates(
+        spark,
+        ("+", 150, m50, 350, m50, False),
+        ("-", 150, m50, 350, m50, False),
+        ("+", 150, spliced, 520, m50, False),
+        ("+", 153, m50, 350, m50, False),
+        ("+", 154, m50, 350, m50, False),
+        ("+", 150, m50, 299, m50, False),
+        ("+", 150, m50, 298, m50, False),
+        ("+", 146, [("S", 5), ("M", 45)], 350, m50, False),
+        ("+", 120, m50, None, None, False),
+        ("-", 120, m50, None, None, False),
+        ("+", 90, m50, 350, m50, False),
+        ("+", 150, [("M", 20), ("N", 100), ("M", 30)], 350, m50, False),
+        ("+", 150, [("M", 20), ("D", 5), ("M", 20), ("I", 3), ("M", 5)], 350, m50, False),
+        ("+", 350, m50, 150, m50, False),
+    )
+    assert got[:5] == [(150, (50, 199)), (150, (102, 251)), (220, (50, 269)), (147, (53, 199)), (None, None)]
+    assert [g[0] for g in got[5:8]] == [99, None, 154]
+    assert got[8] == (0, (20, 99)) and got[9] == (0, (201, 280))
+    assert [g[0] for g in got[10:]] == [None, None, 150, 150]
+
+
+def test_effects_by_identities(spark):
+    assert abs(effects.t_quantile(0.975) - 2.2281388520) < 1e-9 and abs(effects.t_quantile(0.5)) < 1e-9
+    loc, scale = np.array([0.0, 1.0, -1.0, 5.0]), np.array([1.0, 0.5, 0.5, 0.1])
+    d = effects.least_effects(loc, scale)
+    inside = (effects._erf((d - loc) / scale / 2**0.5) - effects._erf((-d - loc) / scale / 2**0.5)) / 2
+    assert np.allclose(inside, 0.1, rtol=2e-2) and d[1] == d[2]
+    assert np.allclose(effects.least_effects(loc, scale, tolerance=1e-9), [0.1256613, 0.4220497, 0.4220497, 4.8718448], atol=0.03)
+    row = effects.effect_sizes(spark.createDataFrame([("a", 0.7, 0.2)], "id string, loc double, scale double"), effect=1.0).first()
+    assert row.min_effect_size > 0 and row.lower_credible < row.mean_effect_size < row.upper_credible and abs(row.prob_up_de + row.prob_down_de - 1) < 1e-12
+
+
+def test_coregulation_draws_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(3, 30))
+    rows = [(i, (base[i % 3] + 0.1 * rng.normal(size=30)).tolist(), [0.05 if i < 20 else 5.0] * 30) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, loc array<double>, scale array<double>")
+    whole = sorted(tuple(r) for r in coregulation.correlated_pairs(df, "id", "loc", "scale").collect())
+    monkeypatch.setattr(coregulation, "BLOCK", 5)
+    assert whole == sorted(tuple(r) for r in coregulation.correlated_pairs(df, "id", "loc", "scale").collect())
+    assert {(u, v) for u, v, _ in whole} == {(u, v) for u in range(20) for v in range(u + 1, 20) if u % 3 == v % 3}
+    parts = coregulation.modules(spark.createDataFrame(whole, "u int, v int, hits int").select("u", "v"))
+    assert {r.node: r.component for r in parts.collect()} == {i: i % 3 for i in range(20)}
+
+
+def test_models_tell_classes_apart(spark):
+    rng = np.random.default_rng(0)
+    long = [(s, d, f, float(rng.normal(loc=4.0 * (s % 2) * (f == "a")))) for s in range(24) for d in range(2) for f in "abc"]
+    x = models.vectors(spark.createDataFrame(long, "sample int, draw int, feature string, x double"), ["sample", "draw"], "feature", "x").withColumn("label", (F.col("sample") % 2).cast("string")).cache()
+    train, test = x.where("sample < 16"), x.where("sample >= 16")
+    for f in (models.classify_logistic, lambda *a: models.classify_forest(*a, trees=20)):
+        p = f(train, test, ["sample"], "label").collect()
+        assert len(p) == 16 and np.mean([r.p > 0.5 for r in p if int(r["class"]) == r.sample % 2]) >= 0.75
+    z, fitted = models.principal_components(x, ["sample", "draw"], 2)
+    assert z.count() == 48 and all(len(r.z) == 2 for r in z.collect()) and abs(fitted.pc.toArray()[0, 0]) > 0.9
+    members = models.mixture(x, ["sample", "draw"], 2)
+    assert abs(members.agg(F.sum("p")).first()[0] - 48) < 0.01
