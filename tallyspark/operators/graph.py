@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
 
 
 def kmer_sketch(texts: DataFrame, key: str, text: str, k: int, bins: int) -> DataFrame:
-    """(key, bin, value): the smallest hash in each bin over the k-mers of a sequence; hashes are 60 bits of md5, the same in every engine."""
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - k + 1, F.lit(0))), lambda i: F.substring(F.col(text), i, F.lit(k)))
-    kmers = texts.where(F.char_length(text) >= k).select(key, F.explode(F.array_distinct(chars)).alias("kmer"))
-    hashed = kmers.withColumn("h", F.conv(F.substring(F.md5(F.col("kmer").cast("binary")), 1, 15), 16, 10).cast("long"))
-    return hashed.groupBy(key, (F.col("h") % bins).alias("bin")).agg(F.min("h").alias("value"))
+    """(key, bin, value): the smallest hash in each bin over the k-mers of a sequence; hashes are 60 bits of md5, the same in every engine.
+
+    A sequence is hashed whole in its own task, in time linear in its length.
+    """
+    schema = StructType([texts.schema[key], StructField("bin", LongType()), StructField("value", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, filled, values = [], [], []
+            for own, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least: dict[int, int] = {}
+                for kmer in {s[i : i + k] for i in range(len(s or "") - k + 1)}:
+                    h = int(md5(kmer.encode()).hexdigest()[:15], 16)
+                    if h < least.get(h % bins, 1 << 60):
+                        least[h % bins] = h
+                keys += [own] * len(least)
+                filled += least.keys()
+                values += least.values()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, filled, values), arrow.types, strict=True)], schema=arrow)
+
+    sketch = texts.select(key, text).mapInArrow(run, schema)
+    return sketch.groupBy(key, "bin").agg(F.min("value").alias("value"))
 
 
 def bin_collisions(sketch: DataFrame, key: str) -> DataFrame:
@@ -24,11 +48,11 @@ def bin_collisions(sketch: DataFrame, key: str) -> DataFrame:
 
 
 def sketch_jaccard(sketch: DataFrame, key: str) -> DataFrame:
-    """(u, v, jaccard) of colliding pairs: equal bins over bins that either fills."""
-    filled = sketch.groupBy(key).agg(F.count("*").alias("n"))
-    both = sketch.select("bin", F.col(key).alias("u")).join(sketch.select("bin", F.col(key).alias("v")), "bin").join(bin_collisions(sketch, key), ["u", "v"]).groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("matches").alias("matches"))
-    sized = both.join(filled.select(F.col(key).alias("u"), F.col("n").alias("nu")), "u").join(filled.select(F.col(key).alias("v"), F.col("n").alias("nv")), "v")
-    return sized.select("u", "v", (F.col("matches") / (F.col("nu") + F.col("nv") - F.col("shared"))).alias("jaccard"))
+    """(u, v, jaccard) of colliding pairs: equal bins over bins that either fills. Each pair looks up which bins its two keys fill."""
+    filled = sketch.groupBy(key).agg(F.collect_list("bin").alias("bins"))
+    pairs = bin_collisions(sketch, key)
+    both = pairs.join(filled.select(F.col(key).alias("u"), F.col("bins").alias("bu")), "u").join(filled.select(F.col(key).alias("v"), F.col("bins").alias("bv")), "v")
+    return both.select("u", "v", (F.col("matches") / F.size(F.array_union("bu", "bv"))).alias("jaccard"))
 
 
 def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:

@@ -234,6 +234,13 @@ def nt_frequency_bins(spark, sf_dir):
     return scalar.quarter_counts(d, "doc_id", "text", "en")
 
 
+@query("""WITH c AS (SELECT doc_id, length(text) AS t, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents WHERE text <> '')
+SELECT doc_id, CAST(i * 4 // t AS INTEGER) AS q, CAST(sum(CAST(lower(c) IN ('e', 'n') AS INTEGER)) AS BIGINT) AS hits FROM c GROUP BY ALL""")
+def nt_frequency_bins_whole(spark, sf_dir):
+    """nt_frequency_bins over texts of any length; the older query reads those of up to 2,000 characters."""
+    return scalar.quarter_counts(table(spark, sf_dir, "documents").where("text <> ''"), "doc_id", "text", "en")
+
+
 @query("SELECT page_id, reverse(translate(upper(substr(url, 8, 12)), 'ACGT', 'TGCA')) AS rc, length(substr(url, 8, 12)) - length(translate(upper(substr(url, 8, 12)), 'GC', '')) AS gc FROM pages")
 def revcomp_substring(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.upper(F.substring("url", 8, 12)).alias("s"))
@@ -278,6 +285,32 @@ def minhash_jaccard(spark, sf_dir):
     return graph.sketch_jaccard(sketches(spark, sf_dir), "doc_id").withColumn("jaccard", F.round("jaccard", 6))
 
 
+# The three queries above read documents of 12 to 600 characters, with 12-mers and 50 bins; these read every document, with the reference's 32 and 200.
+_WHOLE_KMERS = """t AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= 32),
+s AS (SELECT doc_id, h % 200 AS bin, min(h) AS value FROM (SELECT doc_id, CAST(('0x' || substr(md5(array_to_string(c[i:i + 31], '')), 1, 15)) AS BIGINT) AS h FROM (SELECT doc_id, c, unnest(range(1, len(c) - 30)) AS i FROM t)) GROUP BY ALL)"""
+_WHOLE_PAIRS = "c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS matches FROM s a JOIN s b ON a.bin = b.bin AND a.value = b.value AND a.doc_id < b.doc_id GROUP BY ALL)"
+
+
+def whole_sketches(spark, sf_dir):
+    return graph.kmer_sketch(table(spark, sf_dir, "documents"), "doc_id", "text", 32, 200)
+
+
+@query(f"WITH {_WHOLE_KMERS} SELECT doc_id, bin, value FROM s")
+def minhash_sketch_whole(spark, sf_dir):
+    return whole_sketches(spark, sf_dir)
+
+
+@query(f"WITH {_WHOLE_KMERS}, {_WHOLE_PAIRS} SELECT u, v, matches FROM c")
+def lsh_candidates_whole(spark, sf_dir):
+    return graph.bin_collisions(whole_sketches(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {_WHOLE_KMERS}, {_WHOLE_PAIRS}, n AS (SELECT doc_id, list(bin) AS bins FROM s GROUP BY 1)
+SELECT u, v, round(matches / len(list_distinct(a.bins || b.bins)), 6) AS jaccard FROM c JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id""")
+def minhash_jaccard_whole(spark, sf_dir):
+    return graph.sketch_jaccard(whole_sketches(spark, sf_dir), "doc_id").withColumn("jaccard", F.round("jaccard", 6))
+
+
 _EDGES = "e AS (SELECT DISTINCT o_custkey AS u, 1000000 + l_suppkey * 10 + l_linenumber % 10 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 240000)"
 
 

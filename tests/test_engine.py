@@ -1,5 +1,7 @@
 """Operators on hand-made rows, kernels by identities, and every catalog query against its SQL on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -245,3 +247,32 @@ def test_models_tell_classes_apart(spark):
     assert z.count() == 48 and all(len(r.z) == 2 for r in z.collect()) and abs(fitted.pc.toArray()[0, 0]) > 0.9
     members = models.mixture(x, ["sample", "draw"], 2)
     assert abs(members.agg(F.sum("p")).first()[0] - 48) < 0.01
+
+
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    """Two texts that share their second half, past every length that the older queries read, and a short one."""
+    rng = np.random.default_rng(11)
+    a, b, c = ("".join(rng.choice(list("acgen"), 1500)) for _ in range(3))
+    rows = [(1, a + c), (2, b + c), (3, "short"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_long_texts_are_sketched(spark, long_texts):
+    least = {}
+    for i, t in long_texts[1]:
+        for j in range(len(t or "") - 31):
+            h = int(hashlib.md5(t[j : j + 32].encode()).hexdigest()[:15], 16)
+            least[i, h % 200] = min(h, least.get((i, h % 200), h))
+    got = {(r.doc_id, r.bin): r.value for r in catalog.QUERIES["minhash_sketch_whole"](spark, long_texts[0]).collect()}
+    assert got == least and {i for i, _ in got} == {1, 2}
+    shared = sum(least.get((1, b)) == least.get((2, b)) is not None for b in range(200))
+    union = len({b for _, b in least})
+    assert [tuple(r) for r in catalog.QUERIES["lsh_candidates_whole"](spark, long_texts[0]).collect()] == [(1, 2, shared)]
+    assert [tuple(r) for r in catalog.QUERIES["minhash_jaccard_whole"](spark, long_texts[0]).collect()] == [(1, 2, pytest.approx(shared / union, abs=1e-6))]
+
+
+def test_long_texts_are_counted(spark, long_texts):
+    want = {(i, q): sum(c in "en" for j, c in enumerate(t) if j * 4 // len(t) == q) for i, t in long_texts[1] if t for q in range(4)}
+    assert {(r.doc_id, r.q): r.hits for r in catalog.QUERIES["nt_frequency_bins_whole"](spark, long_texts[0]).collect()} == want
