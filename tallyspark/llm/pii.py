@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,33 +127,66 @@ def score_patterns(edges: DataFrame, rounds: int = 2, damping: float = 3.0) -> D
     return scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8, min_confidence: float = 0.7, max_patterns: int = 20_000, rounds: int = 2) -> list[str]:
-    """The high-confidence patterns, at most max_patterns (the size bound of what is broadcast), best first."""
+def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8, min_confidence: float = 0.7, rounds: int = 2) -> DataFrame:
+    """(pattern, support, confidence) of every high-confidence pattern, as a table in the shared folder."""
     edges = materialize(pattern_edges(docs, text_col), "pii-edges")
     # A pattern below min_support can't be chosen, and one instance of it is no evidence: the graph keeps the rest.
     strong = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("s")).where((F.col("n") >= min_support) & (F.col("s") > 0)).select("pattern")
     graph = edges.join(strong, "pattern")
     scored = score_patterns(graph, rounds).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-    return [r.pattern for r in scored.orderBy(F.desc("confidence"), F.desc("support"), "pattern").limit(max_patterns).collect()]
+    return materialize(scored, "pii-patterns")
+
+
+def contextual(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
+    """(pattern, start, kind, end) of the candidates that no base span touches."""
+    if "@" in text or DIGIT.search(text):
+        for kind, before, a, b in candidates(text):
+            if not any(x < b and a < y for x, _, y in base):
+                yield f"{kind}|{before}", a, KINDS.index(f"ctx_{kind}"), b
 
 
 def scan(text: str, patterns: frozenset[str]) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
-    if patterns and ("@" in text or DIGIT.search(text)):
-        base = [(a, b) for a, _, b in spans]
-        for kind, before, a, b in candidates(text):
-            if f"{kind}|{before}" in patterns and not any(x < b and a < y for x, y in base):
-                spans.append((a, KINDS.index(f"ctx_{kind}"), b))
-    return spans
+    return spans + [(a, k, b) for pattern, a, k, b in (contextual(text, spans) if patterns else ()) if pattern in patterns]
+
+
+MET = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
+def _by_join(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What scan finds, for patterns too many to broadcast: candidates travel to them. Equal rows share a key and are joined once."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def start():
+        def row(key, text):
+            spans = base_spans(text or "")
+            met = [{"pattern": p, "span": {"start": a, "kind": k, "end": b}} for p, a, k, b in contextual(text or "", spans)]
+            own = blake2b(f"{key!r}\0{text or ''}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            return key, own, [{"start": a, "kind": k, "end": b} for a, k, b in spans], met
+
+        return row
+
+    schema = f"_id {kind}, key binary, base {MET}, met array<struct<pattern:string,span:struct<start:bigint,kind:int,end:bigint>>>"
+    rows = materialize(map_rows(docs, [id_col, text_col], schema, start), "pii-rows")
+    candidate = rows.where(F.size("met") > 0).select("key", F.inline("met")).distinct()
+    marked = candidate.join(patterns.select("pattern"), "pattern").groupBy("key").agg(F.collect_list("span").alias("more"))
+    # Structs sort by start, then kind, then end.
+    found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(MET))))
+    named = F.transform(found, lambda s: F.struct(F.get(F.array(*map(F.lit, KINDS)), s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.join(marked, "key", "left").select(F.col("_id").alias(id_col), named.cast(SPANS).alias("found"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_memory: int = 20_000, **learning) -> DataFrame:
     """One row per input row: its id and `found`, the spans by start and kind (base kinds, then ctx_ kinds).
 
     Null and empty texts have no spans; an empty table learns no pattern and returns no row. A null id stays
-    null, repeated rows each give a row and count once as evidence, ties among patterns go by name, other
-    columns are ignored. Two reads of the texts; only pattern-instance pairs are shuffled.
+    null, repeated rows each give a row and count once as evidence, other columns are ignored. All patterns
+    that qualify apply: up to `in_memory` of them are broadcast, more are joined. Two reads of the texts;
+    pattern-instance pairs are shuffled and, if patterns are joined, candidates and rows without their texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(learn_patterns(docs, text_col, **learning)))
+    patterns = learn_patterns(docs, text_col, **learning)
+    if patterns.count() > in_memory:
+        return _by_join(docs, patterns, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in patterns.select("pattern").collect()))
     kind = dict(docs.dtypes)[id_col]
     return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, found {SPANS}", lambda: lambda key, text: (key, span_list(scan(text or "", shared.value), KINDS)))

@@ -184,6 +184,18 @@ def test_pii_learns_contexts(spark):
     assert found[200] == [("ctx_phone", 15, 25)] and found[201] == [] and all(not found[100 + i] for i in range(40))
 
 
+def test_pii_applies_every_pattern(spark):
+    """More patterns qualify than may be broadcast: all of them still mark."""
+    known = [(10 * p + i, f"ring{p} desk +49301234{p}{100 + i} ok") for p in range(5) for i in range(10)]
+    new = [(1000 + p, f"ring{p} desk 0307654{p}21 ok") for p in range(5)]
+    rows = [*known, *new, *new, (None, "ring1 desk 0309999999 a@b.de ok"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (rows_of(pii.find_personal_data(df, in_memory=n)) for n in (2, 100))
+    assert few == many and len(few) == len(rows)
+    assert [[s.kind for s in found] for i, found in few if i and i >= 1000] == [["ctx_phone"]] * 10
+    assert next([s.kind for s in found] for i, found in few if i is None) == ["ctx_phone", "email"]
+
+
 def shingle_sets(rows, size):
     for i, t in rows:
         w = [x for x in re.split(WS, (t or "").translate(AZ)) if x]
