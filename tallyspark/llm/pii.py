@@ -130,10 +130,8 @@ def score_patterns(edges: DataFrame, rounds: int = 2, damping: float = 3.0) -> D
 def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8, min_confidence: float = 0.7, rounds: int = 2) -> DataFrame:
     """(pattern, support, confidence) of every high-confidence pattern, as a table in the shared folder."""
     edges = materialize(pattern_edges(docs, text_col), "pii-edges")
-    # A pattern below min_support can't be chosen, and one instance of it is no evidence: the graph keeps the rest.
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("s")).where((F.col("n") >= min_support) & (F.col("s") > 0)).select("pattern")
-    graph = edges.join(strong, "pattern")
-    scored = score_patterns(graph, rounds).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
+    # The whole graph is scored: a pattern without a seed of its own learns from instances that other patterns vouch for.
+    scored = score_patterns(edges, rounds).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
     return materialize(scored, "pii-patterns")
 
 

@@ -196,6 +196,16 @@ def test_pii_applies_every_pattern(spark):
     assert next([s.kind for s in found] for i, found in few if i is None) == ["ctx_phone", "email"]
 
 
+def test_pii_learns_from_other_patterns(spark):
+    """No instance of "desk line" is a seed; each also stands in three seeded contexts."""
+    rows = [f"{word} phone +493012345{100 + i} ok" for word in ("home", "work", "cell") for i in range(600)]
+    rows += [f"{word} 0307654{100 + i} ok" for word in ("home phone", "work phone", "cell phone", "desk line") for i in range(30)] + ["desk line 0209999999 ok"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    learned = {r.pattern: r for r in pii.learn_patterns(df).collect()}
+    assert learned["phone|desk line"].support == 31 and learned["phone|desk line"].confidence > 0.7
+    assert [[s.kind for s in r.found] for r in pii.find_personal_data(df).where(f"doc_id = {len(rows) - 1}").collect()] == [["ctx_phone"]]
+
+
 def shingle_sets(rows, size):
     for i, t in rows:
         w = [x for x in re.split(WS, (t or "").translate(AZ)) if x]
