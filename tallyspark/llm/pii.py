@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns give seed entities. The two words before an identifier-shaped token form a lexical pattern
-of one kind; seeds score patterns and patterns score instances in turns, and the patterns that end with
+Base patterns give seed entities. The two words before an identifier-shaped token, or before a number in groups,
+form a lexical pattern of one kind; seeds score patterns and patterns score instances in turns, and the patterns that end with
 high confidence mark identifiers that no base pattern knows.
 """
 
@@ -26,7 +26,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "ip", "card", "phone", "ctx_email", "ctx_ip", "ctx_card", "ctx_phone")
 
-#: A token that can be an identifier, with the two words before it; the shapes tell of which kind it can be.
+#: A token that can be an identifier; the shapes tell of which kind it can be.
 TOKEN = re.compile(r"\S*[0-9@]\S*")
 SHAPES = (
     ("email", re.compile(r"[\w.%+-]+(?:@|\[at\]|\(at\))[\w.-]+")),
@@ -34,6 +34,13 @@ SHAPES = (
     ("card", re.compile(r"[0-9](?:-?[0-9]){13,18}")),
     ("phone", re.compile(r"\+?\(?[0-9](?:[().-]*[0-9]){6,14}")),
 )
+#: What stands between two digits of one number, and where a number in groups ends.
+GAP = r"(?:[().-]*|\)?\x20\(?|\x20-\x20)"
+GROUP_END = r"(?=[.,;:!?\"'()\[\]{}<>]*(?:\s|\Z))"
+SPACED = (
+    ("card", re.compile(rf"[0-9](?:(?:-|\x20|\x20-\x20)?[0-9]){{13,18}}{GROUP_END}")),
+    ("phone", re.compile(rf"\+?\(?[0-9](?:{GAP}[0-9]){{6,14}}{GROUP_END}")),
+)
 TRIM = ".,;:!?\"'()[]{}<>"
 
 
@@ -76,17 +83,38 @@ def shape(token: str) -> str | None:
     return next((kind for kind, form in SHAPES if form.fullmatch(token)), None)
 
 
+def words_before(text: str, at: int) -> str:
+    """The two words before a place, in lower case, of any length; at the start of a text an empty word stands for the start."""
+    width = 80
+    while True:
+        begin = max(0, at - width)
+        words = text[begin:at].split()
+        if begin == 0 or len(words) > 2:  # the first of three may be cut, the last two are whole
+            return " ".join(["", *words][-2:]).lower()
+        width *= 4
+
+
+def spaced(text: str, at: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of a card or phone number written in groups that single spaces or spaced dashes part, from a token's start on."""
+    for begin in (at - 1, at) if at and text[at - 1] == "(" else (at,):
+        for kind, form in SPACED:
+            if (m := form.match(text, begin)) and any(c.isspace() for c in m[0]) and (begin == at or ")" in m[0]):
+                return kind, begin, m.end()
+    return None
+
+
 def candidates(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, two words before in lower case, start, end) of identifier-shaped tokens."""
+    """(kind, two words before in lower case, start, end) of identifier-shaped tokens, and of numbers in groups."""
+    grouped = 0
     for m in TOKEN.finditer(text):
         raw = m[0]
-        lead = len(raw) - len(raw.lstrip(TRIM))
+        a = m.start() + len(raw) - len(raw.lstrip(TRIM))
         token = raw.strip(TRIM)
-        if len(token) < 6 or len(token) > 128 or not (kind := shape(token)):
-            continue
-        before = text[max(0, m.start() - 80) : m.start()].split()[-2:]
-        if len(before) == 2:
-            yield kind, " ".join(before).lower(), m.start() + lead, m.start() + lead + len(token)
+        if a >= grouped and (whole := spaced(text, a)):
+            kind, begin, grouped = whole
+            yield kind, words_before(text, m.start()), begin, grouped
+        if 6 <= len(token) <= 128 and (kind := shape(token)):
+            yield kind, words_before(text, m.start()), a, a + len(token)
 
 
 def pattern_edges(docs: DataFrame, text_col: str) -> DataFrame:
@@ -135,6 +163,15 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8
     return materialize(scored, "pii-patterns")
 
 
+def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, kind, end) without those that lie inside another: a group of a number's digits is no number beside it."""
+    out: list[tuple[int, int, int]] = []
+    for span in sorted(set(spans), key=lambda s: (s[0], -s[2], s[1])):
+        if not out or span[2] > out[-1][2]:
+            out.append(span)
+    return out
+
+
 def contextual(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
     """(pattern, start, kind, end) of the candidates that no base span touches."""
     if "@" in text or DIGIT.search(text):
@@ -145,7 +182,7 @@ def contextual(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[st
 
 def scan(text: str, patterns: frozenset[str]) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
-    return spans + [(a, k, b) for pattern, a, k, b in (contextual(text, spans) if patterns else ()) if pattern in patterns]
+    return spans + outermost([(a, k, b) for pattern, a, k, b in (contextual(text, spans) if patterns else ()) if pattern in patterns])
 
 
 MET = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -168,6 +205,9 @@ def _by_join(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -
     rows = materialize(map_rows(docs, [id_col, text_col], schema, start), "pii-rows")
     candidate = rows.where(F.size("met") > 0).select("key", F.inline("met")).distinct()
     marked = candidate.join(patterns.select("pattern"), "pattern").groupBy("key").agg(F.collect_list("span").alias("more"))
+    # As outermost: a span that another holds is left out.
+    held = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    marked = marked.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: held(s, o))))
     # Structs sort by start, then kind, then end.
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(MET))))
     named = F.transform(found, lambda s: F.struct(F.get(F.array(*map(F.lit, KINDS)), s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

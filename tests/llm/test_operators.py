@@ -206,6 +206,32 @@ def test_pii_learns_from_other_patterns(spark):
     assert [[s.kind for s in r.found] for r in pii.find_personal_data(df).where(f"doc_id = {len(rows) - 1}").collect()] == [["ctx_phone"]]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "before", "value"),
+    [
+        ("please call me 030 123 4567 now", "phone", "call me", "030 123 4567"),
+        ("please call me (030) 123-4567, now", "phone", "call me", "(030) 123-4567"),
+        ("pay by card 4111 1111 1111 1111 1.", "card", "by card", "4111 1111 1111 1111 1"),
+        ("pay by card 4111 - 1111 - 1111 - 1112", "card", "by card", "4111 - 1111 - 1111 - 1112"),
+        ("Phone: 0301234567", "phone", " phone:", "0301234567"),
+        ("0301234567 is mine", "phone", "", "0301234567"),
+        ("my " + "L" * 500 + " call 0301234567", "phone", "l" * 500 + " call", "0301234567"),
+        ("call me" + " " * 300 + "0301234567", "phone", "call me", "0301234567"),
+        ("call me 0301234567. 12 people", "phone", "call me", "0301234567"),
+    ],
+)
+def test_pii_candidates(text, kind, before, value):
+    assert (kind, before, value) in [(k, p, text[a:b]) for k, p, a, b in pii.candidates(text)]
+
+
+def test_pii_marks_grouped_numbers_once(spark):
+    rows = [f"please call me +4930123{1000 + i} now" for i in range(40)] + ["please call me 030123 4567890 now", "Phone: 0301234567"]
+    rows += [f"Phone: +4930123{2000 + i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    one, two = (rows_of(pii.find_personal_data(df, in_memory=n).where("doc_id in (40, 41)")) for n in (0, 100))
+    assert one == two and [[(s.kind, s.start, s.end) for s in found] for _, found in one] == [[("ctx_phone", 15, 29)], [("ctx_phone", 7, 17)]]
+
+
 def shingle_sets(rows, size):
     for i, t in rows:
         w = [x for x in re.split(WS, (t or "").translate(AZ)) if x]
