@@ -89,7 +89,8 @@ def class_probabilities(scores: DataFrame, keys: list[str], label: str, distance
 
 
 def kernel_weights(values: DataFrame, key: str, x: str, knots: list[float], bandwidth: float) -> DataFrame:
-    """(key, knot, weight): Gaussian kernel weights of a value at each knot, which sum to one; knots are a short list."""
-    densities = F.array(*(F.exp(-F.pow((F.col(x) - k) / bandwidth, 2) / 2) for k in knots))
+    """(key, knot, weight): Gaussian kernel weights of a value at each knot, which sum to one however far off it is; knots are a short list."""
+    exponents = F.array(*(-F.pow((F.col(x) - k) / bandwidth, 2) / 2 for k in knots))
+    densities = F.transform(exponents, lambda e: F.exp(e - F.array_max(exponents)))
     total = F.aggregate("_d", F.lit(0.0), lambda s, d: s + d)
     return values.withColumn("_d", densities).select(key, F.posexplode(F.transform("_d", lambda d: d / total)).alias("knot", "weight"))

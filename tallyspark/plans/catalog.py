@@ -330,6 +330,28 @@ def degree_counts(spark, sf_dir):
     return graph.degrees(edges(spark, sf_dir))
 
 
+_WHOLE_EDGES = "e AS (SELECT DISTINCT o_custkey AS u, 1000000 + l_suppkey * 10 + l_linenumber % 10 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+def whole_edges(spark, sf_dir):
+    """Edges of all orders; the two queries above keep those of more than 240,000."""
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(F.col("o_custkey").alias("u"), (1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber") % 10).alias("v")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_WHOLE_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT DISTINCT u AS node, u AS label, true AS moved FROM b UNION ALL
+SELECT node, least(label, heard), heard < label FROM (SELECT r.node, any_value(r.label) AS label, min(n.label) AS heard FROM r JOIN b ON r.node = b.u JOIN r n ON n.node = b.v WHERE (SELECT bool_or(moved) FROM r) GROUP BY r.node))
+SELECT node, min(label) AS component FROM r GROUP BY node""")
+def connected_components_whole(spark, sf_dir):
+    return graph.connected_components(whole_edges(spark, sf_dir))
+
+
+@query(f"WITH {_WHOLE_EDGES} SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node")
+def degree_counts_whole(spark, sf_dir):
+    return graph.degrees(whole_edges(spark, sf_dir))
+
+
 _NEAR = """k AS (SELECT a.vec_id AS u, b.vec_id AS v, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 n AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d, v) AS rk FROM k)"""
 
@@ -358,6 +380,14 @@ def read_set_jaccard(spark, sf_dir):
     return graph.set_jaccard(s, "c", "p").withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT c, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.c AS u, b.c AS v, count(*) AS m FROM s a JOIN s b ON a.p = b.p AND a.c < b.c GROUP BY ALL) SELECT u, v, round(m / (a.n + b.n - m), 6) AS jaccard FROM j JOIN n a ON u = a.c JOIN n b ON v = b.c""")
+def read_set_jaccard_whole(spark, sf_dir):
+    """read_set_jaccard over all orders and lines; the older query reads urgent orders and lines of more than 40."""
+    s = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p")).distinct()
+    return graph.set_jaccard(s, "c", "p").withColumn("jaccard", F.round("jaccard", 6))
+
+
 _MIX = "m AS (SELECT sample, p_brand AS gene, sum(x) AS x FROM e JOIN part ON p_partkey = feature GROUP BY ALL)"
 
 
@@ -401,6 +431,12 @@ def distinct_feature_gene(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size > 45"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("feature"), F.col("p_brand").alias("gene")).distinct()
 
 
+@query("SELECT DISTINCT l_suppkey AS feature, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey")
+def distinct_feature_gene_whole(spark, sf_dir):
+    """distinct_feature_gene over all parts; the older query reads those larger than 45."""
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("feature"), F.col("p_brand").alias("gene")).distinct()
+
+
 @query("""WITH s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), p AS (SELECT *, n * 3 // 4 AS base, n * 3 % 4 AS rest FROM s), t AS (SELECT (SELECT sum(n) FROM p) * 3 // 4 - (SELECT sum(base) FROM p) AS more),
 q AS (SELECT c_mktsegment, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_mktsegment) <= more THEN 1 ELSE 0 END AS quota FROM p, t)
 SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) <= quota AS training FROM customer JOIN q USING (c_mktsegment)""")
@@ -551,3 +587,10 @@ SELECT event_id, CAST(i AS INTEGER) AS knot, round(d / sum(d) OVER (PARTITION BY
 def kernel_weights(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value between 0 and 200")
     return effects.kernel_weights(e, "event_id", "value", [25.0 * i for i in range(5)], 20.0).withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH k AS (SELECT event_id, i, -(((value - i * 25.0) / 20.0) ** 2) / 2 AS e FROM events, range(0, 5) t(i)), d AS (SELECT event_id, i, exp(e - max(e) OVER (PARTITION BY event_id)) AS d FROM k)
+SELECT event_id, CAST(i AS INTEGER) AS knot, round(d / sum(d) OVER (PARTITION BY event_id), 6) AS weight FROM d""")
+def kernel_weights_whole(spark, sf_dir):
+    """kernel_weights of all events; the older query reads values from 0 to 200."""
+    return effects.kernel_weights(table(spark, sf_dir, "events"), "event_id", "value", [25.0 * i for i in range(5)], 20.0).withColumn("weight", F.round("weight", 6))

@@ -276,3 +276,23 @@ def test_long_texts_are_sketched(spark, long_texts):
 def test_long_texts_are_counted(spark, long_texts):
     want = {(i, q): sum(c in "en" for j, c in enumerate(t) if j * 4 // len(t) == q) for i, t in long_texts[1] if t for q in range(4)}
     assert {(r.doc_id, r.q): r.hits for r in catalog.QUERIES["nt_frequency_bins_whole"](spark, long_texts[0]).collect()} == want
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    """Rows that the older queries leave out: cheap orders that aren't urgent, small lines and parts, far values."""
+    tables = {
+        "orders": ([(1, 10, 5.0, "5-LOW"), (2, 11, 300000.0, "5-LOW"), (3, 12, 5.0, "1-URGENT")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string"),
+        "lineitem": ([(1, 7, 1, 1, 3.0), (2, 7, 1, 1, 3.0), (2, 8, 2, 1, 50.0), (3, 9, 3, 2, 1.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double"),
+        "part": ([(7, "A", 1), (8, "B", 50), (9, "B", 2)], "p_partkey long, p_brand string, p_size long"),
+        "events": ([(1, -1e6), (2, 1e6), (3, 50.0)], "event_id long, value double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: sorted(tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect())
+    assert run("connected_components") == [(10, 10), (11, 10), (12, 12), (1000011, 10), (1000021, 10), (1000032, 12)]
+    assert run("degree_counts") == [(10, 1), (11, 2), (12, 1), (1000011, 2), (1000021, 1), (1000032, 1)]
+    assert run("read_set_jaccard") == [(10, 11, 0.5)]
+    assert run("distinct_feature_gene") == [(1, "A"), (2, "B"), (3, "B")]
+    weights = run("kernel_weights")
+    assert [w for i, _, w in weights if i == 1] == [1, 0, 0, 0, 0] and [w for i, _, w in weights if i == 2] == [0, 0, 0, 0, 1]
+    assert sum(w for i, _, w in weights if i == 3) == pytest.approx(1)
