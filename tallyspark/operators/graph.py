@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,22 +56,24 @@ def sketch_jaccard(sketch: DataFrame, key: str) -> DataFrame:
     return both.select("u", "v", (F.col("matches") / F.size(F.array_union("bu", "bv"))).alias("jaccard"))
 
 
-def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v), by min-label propagation with pointer jumping.
 
+    Rounds go on until no label changes; with `most`, a graph that needs more rounds is an error, never split components.
     Labels are written to the shared folder each round, so that plans stay short and lost executors can be replaced.
     """
     both = materialize(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
-    for _ in range(most):
+    for done in count(1):
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
         best = labels.join(heard, "node").withColumn("to", F.least("component", "heard"))
         jumped = best.join(labels.select(F.col("node").alias("to"), F.col("component").alias("further")), "to", "left")
         following = materialize(jumped.select("node", F.least("to", F.coalesce("further", "to")).alias("component"), F.col("component").alias("was")), "labels")
         labels = following.select("node", "component")
         if following.where("component <> was").limit(1).count() == 0:
-            break
-    return labels
+            return labels
+        if done == most:
+            raise RuntimeError(f"components have not converged after {most} rounds")
 
 
 def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import approximation, kernels, scalar
-from tallyspark.operators import compatibility, coregulation, effects, features, intervals, likelihood, models, posterior
+from tallyspark.operators import compatibility, coregulation, effects, features, graph, intervals, likelihood, models, posterior
 from tallyspark.plans import catalog
 from tallyspark.sources import readers, sinks
 from tallyspark.streaming import counts
@@ -296,3 +296,10 @@ def test_whole_tables_are_read(spark, tmp_path):
     weights = run("kernel_weights")
     assert [w for i, _, w in weights if i == 1] == [1, 0, 0, 0, 0] and [w for i, _, w in weights if i == 2] == [0, 0, 0, 0, 1]
     assert sum(w for i, _, w in weights if i == 3) == pytest.approx(1)
+
+
+def test_components_converge_or_fail(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {tuple(r) for r in graph.connected_components(path).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError, match="not converged"):
+        graph.connected_components(path, most=2)
