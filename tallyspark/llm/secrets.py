@@ -31,12 +31,17 @@ SENSITIVE = {
 QUALIFIED_KEY = {"api", "access", "private", "secret", "auth", "encryption", "signing", "master", "ssh"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|change_me|example|your[_-].*|placeholder|none|null|true|false|undefined|todo|redacted|<.*>|\$\{.*|%\(.*|\{\{.*)$")
 
+#: A subscript of a name, and a type annotation between a name and its =, as in Python, TypeScript and Rust (nested to depth 8, which keeps matching linear).
+SUBSCRIPT = r"""\[[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[\w.$:-]+)[ \t]*\]"""
+TYPE = r"""[&*]?(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][\w.:]*(?:(?:[<\[][^\n="'`<>\[\]]*){1,8}[>\]]+)*(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*)*\??"""
 PAIR = re.compile(
-    r"""(?<![\w.$-])(?P<q>["'`]?)(?P<name>[A-Za-z_][\w.-]{0,63})(?P=q)[ \t]*(?P<op>=>|:=|=|:)(?!=)[ \t]*"""
-    r"""(?P<rhs>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;()\[\]{}#]+)"""
+    rf"""(?<![\w.$-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][\w.$-]*(?:{SUBSCRIPT})*)(?P=q)[ \t]*"""
+    rf"""(?:\??:[ \t]*{TYPE}(?=[ \t]+=[ \t]|[ \t]*=[ \t]*["'`])[ \t]*(?==))?(?P<op>=>|:=|=|:)(?!=)[ \t]*"""
+    rf"""(?P<rhs>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z_$][\w.$]*(?:{SUBSCRIPT})+|[^\s"'`,;()\[\]{{}}#]+)"""
 )
-MORE = re.compile(r"""[ \t]*\+[ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][\w.]*)""")
+MORE = re.compile(rf"""[ \t]*\+[ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w.$]*(?:{SUBSCRIPT})*)""")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*$")
+SUBSCRIPTED = re.compile(rf"([A-Za-z_$][\w.$]*)(?:{SUBSCRIPT})+$")
 SEGMENT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -58,6 +63,11 @@ def literal_score(value: str) -> float:
     return min(1.0, len(value) / 16) + min(1.0, entropy / 3.5) + (classes - 1) / 3
 
 
+def plain_name(name: str) -> str:
+    """A name as constants are looked up by: without a leading $, with one kind of quotes in subscripts."""
+    return name.lstrip("$").replace("'", '"')
+
+
 def lex_pairs(text: str) -> list[tuple[str, list[tuple[str, object]]]]:
     """(name, parts): each part is ("lit", (start, end)) or ("ref", name), more than one for a concatenation."""
     found = []
@@ -67,6 +77,9 @@ def lex_pairs(text: str) -> list[tuple[str, list[tuple[str, object]]]]:
         while True:
             if raw[0] in "\"'`":
                 parts.append(("lit", (at + 1, at + len(raw) - 1)))
+            elif own := SUBSCRIPTED.match(raw):
+                parts.append(("ref", raw))
+                parts.append(("lit", (at, at + len(own[1]))))
             elif IDENTIFIER.match(raw) and m["op"] != ":":
                 parts.append(("ref", raw))
                 parts.append(("lit", (at, at + len(raw))))
@@ -86,13 +99,13 @@ def literal_spans(text: str, threshold: float = 4.5) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     for name, parts in lex_pairs(text):
         reached: set[tuple[int, int]] = set()
-        resolved = {value for kind, value in parts if kind == "ref" and value in constants}
+        resolved = {form for kind, value in parts if kind == "ref" and plain_name(value) in constants for form in (value, value.split("[")[0])}
         for kind, value in parts:
             if kind == "ref":
-                reached |= constants.get(value, set())
+                reached |= constants.get(plain_name(value), set())
             elif text[value[0] : value[1]] not in resolved:
                 reached.add(value)
-        constants[name] = reached
+        constants[plain_name(name)] = reached
         if weight := name_weight(name):
             joined = "".join(text[a:b] for a, b in sorted(reached))
             for a, b in reached:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -78,6 +79,39 @@ def test_secrets_follow_assignments():
     assert found == {"Zx8!kQ2#vL9pTw", "Ab3dE", "f6hI9kLmNo"}
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '$db_pwd = "{}";',
+        "$raw = '{}';\n$db_password = $raw;",
+        'raw="{}"\nDB_PASSWORD=$raw',
+        'cfg["db_pwd"] = "{}"',
+        "cfg['db']['pwd'] = '{}'",
+        'cfg["k"] = "{}"\npassword = cfg[\'k\']',
+        'db_pwd: str = "{}"',
+        'db_pwd: Optional[str] = "{}"',
+        'let pwd: Option<Vec<u8>> = "{}"',
+        "dbPwd?: string | null = '{}'",
+        'let pwd: &str = "{}";',
+        "let pwd: &'static str = \"{}\";",
+        "x" * 80 + '_password = "{}"',
+        'password: "{}"',
+        "password: {}",
+    ],
+)
+def test_secret_names(text):
+    value = "Zx8kQ2vL9pTw=4"
+    text = text.format(value)
+    assert {text[a:b] for a, b in secrets.literal_spans(text)} == {value}
+
+
+def test_secret_names_take_linear_time():
+    started = time.process_time()
+    for text in ("x" * 300_000, "x-" * 150_000, "a[b]" * 60_000, "a[" * 100_000, "a: b[" * 60_000, "$" * 200_000, "p: " + "T<" * 100_000, "a|b" * 60_000, "a: " * 90_000, "p: " + "a|" * 90_000, "p: " + "T<>" * 60_000):
+        secrets.literal_spans(text)
+    assert time.process_time() - started < 20
+
+
 def test_quality(texts, docs, empty):
     def brute(t):
         t = t or ""
