@@ -26,6 +26,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "ip", "card", "phone", "ctx_email", "ctx_ip", "ctx_card", "ctx_phone")
 
+#: Bytes of a graph up to which its patterns and instances are broadcast.
+BROADCAST_BYTES = 16_000_000
 #: A token that can be an identifier; the shapes tell of which kind it can be.
 TOKEN = re.compile(r"\S*[0-9@]\S*")
 SHAPES = (
@@ -143,15 +145,18 @@ def score_patterns(edges: DataFrame, rounds: int = 2, damping: float = 3.0) -> D
     """(pattern, support, confidence) after `rounds` turns over the pattern-instance graph.
 
     A seed has confidence 1. A pattern's is the sum over its distinct instances by their number plus damping;
-    another instance's is the noisy-or of its patterns, each counted at half its confidence.
+    another instance's is the noisy-or of its patterns, each counted at half its confidence. A graph of few
+    bytes has its sides broadcast, so that no join sorts.
     """
+    width = edges.agg(F.sum(F.octet_length("pattern") + F.octet_length("instance") + 40)).first()[0] or 0
+    side = F.broadcast if width <= BROADCAST_BYTES else (lambda df: df)
     scored = edges.withColumn("belief", F.col("seed").cast("double"))
     patterns = None
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
-        joined = edges.join(patterns, "pattern")
+        joined = edges.join(side(patterns), "pattern")
         instances = joined.groupBy("instance").agg(F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)) / 2)))).alias("spread"))
-        scored = edges.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("known") == 1, 1.0).otherwise(F.col("spread")).alias("belief"))
+        scored = edges.join(side(instances), "instance").select("pattern", "instance", "seed", F.when(F.col("known") == 1, 1.0).otherwise(F.col("spread")).alias("belief"))
     return scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
 
 
