@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns give seed entities. The two words before an identifier-shaped token, or before a number in groups,
-form a lexical pattern of one kind; seeds score patterns and patterns score instances in turns, and the patterns that end with
-high confidence mark identifiers that no base pattern knows.
+Base patterns give seed entities. An identifier-shaped token, or a number in groups, has two lexical patterns of its
+kind: the two words before it, and the words on its two sides. Seeds score patterns and patterns score instances in
+turns, until no further pattern is accepted; the accepted ones mark identifiers that no base pattern knows.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -20,7 +21,8 @@ from .common import SPANS, map_rows, materialize, span_list
 #: Fixed patterns of the base kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 USER_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A run of digits that fails at its start fails inside as well, so a match begins where a run does; ++ never steps back.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -29,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone", "ctx_email", "ctx_ip", "ctx_card", "ctx
 #: Bytes of a graph up to which its patterns and instances are broadcast.
 BROADCAST_BYTES = 16_000_000
 #: A token that can be an identifier; the shapes tell of which kind it can be.
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 SHAPES = (
     ("email", re.compile(r"[\w.%+-]+(?:@|\[at\]|\(at\))[\w.-]+")),
     ("ip", re.compile(r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}")),
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         spans += [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        spans += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        spans += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 spans.append((m.start(), 2, m.end()))
@@ -81,6 +83,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+class Taken:
+    """Answers whether a span touches one of the given spans, by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
+
+
 def shape(token: str) -> str | None:
     return next((kind for kind, form in SHAPES if form.fullmatch(token)), None)
 
@@ -96,6 +116,15 @@ def words_before(text: str, at: int) -> str:
         width *= 4
 
 
+AFTER = re.compile(r"[.,;:!?\"'()\[\]{}<>]*+\s*+(\S*+)")
+
+
+def contexts(text: str, begin: int, end: int) -> tuple[str, str]:
+    """The patterns of a place: the two words before it, and the last of them with the word after it."""
+    before = words_before(text, begin)
+    return before, f"{before.rpartition(' ')[2]} _ {AFTER.match(text, end)[1].lower()}"
+
+
 def spaced(text: str, at: int) -> tuple[str, int, int] | None:
     """(kind, start, end) of a card or phone number written in groups that single spaces or spaced dashes part, from a token's start on."""
     for begin in (at - 1, at) if at and text[at - 1] == "(" else (at,):
@@ -105,8 +134,8 @@ def spaced(text: str, at: int) -> tuple[str, int, int] | None:
     return None
 
 
-def candidates(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, two words before in lower case, start, end) of identifier-shaped tokens, and of numbers in groups."""
+def candidates(text: str) -> Iterator[tuple[str, tuple[str, str], int, int]]:
+    """(kind, patterns in lower case, start, end) of identifier-shaped tokens, and of numbers in groups."""
     grouped = 0
     for m in TOKEN.finditer(text):
         raw = m[0]
@@ -114,9 +143,9 @@ def candidates(text: str) -> Iterator[tuple[str, str, int, int]]:
         token = raw.strip(TRIM)
         if a >= grouped and (whole := spaced(text, a)):
             kind, begin, grouped = whole
-            yield kind, words_before(text, m.start()), begin, grouped
-        if 6 <= len(token) <= 128 and (kind := shape(token)):
-            yield kind, words_before(text, m.start()), a, a + len(token)
+            yield kind, contexts(text, m.start(), grouped), begin, grouped
+        if kind := shape(token):
+            yield kind, contexts(text, m.start(), a + len(token)), a, a + len(token)
 
 
 def pattern_edges(docs: DataFrame, text_col: str) -> DataFrame:
@@ -129,11 +158,12 @@ def pattern_edges(docs: DataFrame, text_col: str) -> DataFrame:
                 if not text or not ("@" in text or DIGIT.search(text)):
                     continue
                 base = None
-                for kind, before, a, b in candidates(text):
-                    base = base if base is not None else [(x, y) for x, k, y in base_spans(text)]
-                    seed = int(any(x < b and a < y for x, y in base))
-                    pair = (f"{kind}|{before}", text[a:b])
-                    seen[pair] = max(seen.get(pair, 0), seed)
+                for kind, around, a, b in candidates(text):
+                    base = base or Taken(base_spans(text))
+                    seed = int(base.touches(a, b))
+                    for words in around:
+                        pair = (f"{kind}|{words}", text[a:b])
+                        seen[pair] = max(seen.get(pair, 0), seed)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.string()), pa.array(list(seen.values()), pa.int32())], names=["pattern", "instance", "seed"]
             )
@@ -141,31 +171,38 @@ def pattern_edges(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{text_col}`").alias("_0")).mapInArrow(run, "pattern string, instance string, seed int").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def score_patterns(edges: DataFrame, rounds: int = 2, damping: float = 3.0) -> DataFrame:
-    """(pattern, support, confidence) after `rounds` turns over the pattern-instance graph.
+def rate(scored: DataFrame, damping: float) -> DataFrame:
+    """(pattern, support, confidence): a pattern's confidence is the sum of its instances' beliefs by their number plus damping."""
+    return scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
+
 
-    A seed has confidence 1. A pattern's is the sum over its distinct instances by their number plus damping;
-    another instance's is the noisy-or of its patterns, each counted at half its confidence. A graph of few
+def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8, min_confidence: float = 0.7, rounds: int = 12, damping: float = 3.0) -> DataFrame:
+    """(pattern, support, confidence) of every high-confidence pattern, as a table in the shared folder.
+
+    The whole graph is scored, so that a pattern without a seed of its own learns from instances that others vouch for. A
+    seed's belief is 1; another instance's is the noisy-or of its patterns, each counted at half its confidence, and an
+    instance of an accepted pattern is believed at that pattern's confidence at least. Rounds go on while patterns are
+    accepted or confidence, which only grows, has gained over 0.2 %; `rounds` bounds them. A graph of few
     bytes has its sides broadcast, so that no join sorts.
     """
+    edges = materialize(pattern_edges(docs, text_col), "pii-edges")
     width = edges.agg(F.sum(F.octet_length("pattern") + F.octet_length("instance") + 40)).first()[0] or 0
     side = F.broadcast if width <= BROADCAST_BYTES else (lambda df: df)
-    scored = edges.withColumn("belief", F.col("seed").cast("double"))
-    patterns = None
+    good = (F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)
+    patterns = materialize(rate(edges.withColumn("belief", F.col("seed").cast("double")), damping), "pii-scores")
+    accepted, mass = -1, 0.0
     for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
-        joined = edges.join(side(patterns), "pattern")
-        instances = joined.groupBy("instance").agg(F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)) / 2)))).alias("spread"))
-        scored = edges.join(side(instances), "instance").select("pattern", "instance", "seed", F.when(F.col("known") == 1, 1.0).otherwise(F.col("spread")).alias("belief"))
-    return scored.groupBy("pattern").agg(F.count("*").alias("support"), (F.sum("belief") / (F.count("*") + F.lit(damping))).alias("confidence"))
-
-
-def learn_patterns(docs: DataFrame, text_col: str = "text", min_support: int = 8, min_confidence: float = 0.7, rounds: int = 2) -> DataFrame:
-    """(pattern, support, confidence) of every high-confidence pattern, as a table in the shared folder."""
-    edges = materialize(pattern_edges(docs, text_col), "pii-edges")
-    # The whole graph is scored: a pattern without a seed of its own learns from instances that other patterns vouch for.
-    scored = score_patterns(edges, rounds).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-    return materialize(scored, "pii-patterns")
+        now, total = patterns.agg(F.count(F.when(good, 1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if now == accepted and total <= 1.002 * mass:
+            break
+        accepted, mass = now, total
+        vouched = patterns.withColumn("sure", F.when(good, F.col("confidence")).otherwise(0.0))
+        joined = edges.join(side(vouched), "pattern")
+        spread = 1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)) / 2)))
+        belief = F.when(F.max("seed") == 1, 1.0).otherwise(F.greatest(spread, F.max("sure")))
+        instances = joined.groupBy("instance").agg(belief.alias("belief"))
+        patterns = materialize(rate(edges.join(side(instances), "instance"), damping), "pii-scores")
+    return materialize(patterns.where(good), "pii-patterns")
 
 
 def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -180,9 +217,11 @@ def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def contextual(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
     """(pattern, start, kind, end) of the candidates that no base span touches."""
     if "@" in text or DIGIT.search(text):
-        for kind, before, a, b in candidates(text):
-            if not any(x < b and a < y for x, _, y in base):
-                yield f"{kind}|{before}", a, KINDS.index(f"ctx_{kind}"), b
+        taken = Taken(base)
+        for kind, around, a, b in candidates(text):
+            if not taken.touches(a, b):
+                for words in around:
+                    yield f"{kind}|{words}", a, KINDS.index(f"ctx_{kind}"), b
 
 
 def scan(text: str, patterns: frozenset[str]) -> list[tuple[int, int, int]]:
@@ -209,7 +248,7 @@ def _by_join(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -
     schema = f"_id {kind}, key binary, base {MET}, met array<struct<pattern:string,span:struct<start:bigint,kind:int,end:bigint>>>"
     rows = materialize(map_rows(docs, [id_col, text_col], schema, start), "pii-rows")
     candidate = rows.where(F.size("met") > 0).select("key", F.inline("met")).distinct()
-    marked = candidate.join(patterns.select("pattern"), "pattern").groupBy("key").agg(F.collect_list("span").alias("more"))
+    marked = candidate.join(patterns.select("pattern"), "pattern").groupBy("key").agg(F.collect_set("span").alias("more"))
     # As outermost: a span that another holds is left out.
     held = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
     marked = marked.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: held(s, o))))
