@@ -1,7 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are measured on a bounded sample; rules then run by rejections per cost,
-and a text stops at the first rule that rejects it. The order changes the work, never the verdict.
+Each rule's cost and selectivity are measured on a bounded sample of whole texts from all partitions; rules then run by
+rejections per cost, and a text stops at the first rule that rejects it. The order changes the work, never the
+verdict. Features are made when a rule first asks for them; where the caller wants the base features of every text,
+the rules that rest on them cost nothing more, and the sample measures the others on top of them.
 """
 
 from __future__ import annotations
@@ -63,20 +65,24 @@ class Text:
 
     @cached_property
     def n_repeat_words(self) -> int:
-        """Words that lie in a window of five words which occurs twice or more; windows are told apart by 64-bit hashes."""
+        """Words that lie in a window of five words which occurs twice or more. Windows of equal hash are compared word by word."""
         n = self.n_words
         if n < 6:
             return 0
-        word = self.hashes
-        window = sum(word[i : n - 4 + i] * MIX[i] for i in range(5))
-        ordered = np.sort(window)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        if not len(twice):
+        window = sum(self.hashes[i : n - 4 + i] * MIX[i] for i in range(5))
+        order = np.argsort(window, kind="stable")
+        same = window[order[1:]] == window[order[:-1]]
+        if not same.any():
             return 0
-        starts = np.flatnonzero(np.isin(window, twice))
+        a, b = order[:-1][same], order[1:][same]
+        # Numbers that are the same for the same word, so that a clash of two windows' hashes can't count.
+        number: dict[bytes, int] = {}
+        exact = np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, n)
+        equal = np.logical_and.reduce([exact[a + i] == exact[b + i] for i in range(5)])
+        starts = np.unique(np.concatenate((a[equal], b[equal])))
         edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + 5, -1)
+        edge[starts] += 1
+        edge[starts + 5] -= 1
         return int((np.cumsum(edge) > 0).sum())
 
     @cached_property
@@ -116,14 +122,23 @@ RULES = (
 )
 
 
-def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Greedy: the rule that rejects most per second of those still kept goes next, measured with fresh features."""
+#: The rules that the base columns decide, and what makes these columns.
+BASE_RULES = ("few_words", "repeated_windows")
+BASE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES, made: tuple[str, ...] = ()) -> list[Rule]:
+    """Greedy: the rule that rejects most per second of those still kept goes next, measured with fresh features but those already made."""
     left, alive, order = list(rules), [t or "" for t in texts], []
     while left:
         best = None
         for rule in left:
+            fresh = [Text(t) for t in alive]
+            for text in fresh:
+                for name in made:
+                    getattr(text, name)
             began = time.perf_counter()
-            verdicts = [rule.rejects(Text(t)) for t in alive]
+            verdicts = [rule.rejects(t) for t in fresh]
             rate = sum(verdicts) / (time.perf_counter() - began + 1e-9)
             if best is None or rate > best[0]:
                 best = rate, rule, verdicts
@@ -133,10 +148,25 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> lis
     return order
 
 
-def plan_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int = 300) -> tuple[str, ...]:
-    """Rule names in the order to run, from at most sample_rows texts."""
-    rows = docs.select(F.substring(F.col(f"`{text_col}`"), 1, 20_000)).limit(sample_rows).collect()
-    return tuple(r.name for r in order_rules([r[0] for r in rows]))
+def spread_sample(docs: DataFrame, text_col: str, rows: int, of_each: int = 4) -> list[str | None]:
+    """At most `rows` whole texts: the first few of each partition, then by hash. A task stops after its first batch."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.slice(0, of_each)
+            return
+
+    first = docs.select(F.col(f"`{text_col}`").alias("_0")).mapInArrow(run, "_0 string")
+    return [r[0] for r in first.orderBy(F.xxhash64("_0")).limit(rows).collect()]
+
+
+def plan_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int = 300, with_base: bool = False) -> tuple[str, ...]:
+    """Rule names in the order to run, from at most sample_rows texts. with_base: for texts whose base features are there already and passed."""
+    texts = spread_sample(docs, text_col, sample_rows)
+    if with_base:
+        texts = [t for t in texts if not Text(t).base_failed]
+        return tuple(r.name for r in order_rules(texts, tuple(r for r in RULES if r.name not in BASE_RULES), BASE_FEATURES))
+    return tuple(r.name for r in order_rules(texts))
 
 
 def cascade(names: tuple[str, ...]) -> Callable[[Text], str | None]:
@@ -149,9 +179,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A null or empty text has no words and is rejected. A null id stays null, repeated rows each give a row, an
-    empty table gives none, other columns are ignored. One pass, no shuffle.
+    empty table gives none, other columns are ignored. One pass, no shuffle. The base columns decide first; a text
+    that they pass goes through the cascade of the other rules.
     """
-    names = plan_cascade(docs, text_col, sample_rows)
+    names = plan_cascade(docs, text_col, sample_rows, with_base=True)
 
     def start():
         first = cascade(names)
@@ -168,7 +199,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = 300) -> DataFrame:
-    """The rows that no rule rejects, with all columns; here the cascade saves the features that it doesn't reach."""
+    """The rows that no rule rejects, with all columns; the cascade saves the features that it doesn't reach.
+
+    Rows with a null or empty text go, repeated rows stay or go together, an empty table stays empty.
+    """
     names = plan_cascade(docs, text_col, sample_rows)
 
     def start():
