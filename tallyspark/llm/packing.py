@@ -28,33 +28,38 @@ SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
-def load(path: str):
+def load(path: str, ranks_path: str | None):
+    """The tokenizer and, if it is named, the faster library over the same vocabulary.
+
+    Both join the pair of lowest rank first. They give the same ids if the vocabularies are equal, every token's own bytes
+    come out as that token, and words are split alike; a test shows all three, for every token and every plain character.
+    """
     import base64
 
     import tiktoken
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)
-    ranks_path = path.removesuffix(".json") + ".tiktoken"
-    try:
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    except FileNotFoundError:
+    if ranks_path is None:
         return full, None
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return full, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Ids(dict):
     """Ids of a word as bytes, in a bounded table. prefix: what stands before the word."""
 
-    def __init__(self, path: str, prefix: str, size: int):
+    def __init__(self, path: str, ranks_path: str | None, prefix: str, size: int):
         super().__init__()
-        (self.full, self.plain), self.prefix, self.size = load(path), prefix, size
+        (self.full, self.plain), self.prefix, self.size = load(path, ranks_path), prefix, size
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.size:
-            self.clear()
-        self[word] = ids = self.encode(self.prefix + word)
+        ids = self.encode(self.prefix + word)
+        if len(word) <= 64:
+            if len(self) >= self.size:
+                self.clear()
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -70,8 +75,8 @@ class Encoder:
     are encoded one by one through tables: a space goes with the word after it, a line break is an id of its own.
     """
 
-    def __init__(self, path: str, size: int = 250_000):
-        self.spaced, self.opening = Ids(path, " ", size), Ids(path, "", size // 4)
+    def __init__(self, path: str, ranks_path: str | None = None, size: int = 250_000):
+        self.spaced, self.opening = Ids(path, ranks_path, " ", size), Ids(path, ranks_path, "", size // 4)
         self.newline = self.opening.encode("\n")
         self.end = END_ID.to_bytes(4, "little")
 
@@ -136,15 +141,19 @@ def _batch(rows: list[tuple], schema: pa.Schema, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, space: int = 32, fan_in: int = 32) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, space: int = 32, fan_in: int = 32) -> DataFrame:
     """One row per piece: doc_id, doc_tokens, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
+    ids are those of the tokenizer at `path`; ranks_path names the same vocabulary's rank file, with which plain texts are
+    encoded several times as fast. Without `path` both are those of byte_bpe_50k.
+
     Null and empty texts are their end id alone. A null id stays null; repeated rows are packed each, an empty table
     gives no rows, other columns are ignored. sequence_id is unique: round, task or group, and number there are parts of
     it. Pieces are written once to the shared folder; only windows that stay open, `space` a task at
     most, meet again: fan_in tasks' windows in one task of the next round, until one is left.
     """
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    if path is None:
+        path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -153,7 +162,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def first_round(batches):
-        encode, task = Encoder(path), TaskContext.get().partitionId()
+        encode, task = Encoder(path, ranks_path), TaskContext.get().partitionId()
         packer = Packer(size, space, task << 32)
         rows, held = [], 0
         for batch in batches:
