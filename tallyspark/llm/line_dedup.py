@@ -30,33 +30,34 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A line's key is the line without spaces at its ends, A-Z in lower case. Keys of min_chars code points that
     min_docs distinct ids hold stay only in the smallest of these ids (there every time). Null and empty texts are
     one empty line and become "". Rows with a null id are no holders and keep all lines; rows that share an id are
-    one holder, and each gives a row; all other columns pass, whatever their names but _id, _key and _text.
+    one holder, and each gives a row; an empty table gives none. Other columns pass; one called n_lines or n_dropped is replaced.
 
-    Hashes of lines are written once to the shared folder. Both aggregations combine in the map tasks, a common
-    line is spread by document before its count, and the joins are plain, so that skewed ones are split at run time.
+    Hashes of lines are written once to the shared folder. Distinct holders are counted in two steps, so that a common
+    line is spread by document before its count; common lines are written, so that their join is a plain one that is
+    split at run time where a line is hot.
     """
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), text_key(F.col(f"`{text_col}`")).alias("_key"), F.col(f"`{text_col}`").alias("_text"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    ident, body = F.col(names[id_col]), F.col(names[text_col])
+    base = plain.select(ident.alias("_id"), text_key(body).alias("_key"), body.alias("_text"))
     lines = materialize(_hashed_lines(base.where(F.col("_id").isNotNull()), min_chars), "lines")
-    if min_docs == 2:  # two distinct holders: the smallest isn't the largest; no distinct step is needed
-        common = lines.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
-    else:
-        holders = lines.select("h1", "h2", "_id").distinct()
-        common = holders.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    doomed = lines.join(common.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("_id") > F.col("first"))
+    holders = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("n"), F.min("_id").alias("first"))
+    common = materialize(holders.where(F.col("n") >= min_docs).select("h1", "h2", "first"), "common-lines")
+    doomed = lines.join(common, ["h1", "h2"]).where(F.col("_id") > F.col("first"))
     places = doomed.groupBy("_id", "_key").agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": text_key(F.col(f"`{text_col}`"))}).join(places, ["_id", "_key"], "left")
-    parts = split_lines(F.col(f"`{text_col}`"))
+    joined = plain.withColumns({"_id": ident, "_key": text_key(body)}).join(places, ["_id", "_key"], "left")
+    parts = split_lines(body)
     n = F.size(parts)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.get(F.col("_parts"), i)), "\n")
     joined = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts))
-    text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(kept)
+    text = F.when(F.col("_gone").isNull(), F.coalesce(body, F.lit(""))).otherwise(kept)
     return joined.select(
-        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
+        *((text if c == text_col else F.col(names[c])).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped") or c in (id_col, text_col)),
         n.cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input with the text replaced by its kept lines, and nothing else changed."""
+    """The input with the text replaced by its kept lines, and nothing else changed; nulls, repeats and empty tables as above, columns of any name."""
     return on_plain_names(docs, lambda d, name: drop_repeated_lines(d, name(id_col), name(text_col), **options))
