@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER_BYTES, materialize
+from .common import LOWER_BYTES, materialize, on_plain_names
 
 ROWS, BANDS, BITS = 4, 24, 2
 HASHES = 512  # of which ROWS * BANDS make the bands; all make the signature
-#: Four and a half of the estimate's standard deviations at 0.8.
-MARGIN = 0.095
+#: Five of the estimate's standard deviations at 0.8.
+MARGIN = 0.11
 #: Pivots of a bucket in the first rounds.
 POPULAR = (1, 16)
 _seeds = np.random.Generator(np.random.PCG64(20240607))
@@ -91,7 +91,10 @@ def bands_of(best: np.ndarray) -> np.ndarray:
 
 
 def packed(best: np.ndarray) -> np.ndarray:
-    """The low BITS of the minima, as 64-bit numbers."""
+    """The low BITS of the scrambled minima, as 64-bit numbers: scrambled, because a product's low bits hang on its factors' low bits alone."""
+    best = (best ^ (best >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    best = (best ^ (best >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    best = best ^ (best >> np.uint32(16))
     low = (best & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
@@ -127,8 +130,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 c, n, s, b = [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = shingles.words(text)
-                    digest = xxhash.xxh3_128_digest(b" ".join(words))
-                    c.append(np.frombuffer(digest, "<i8"))
+                    c.append(np.frombuffer(digest(words), "<i8"))
                     own = shingles(words)
                     n.append(len(own))
                     best = minima(own)
@@ -164,6 +166,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v) of the pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -186,15 +192,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def member_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, text) of the classes in wanted (c, _id): ids find the rows, the class hash picks among rows that share an id."""
+    """(c, text) of the classes in wanted (c, c1, c2, _id): ids find the rows, the class's 128-bit hash picks among rows that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = Shingles(1).words
         for batch in batches:
-            keep = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words_of(t)))[:8], "little", signed=True) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            c1, c2, texts = (batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("c1", "c2", "text"))
+            keep = [np.frombuffer(digest(words_of(t)), "<i8").tolist() == [x, y] for x, y, t in zip(c1, c2, texts, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["c", "text"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "_id").select("c", "text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "_id").select("c", "c1", "c2", "text")
     return rows.mapInArrow(run, "c bigint, text string").dropDuplicates(["c"])
 
 
@@ -215,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and it is kept. Rows that share an id each give a row by their own text; an empty table gives none; other
     columns are ignored.
 
-    A link at the threshold is missed with a chance of (1 - 0.8^4)^24 = 3e-6 by the bands and 3e-6 by the estimate.
+    A link at the threshold is missed with a chance of (1 - 0.8^4)^24 = 3e-6 by the bands and less by the estimate.
+    Classes are told apart by 128 bits of hash and then have numbers of their own.
     Copies are collapsed before anything is paired. The first rounds pair a bucket's members with its most popular
     ones; later rounds take pivots outside the bucket's largest component, `pivots` at first and eight times as many
     each round, and pair them with members of other components. Pivots then leave the bucket, and a bucket of one
@@ -223,13 +231,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialize(sketch(docs, id_col, text_col, size), "sketch")
     full = rows.where(F.col("_id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(full.groupBy("c1", "c2").agg(F.min("_id").alias("_id")), "classes")
-    reps = full.join(classes, ["c1", "c2", "_id"], "left_semi").dropDuplicates(["c1", "c2"]).withColumnRenamed("c1", "c")
+    classes = materialize(full.groupBy("c1", "c2").agg(F.min("_id").alias("_id")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    reps = full.join(classes, ["c1", "c2", "_id"]).dropDuplicates(["c1", "c2"])
     banded = reps.select("c", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(banded.join(shared, "band"), "members")
-    signed = materialize(reps.select("c", "_id", "n", "bands", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
-    texts = materialize(member_texts(docs, signed.select("c", "_id"), id_col, text_col), "texts")
+    signed = materialize(reps.select("c", "c1", "c2", "_id", "n", "bands", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
+    texts = materialize(member_texts(docs, signed.select("c", "c1", "c2", "_id"), id_col, text_col), "texts")
     signatures = signed.select("c", "n", "bands", *SIGNATURE)
     active = members.select("band", "at", "c").join(signed.select("c", "popular"), "c")
     roots = done = None
@@ -265,9 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = confirm(pairs, texts, size, percent)
         roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         active = active.join(pivot.select("band", "c"), ["band", "c"], "left_anti").select("band", "at", "c", "popular")
-    by_class = classes.withColumn("root", F.col("c1"))
+    by_class = classes
     if roots is not None:
-        by_class = classes.join(roots.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
+        by_class = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         by_root = by_class.groupBy("root").agg(F.min("_id").alias("component"))
         by_class = by_class.join(by_root, "root").select("c1", "c2", "component")
     else:
@@ -277,9 +285,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stand for their groups, each once, with the columns they had; rows with a null id stay."""
-    verdicts = near_duplicates(docs, id_col, **options).where("kept").select(F.col(f"`{id_col}`").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    ids = docs.withColumn("_id", F.col(f"`{id_col}`"))
-    kept = ids.join(verdicts, "_id", "left_semi").unionByName(ids.where(F.col("_id").isNull()))
-    return kept.drop("_id")
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that stand for their groups, with the columns they had, whatever their names.
+
+    All rows of a kept id stay, and so do rows with a null id; an empty table gives none. Ids travel as verdicts, texts
+    once, in a join by id.
+    """
+    verdicts = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(f"`{id_col}`").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+
+    def change(d: DataFrame, name) -> DataFrame:
+        own = F.col(name(id_col))
+        # A merge join at every size: most ids are kept, so that no side is small.
+        return d.join(verdicts.hint("merge"), own == F.col("_id"), "left_semi").unionByName(d.where(own.isNull()))
+
+    return on_plain_names(docs, change)
