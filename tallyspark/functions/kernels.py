@@ -109,11 +109,17 @@ def gibbs(rows: list[tuple[np.ndarray, np.ndarray]], n: int, efflen: np.ndarray,
     """Draws of x: reads are assigned by x and probability, then x is drawn from a Dirichlet of the counts plus one, over effective length."""
     rng = np.random.default_rng(seed)
     x, out = np.full(n, 1 / n), []
+    features = np.concatenate([f for f, _ in rows]) if rows else np.zeros(0, np.int64)
+    probs = np.concatenate([p for _, p in rows]) if rows else np.zeros(0)
+    ends = np.cumsum([len(f) for f, _ in rows], dtype=np.int64)
     for step in range(burn_in + draws * stride):
-        counts = np.zeros(n)
-        for features, probs in rows:
-            w = np.cumsum(probs * x[features])
-            counts[features[min(np.searchsorted(w, rng.random() * w[-1], "right"), len(features) - 1)]] += 1
+        # One cumulative sum over all reads; each read draws a place in its own stretch of it.
+        upto = np.cumsum(probs * x[features])
+        stop = upto[ends - 1]
+        start = np.concatenate(([0.0], stop[:-1]))[: len(ends)]
+        drawn = np.searchsorted(upto, start + rng.random(len(ends)) * (stop - start), "right")
+        first = np.concatenate(([0], ends[:-1]))[: len(ends)]
+        counts = np.bincount(features[np.clip(drawn, first, ends - 1)], minlength=n)
         x = rng.gamma(counts + 1)
         x /= x.sum()
         if step >= burn_in and (step - burn_in) % stride == stride - 1:

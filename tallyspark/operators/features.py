@@ -91,9 +91,10 @@ def retained_introns(exons: DataFrame, width: int = 1000) -> DataFrame:
     introns = exons.withColumn("after", F.lead("first").over(w)).where("after is not null")
     introns = introns.groupBy("seqname", "strand", (F.col("last") + 1).alias("i_first"), (F.col("after") - 1).alias("i_last")).agg(F.array_sort(F.collect_set("transcript")).alias("exclude"))
     keyed = lambda df: df.withColumn("place", F.concat_ws("|", "seqname", "strand"))
-    outer = keyed(exons).select("place", "transcript", F.col("first").alias("o_first"), F.col("last").alias("o_last"))
+    # Transcripts share exons: each distinct exon meets the introns once, with the set of its transcripts.
+    outer = keyed(exons).groupBy("place", F.col("first").alias("o_first"), F.col("last").alias("o_last")).agg(F.collect_set("transcript").alias("ids"))
     joined = containment_join(outer, keyed(introns), "place", width)
-    return joined.groupBy("seqname", "strand", F.col("i_first").alias("intron_first"), F.col("i_last").alias("intron_last")).agg(F.array_sort(F.collect_set("transcript")).alias("include"), F.first("exclude").alias("exclude"))
+    return joined.groupBy("seqname", "strand", F.col("i_first").alias("intron_first"), F.col("i_last").alias("intron_last")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("include"), F.first("exclude").alias("exclude"))
 
 
 def length_distribution(lengths: DataFrame, most: int = 2000, least_observed: int = 1000) -> DataFrame:

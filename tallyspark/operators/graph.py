@@ -76,12 +76,13 @@ def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame
             raise RuntimeError(f"components have not converged after {most} rounds")
 
 
-def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """(u, v, distance): the k nearest others of each query by squared distance, exact.
 
     Queries (all vectors, if none are given) meet the vectors block by block; each block keeps its k best of a query, so
-    that a query's final choice is among k times `blocks` rows.
+    that a query's final choice is among k times `blocks` rows. Without `blocks`, a block holds some 5,000 vectors.
     """
+    blocks = blocks or max(16, -(-vectors.count() // 5_000))
     q = (queries if queries is not None else vectors).select(F.col(key).alias("u"), F.col(vector).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     rows = vectors.select(F.col(key).alias("v"), F.col(vector).alias("b"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     squares = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))

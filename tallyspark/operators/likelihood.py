@@ -19,7 +19,7 @@ def em_round(table: DataFrame, y: DataFrame, small: bool) -> DataFrame:
     weighted = table.join(F.broadcast(y) if small else y, "feature").withColumn("w", F.col("prob") * F.col("y"))
     count = F.col("count") if "count" in table.columns else F.lit(1)
     shares = weighted.withColumn("share", count * F.col("w") / F.sum("w").over(W.partitionBy("read")))
-    counts = shares.groupBy("feature").agg(F.sum("share").alias("c"))
+    counts = materialize(shares.groupBy("feature").agg(F.sum("share").alias("c")), "em-counts")
     total = counts.agg(F.sum("c").alias("total"))
     return y.select("feature").join(counts, "feature", "left").crossJoin(F.broadcast(total)).select("feature", (F.coalesce("c", F.lit(0.0)) / F.col("total")).alias("y"))
 
@@ -38,16 +38,16 @@ def em(table: DataFrame, features: DataFrame, rounds: int | None = None, toleran
     """
     n = features.count()
     small = n <= broadcast_rows
+    table = materialize(table, "likelihood")
     y = features.select("feature", F.lit(1.0 / max(n, 1)).alias("y"))
     if rounds is not None:
         for _ in range(rounds):
-            y = em_round(table, y, small)
+            y = materialize(em_round(table, y, small), "em")
         return y
     before = None
     for number in range(most):
-        y = em_round(table, y, small)
+        y = materialize(em_round(table, y, small), "em")
         if number % 5 == 4:
-            y = materialize(y, "em")
             now = log_likelihood(table, y).first()[0]
             if before is not None and now - before < tolerance:
                 break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ def sample_posterior(prepared: DataFrame, draws: int = 1000, seed: int = 123_456
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                own = seed + int.from_bytes(row.sample.encode()[-4:], "little")
+                own = seed + zlib.crc32(row.sample.encode())
                 x = kernels.sample_simplex(row.mu, row.omega, row.alpha, np.asarray(row.parents), np.asarray(row.leaves), draws, own)
                 yield pd.DataFrame({"sample": row.sample, "draw": range(draws), "x": list(x)})
 

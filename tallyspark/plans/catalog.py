@@ -451,8 +451,9 @@ def reservoir_by_hash(spark, sf_dir):
 
 @query("SELECT p_brand AS gene, a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b USING (p_brand) WHERE a.p_partkey < b.p_partkey AND a.p_size = b.p_size")
 def exclusion_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("u"), "p_size")
-    return p.join(p.withColumnRenamed("u", "v"), ["gene", "p_size"]).where("u < v").select("gene", "u", "v")
+    """Parts of one brand and size are features of one gene."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("u"), F.concat_ws("|", "p_brand", "p_size").alias("locus"))
+    return coregulation.exclusions(p, "u", "locus").join(p.select("u", "gene"), "u").select("gene", "u", "v")
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part)) AS only_left, (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem)) AS only_right")

@@ -37,8 +37,8 @@ def genes(rows: DataFrame) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence) of each record: files are split at ">" by the reader, so a record is one row and no task holds a file."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    """(name, sequence) of each record: files are split at a ">" that begins a line, so a record is one row and no task holds a file."""
+    rows = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''").withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substring(F.col("value"), F.char_length(head) + 2, F.char_length("value")), r"\s", "")
     return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.upper(body).alias("sequence"))
@@ -58,15 +58,17 @@ def cigar_ops(cigar: Column) -> Column:
 
 
 def sam(spark: SparkSession, path: str, excluded: DataFrame | None = None, strip_mate: bool = False) -> DataFrame:
-    """(read_name, seqname, left, right, flag, cigar) of mapped alignments, each once; left counts a leading clip, as right does the last base."""
+    """(read_name, seqname, left, right, flag, cigar) of mapped alignments, each once; left counts all operations before the first match, as right does the last base."""
     rows = spark.read.csv(path, sep="\t", comment="@", schema=SAM, quote="").where("(flag & 4) = 0 AND seqname <> '*'")
     if excluded is not None:
         rows = rows.join(F.broadcast(excluded) if excluded.limit(100_001).count() <= 100_000 else excluded, "seqname", "left_anti")
     ops = cigar_ops(F.col("cigar"))
-    lead = F.when(F.get(ops, F.lit(0))["op"] == "S", F.get(ops, F.lit(0))["len"]).otherwise(0)
-    span = F.aggregate(ops, F.lit(0).cast("long"), lambda n, o: n + F.when(o["op"].isin("M", "D", "N", "S", "=", "X"), o["len"]).otherwise(0))
+    matched = F.array_position(F.transform(ops, lambda o: o["op"].isin("M", "=", "X")), True)
+    before = F.when(matched > 0, matched - 1).otherwise(0).cast("int")
+    lead = F.aggregate(F.slice(ops, F.lit(1), before), F.lit(0).cast("long"), lambda n, o: n + o["len"])
+    span = F.aggregate(F.slice(ops, before + 1, F.size(ops)), F.lit(0).cast("long"), lambda n, o: n + F.when(o["op"].isin("M", "D", "N", "S", "=", "X"), o["len"]).otherwise(0))
     name = F.regexp_replace("read_name", r"/\d$", "") if strip_mate else F.col("read_name")
-    return rows.select(name.alias("read_name"), "seqname", (F.col("pos") - lead).alias("left"), (F.col("pos") - lead + span - 1).alias("right"), "flag", ops.alias("cigar")).distinct()
+    return rows.select(name.alias("read_name"), "seqname", (F.col("pos") - lead).alias("left"), (F.col("pos") + span - 1).alias("right"), "flag", ops.alias("cigar")).distinct()
 
 
 def equivalence_classes(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import approximation, kernels, scalar
-from tallyspark.operators import compatibility, coregulation, effects, features, graph, intervals, likelihood, models, posterior
-from tallyspark.plans import catalog
+from tallyspark.operators import compatibility, coregulation, effects, features, graph, intervals, likelihood, models, posterior, relations
+from tallyspark.plans import catalog, more, store
 from tallyspark.sources import readers, sinks
 from tallyspark.streaming import counts
 
@@ -36,6 +36,23 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
+def test_further_queries_are_registered():
+    assert {"fragment_probability", "store_transcript_sides"} <= {n for n in dir(more)} & set(catalog.QUERIES)
+
+
+def test_side_stores_are_attached_side_by_side(spark, tmp_path):
+    for k in ("a", "b"):
+        store.write({"effects": spark.createDataFrame([(k, 1, 0.5)], "factor string, feature_num long, w double")}, str(tmp_path / k))
+        store.attach(spark, str(tmp_path / k), f"{k}_")
+    assert [tuple(r) for r in spark.sql("SELECT x.factor, y.factor FROM a_effects x JOIN b_effects y USING (feature_num)").collect()] == [("a", "b")]
+
+
+def test_dense_ids_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, None if i % 3 else "x") for i in range(200)], "k int, other string")
+    assert [(r.k, r.id) for r in relations.dense_ids(rows, ["k"]).orderBy("k").collect()] == [(i, i + 1) for i in range(50)]
+    assert relations.dense_ids(rows.limit(0), ["k"]).count() == 0
+
+
 def test_em_step_by_hand(spark):
     x = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "read int, feature int, prob double")
     f = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "feature int, efflen double")
