@@ -42,9 +42,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
 
 
-def row_key(doc_id, text: str | None) -> int:
-    """Equal rows have equal keys."""
-    return int.from_bytes(xxhash.xxh3_64_digest(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass")), "little", signed=True)
+def row_key(doc_id, text: str | None) -> bytes:
+    """128 bits; equal rows have equal keys."""
+    return xxhash.xxh3_128_digest(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass"))
 
 
 def squeeze(ascending: np.ndarray) -> bytes:
@@ -106,8 +106,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, limit: int = 300_00
 class Classes:
     """Word classes and their probabilities: the end, all rare words as one, and each word of the vocabulary.
 
-    Good-Turing gives unseen words p0 = n1 / N. Half of it goes to a reserved class that never occurs, so that no
-    context has seen every class; half lies in the rare class.
+    Good-Turing gives the unseen word, which is one type for all words that training lacks, p0 = n1 / N. It is one of the rare
+    words; so the probabilities of the end, of every word of the training texts and of the unseen word sum to one.
     """
 
     ids: dict[bytes, int]
@@ -119,8 +119,12 @@ class Classes:
     @property
     def p(self) -> np.ndarray:
         p = (1 - self.unseen) * self.counts / max(self.tokens, 1)
-        p[RARE] += self.unseen / 2
-        return p if self.tokens else np.full(len(p), 0.5 / len(p))
+        p[RARE] += self.unseen
+        return p if self.tokens else np.full(len(p), 1 / len(p))
+
+    def share_of_rare(self, count: int) -> float:
+        """The probability, among rare words, of one that training has `count` times."""
+        return ((1 - self.unseen) * count / self.tokens if count else self.unseen) / self.p[RARE]
 
 
 def learn_classes(unigram: DataFrame, vocabulary: int) -> Classes:
@@ -144,7 +148,7 @@ def _blocks(docs: DataFrame, classes, id_col: str, text_col: str, parts: int, tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = classes.value.ids.get
         held: list[np.ndarray] = []
-        keys: list[int] = []
+        keys: list[bytes] = []
         size = 0
 
         def flush():
@@ -163,7 +167,7 @@ def _blocks(docs: DataFrame, classes, id_col: str, text_col: str, parts: int, tr
                     own = own >> np.uint64(13) << np.uint64(13) | local.astype(np.uint64)
                     rows.append((int(part[order[a]]), squeeze(own), squeeze_counts(n[order[a:b]]), [keys[i] for i in there]))
             columns = zip(*rows, strict=True) if rows else [[], [], [], []]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "entries", "counts", "keys"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["part", "entries", "counts", "keys"])
             held.clear()
             keys.clear()
             return out
@@ -187,7 +191,7 @@ def _blocks(docs: DataFrame, classes, id_col: str, text_col: str, parts: int, tr
         yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_0"), F.col(f"`{text_col}`").alias("_1"))
-    return rows.mapInArrow(run, "part int, entries binary, counts binary, keys array<bigint>")
+    return rows.mapInArrow(run, "part int, entries binary, counts binary, keys array<binary>")
 
 
 BIGRAMS = "part int, pairs binary, counts binary, of_counts array<bigint>, context array<int>, low array<array<bigint>>, high array<bigint>, p array<double>, hot array<bigint>, hot_counts array<bigint>"
@@ -269,11 +273,15 @@ def weights_of(bigrams: DataFrame, classes: Classes) -> Weights:
         total[context] = high + sum(x * (r + 1) for r, x in enumerate(low))
         seen[context] = below
     with np.errstate(divide="ignore", invalid="ignore"):
+        # A context that every class has followed needs no rest: its discounted counts are scaled up to one.
+        every = seen >= 1 - 1e-9
+        seen = np.where(every, 0.0, seen)
         alpha = np.where(total > 0, (1 - mass / np.maximum(total, 1)) / (1 - seen), 1.0)
         # A context whose counts are all high keeps no mass by its discounts; what it has never seen gets one count's share.
         alpha = np.where((alpha <= 0) & (total > 0), 1 / (total + 1) / (1 - seen), alpha)
         full = (mass >= total) & (total > 0)
-        weights = Weights(np.log10(np.where(full, total + 1, np.maximum(total, 1))), np.log10(alpha), np.log10(p), np.concatenate(([1.0], d)), np.zeros(0))
+        norm = np.where(every, np.maximum(mass, 1e-300), np.where(full, total + 1, np.maximum(total, 1)))
+        weights = Weights(np.log10(norm), np.log10(alpha), np.log10(p), np.concatenate(([1.0], d)), np.zeros(0))
     hot = min(HOT, size)
     grid = weights.log_alpha[:hot, None] + weights.log_p[None, :hot]
     for pair, n in bigrams.select(F.inline(F.arrays_zip("hot", "hot_counts"))).collect():
@@ -292,7 +300,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return KatzModel(unigram, bigrams, parts, classes, weights_of(bigrams, classes))
 
 
-ROWS = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, near double, rare array<struct<word:string,n:bigint>>"
+ROWS = "key binary, held_out boolean, n_tokens bigint, n_known bigint, base double, near double, rare array<struct<word:string,n:bigint>>"
 
 
 def _local(docs: DataFrame, model: KatzModel, id_col: str, text_col: str) -> DataFrame:
@@ -350,10 +358,10 @@ def _distant(docs: DataFrame, model: KatzModel, id_col: str, text_col: str) -> D
             value[n > 0] = weights.log_seen(context[n > 0], n[n > 0])
             sums.append(np.bincount((entries & np.uint64(8191)).astype(np.int64), times * value, minlength=len(own)))
             keys += own
-        return pa.table({"key": pa.array(keys, pa.int64()), "far": pa.array(np.concatenate(sums) if sums else [], pa.float64())})
+        return pa.table({"key": pa.array(keys, pa.binary()), "far": pa.array(np.concatenate(sums) if sums else [], pa.float64())})
 
     blocks = _blocks(docs, spark.sparkContext.broadcast(model.classes), id_col, text_col, model.parts, False).groupBy("part")
-    return blocks.cogroup(model.bigrams.select("part", "pairs", "counts").groupBy("part")).applyInArrow(score_part, "key bigint, far double").groupBy("key").agg(F.sum("far").alias("far"))
+    return blocks.cogroup(model.bigrams.select("part", "pairs", "counts").groupBy("part")).applyInArrow(score_part, "key binary, far double").groupBy("key").agg(F.sum("far").alias("far"))
 
 
 def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,7 +375,7 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     listed = rows.groupBy("key").agg(F.count("*").alias("copies"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rows.select("key", F.inline("rare")).join(model.unigram, "word", "left")
-    inside = F.when(c > 0, F.log10((1 - F.lit(classes.unseen)) * c / max(classes.tokens, 1))).otherwise(F.lit(float(np.log10(classes.unseen / 2))))
+    inside = F.when(c > 0, F.log10((1 - F.lit(classes.unseen)) * c / max(classes.tokens, 1))).otherwise(F.lit(float(np.log10(classes.unseen))))
     rare = rare.groupBy("key").agg(
         F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(classes.tokens + classes.types + 1)))).alias("rare_base"),
         F.sum(F.col("n") * (inside - F.lit(float(np.log10(classes.p[RARE]))))).alias("rare_score"),

@@ -440,25 +440,68 @@ def test_katz(spark, texts, docs, empty, vocabulary):
     classes = model.classes
     size = len(classes.counts)
     assert size <= vocabulary + 2 and classes.counts.sum() == total
-    assert classes.p.sum() == pytest.approx(1 - classes.unseen / 2)
+    assert classes.p.sum() == pytest.approx(1)
+    rare_words = [w for w in c if w and w.encode() not in classes.ids]
+    assert sum(map(classes.share_of_rare, (c[w] for w in rare_words))) + classes.share_of_rare(0) == pytest.approx(1)
     if size < 200:
         table, counts = model_probabilities(model)
         for a in range(size):
-            reserved = 10 ** model.weights.log_alpha[a] * classes.unseen / 2
-            assert table[a].sum() + reserved == pytest.approx(1)
+            assert table[a].sum() == pytest.approx(1)
         for i, t in rows:
             own = [w for w in re.split(WS, (t or "").translate(AZ)) if w]
             ids = [0, *(classes.ids.get(w.encode(), 1) for w in own), 0]
             want = sum(math.log10(table[a, b]) for a, b in zip(ids, ids[1:], strict=False))
             for w, k in zip(own, ids[1:], strict=False):
                 if k == 1:
-                    inside = (1 - classes.unseen) * c[w] / total if c[w] else classes.unseen / 2
-                    want += math.log10(inside / classes.p[1])
+                    want += math.log10(classes.share_of_rare(c[w]))
             assert got[i, len(own) + 1].score == pytest.approx(want)
     assert katz.score(docs, katz.train(docs)).count() == len(TRICKY)
     assert katz.score(empty, katz.train(empty)).count() == 0
 
 
+def test_katz_equals_a_model_from_raw_counts(spark):
+    """Nothing of the operator's is used: counts, discounts, backoff weights and recursion are made again from the texts."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, rng.integers(0, 40)))) for i in range(200)]
+    rows[7] = (7, "never seen before w1 w2")
+    c1, c2 = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            own = ["</s>", *t.split(), "</s>"]
+            c1.update(own[1:])
+            c2.update(zip(own, own[1:], strict=False))
+    total, once = sum(c1.values()), sum(n == 1 for n in c1.values())
+    p0 = once / total
+    one = lambda w: (1 - p0) * c1[w] / total if c1[w] else p0
+    n = [sum(x == r for x in c2.values()) for r in range(1, 7)]
+    common = 6 * n[5] / n[0]
+    absolute = [(r - 0.999 * n[0] / (n[0] + 2 * n[1])) / r for r in range(1, 6)]
+    turing = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) if min(n) and common < 1 else -1 for r in range(1, 6)]
+    d = [g if 0 < g < 1 else a for g, a in zip(turing, absolute, strict=True)]
+    after = defaultdict(dict)
+    for (a, b), k in c2.items():
+        after[a][b] = k
+
+    def two(a, b):
+        seen = after.get(a)
+        if not seen:
+            return one(b)
+        whole = sum(seen.values())
+        mass = sum(k * (d[k - 1] if k <= 5 else 1) for k in seen.values())
+        whole += mass >= whole
+        if b in seen:
+            return seen[b] * (d[seen[b] - 1] if seen[b] <= 5 else 1) / whole
+        return (1 - mass / whole) / (1 - sum(map(one, seen))) * one(b)
+
+    words = [*c1, "unseen"]
+    assert all(sum(two(a, b) for b in words) == pytest.approx(1) for a in after)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in katz.score(df, katz.train(df)).collect()}
+    for i, t in rows:
+        own = ["</s>", *t.split(), "</s>"]
+        assert got[i] == pytest.approx(sum(math.log10(two(a, b)) for a, b in zip(own, own[1:], strict=False)), rel=1e-9), i
+
+
 def test_katz_beats_the_base_on_held_out_text(spark):
     rng = np.random.default_rng(1)
     follow = {w: [f"w{x}" for x in rng.integers(0, 300, 4)] for w in [f"w{i}" for i in range(300)]}
