@@ -35,7 +35,7 @@ QUALIFIED_KEY = {"api", "access", "private", "secret", "auth", "encryption", "si
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|change_me|example|your[_-].*|placeholder|none|null|true|false|undefined|todo|redacted|<.*>|\$\{.*|%\(.*|\{\{.*)$")
 
 #: Cheap test of a whole text: without one of these there is no sensitive name.
-HINT = re.compile(r"(?i)pass|pwd|secret|token|key|credential|auth|bearer|signature|salt")
+HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "salt")
 TOKEN = re.compile(r"""[A-Za-z_$][\w.$-]*+|["'`]|=>|:=|[=!<>]=|[0-9][\w.]*+|[=:+\[\](){}<>,#?|&\n]""")
 STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"} | {"`": re.compile(r"`[^`]*+`")}
 BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>#]++""")
@@ -239,7 +239,8 @@ def literal_score(value: str) -> float:
 
 def literal_spans(text: str, threshold: float = 4.5) -> set[tuple[int, int]]:
     """Literals whose sensitive target name and own look, alone or joined with the others of the value, score at least threshold."""
-    if not HINT.search(text):
+    lower = text.lower()
+    if not any(hint in lower for hint in HINTS):
         return set()
     pairs = Pairs(text).found
     where: dict[str, list[int]] = defaultdict(list)
