@@ -92,7 +92,32 @@ QUERIES = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 ORACLE_SQL = {
+    "op2_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+        f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                     strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS bytes, len(string_split(t, chr(10))) AS n_lines FROM d),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORDS}') GROUP BY 1),
+        v AS (SELECT doc_id, s, list_aggregate(w[s:s + 4], 'string_agg', ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d)),
+        m AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, win) AS k FROM v),
+        h AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + 5)) AS place FROM m WHERE k > 1) GROUP BY 1),
+        u AS (SELECT doc_id, count(*) AS n_stutters FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM d) WHERE w[i] = w[i - 1] GROUP BY 1),
+        a AS (SELECT f.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutters, 0) AS n_stutters FROM f LEFT JOIN l USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN u USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND 10 * n_symbols <= 3 * n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_dup_lines <= 7 * n_lines AND 2 * letters >= bytes AND 10 * n_stutters <= 3 * n_words AS kept FROM b""",
+    "op7_minhash": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORDS}') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, list_aggregate(w[s:s + 3], 'string_agg', ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT u, v FROM p JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * m >= 80 * (a.n + b.n - m)),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u),
+        c AS (SELECT node, min(reached) AS component FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.node = d.doc_id""",
     "op3_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

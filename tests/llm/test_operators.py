@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 
 from tallyspark.llm import chat, common, decontaminate, katz, line_dedup, near_dedup, packing, pii, quality, secrets, tokens
-from tallyspark.llm.queries import QUERIES
+from tallyspark.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 WS = r"[\x20\x09-\x0D]"
@@ -656,5 +656,19 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in pieces} == set(clean) and 0 < len(clean) <= len(kept) <= len(good) < len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == columns
+    assert rows_of(got.select(*columns)) == sorted(want.project(", ".join(columns)).fetchall(), key=repr)
+
+
 def test_each_operator_has_its_query():
     assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
