@@ -1,12 +1,19 @@
-"""Language-model scoring with Katz backoff.
+"""Language-model scoring with Katz backoff over all words.
 
-Bigram counts are Good-Turing discounted; backoff weights make each context's probabilities sum to one. Counts live
-in a table partitioned by a hash of the pair; token pairs travel to it as sorted, delta-coded blocks, once to be
-counted and once to be scored. A token is scored recursively: its bigram, else the context's weight times the
-word's class, and within the class of rare words the word itself.
+Bigram counts are Good-Turing discounted; backoff weights make each context's probabilities sum to one. Counts live in one
+partitioned table. A word is coded by its number, if it is among the `vocabulary` most frequent ones, else by 63 bits of its
+hash; every pair of codes has its own count. There are three kinds of part:
 
-What is broadcast is bounded by `vocabulary` (words, at most 65,533) and HOT: pairs of the HOT most frequent words are
-scored where the text is, so that no pair which travels has more than one token in HOT.
+* PAIRS: both words are numbered; keyed by a hash of the pair;
+* FOLLOWERS: the second word is not; keyed by it, so that its own count is there too;
+* CONTEXTS: the first word is not; keyed by it, so that all that its weight needs is there too.
+
+A pair of two words without numbers is in the last two. No key is hot: what has no number is rarer than all that has one.
+Texts are cut into blocks of rows. Token pairs travel to the parts as sorted, coded entries, once to be counted and once to be
+scored. Scores come back as one packed array of sums for each block and part, and are added up by block.
+
+What is broadcast is bounded by `vocabulary` (words, at most 65,533) and HOT: pairs of the HOT most frequent words are scored
+where the text is, so that no pair which travels has more than one token in HOT. The vocabulary changes the work, never the model.
 """
 
 from __future__ import annotations
@@ -14,8 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +29,18 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import LOWER_BYTES, materialize
 
-END, RARE, FIRST_WORD = 0, 1, 2
+END, FIRST_WORD = 0, 1
+PAIRS, FOLLOWERS, CONTEXTS = 0, 1, 2
+#: Codes from here on are hashes of words without a number.
+UNNUMBERED = 1 << 63
 HOT = 512
+#: Rows in a block at most.
+BLOCK_ROWS = 8192
 #: Counts up to here are discounted.
 CUTOFF = 5
 #: Buckets of a count, a power of e each sixteenth: a threshold on them bounds the vocabulary without a sort.
@@ -42,40 +55,77 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
 
 
-def row_key(doc_id, text: str | None) -> bytes:
-    """128 bits; equal rows have equal keys."""
-    return xxhash.xxh3_128_digest(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass"))
+class Codes(dict):
+    """Code of a word: its number in the vocabulary, else its hash above all numbers."""
 
+    def __missing__(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) | UNNUMBERED
 
-def squeeze(ascending: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as compressed planes of the bytes of their differences."""
-    steps = np.diff(ascending, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
+def pack(first: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, the first ascending, as compressed planes of bytes; of the first its differences."""
+    columns = (np.diff(first, prepend=np.uint64(0)), *others)
+    planes = b"".join(np.ascontiguousarray(c).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
-def expand(data: bytes) -> np.ndarray:
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+    out = [np.ascontiguousarray(c.T).view("<u8").reshape(-1) for c in raw.reshape(columns, 8, len(raw) // (8 * columns))]
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def squeeze_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+def unpack_all(blobs: list[bytes], columns: int) -> list[np.ndarray]:
+    parts = [unpack(b, columns) for b in blobs]
+    return [np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in parts)]) for i in range(columns)]
 
 
-def expand_counts(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns]))
+
+
+def tally(key: np.ndarray, other: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The distinct (key, other, row), ascending, with the sums of n."""
+    order = np.lexsort((row, other, key)) if row.any() else np.lexsort((other, key)) if other.any() else np.argsort(key, kind="stable")
+    key, other, row, n = key[order], other[order], row[order], n[order]
+    at = runs(key, other, row)
+    return [key[at], other[at], row[at], np.add.reduceat(n, at) if len(at) else n]
+
 
+def find(keys: np.ndarray, others: np.ndarray, key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Place of each (key, other) among the ascending pairs (keys, others), or -1."""
+    if not len(keys):
+        return np.full(len(key), -1)
+    one, place = np.unique(keys, return_inverse=True)
+    two, within = np.unique(others, return_inverse=True)
+    i, j = np.minimum(np.searchsorted(one, key), len(one) - 1), np.minimum(np.searchsorted(two, other), len(two) - 1)
+    have, want = place * len(two) + within, i * len(two) + j
+    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return np.where((one[i] == key) & (two[j] == other) & (have[at] == want), at, -1)
 
-def part_of(pairs: np.ndarray, parts: int) -> np.ndarray:
-    x = (pairs ^ (pairs >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
 
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
-def pairs_of(ids: np.ndarray) -> np.ndarray:
-    """context << 16 | token, for each token and the end; a text begins after an end."""
-    whole = np.concatenate(([END], ids, [END])).astype(np.uint64)
-    return whole[:-1] << np.uint64(16) | whole[1:]
+
+@dataclass(frozen=True)
+class Layout:
+    """Numbers of parts: of PAIRS first, then as many of FOLLOWERS as of CONTEXTS."""
+
+    pairs: int
+    unnumbered: int
+
+    def kind(self, part: int) -> int:
+        return PAIRS if part < self.pairs else FOLLOWERS if part < self.pairs + self.unnumbered else CONTEXTS
+
+    def part(self, kind: int, key: np.ndarray) -> np.ndarray:
+        if kind == PAIRS:
+            return bucket_of(key, self.pairs)
+        return self.pairs + (kind - FOLLOWERS) * self.unnumbered + bucket_of(key, self.unnumbered)
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, limit: int = 300_000) -> DataFrame:
@@ -104,27 +154,27 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, limit: int = 300_00
 
 @dataclass
 class Classes:
-    """Word classes and their probabilities: the end, all rare words as one, and each word of the vocabulary.
+    """Numbered words, the end first, and probabilities of single words.
 
-    Good-Turing gives the unseen word, which is one type for all words that training lacks, p0 = n1 / N. It is one of the rare
-    words; so the probabilities of the end, of every word of the training texts and of the unseen word sum to one.
+    Good-Turing gives the unseen word, which is one type for all words that training lacks, p0 = n1 / N; the others share the rest
+    by their counts. So the probabilities of the end, of every word of the training texts and of the unseen word sum to one.
     """
 
     ids: dict[bytes, int]
-    counts: np.ndarray  # by class, in training tokens
+    counts: np.ndarray  # by number, in training tokens
     tokens: int
     types: int
     unseen: float
 
     @property
     def p(self) -> np.ndarray:
-        p = (1 - self.unseen) * self.counts / max(self.tokens, 1)
-        p[RARE] += self.unseen
-        return p if self.tokens else np.full(len(p), 1 / len(p))
+        return self.p_of(self.counts) if self.tokens else np.full(len(self.counts), 1 - self.unseen)
+
+    def p_of(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, (1 - self.unseen) * counts / max(self.tokens, 1), self.unseen)
 
-    def share_of_rare(self, count: int) -> float:
-        """The probability, among rare words, of one that training has `count` times."""
-        return ((1 - self.unseen) * count / self.tokens if count else self.unseen) / self.p[RARE]
+    def log_base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
 
 def learn_classes(unigram: DataFrame, vocabulary: int) -> Classes:
@@ -138,90 +188,129 @@ def learn_classes(unigram: DataFrame, vocabulary: int) -> Classes:
         most, total = b, total + n
     rows = [] if most is None else unigram.where((F.col("word") != "") & (bucket >= most)).collect()
     rows = sorted((-r.c, r.word.encode()) for r in rows)
-    counts = np.array([ends, tokens - ends + sum(c for c, _ in rows), *(-c for c, _ in rows)], np.float64)
+    counts = np.array([ends, *(-c for c, _ in rows)], np.float64)
     return Classes({w: i + FIRST_WORD for i, (_, w) in enumerate(rows)}, counts, tokens, types, once / tokens if 0 < once < tokens else 1 / (tokens + 2))
 
 
-def _blocks(docs: DataFrame, classes, id_col: str, text_col: str, parts: int, training: bool, limit: int = 3_000_000) -> DataFrame:
-    """(part, entries, counts, keys): blocks of token pairs. For training: sums by pair; else by pair and row, without pairs of hot words."""
+def entries_of(a: np.ndarray, b: np.ndarray, row: np.ndarray, training: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(kind, [key, other, row, times]) of the token pairs (a, b). In training, pairs of two unnumbered words go to FOLLOWERS alone."""
+    far_a, far_b = a >= UNNUMBERED, b >= UNNUMBERED
+    near = ~(far_a | far_b)
+    both = (a[near] << np.uint64(16) | b[near]) << np.uint64(13) | row[near]
+    both, n = np.unique(both, return_counts=True)
+    yield PAIRS, [both >> np.uint64(13), np.zeros(len(both), np.uint64), both & np.uint64(BLOCK_ROWS - 1), n.astype(np.uint64)]
+    yield FOLLOWERS, tally(b[far_b], a[far_b], row[far_b], np.ones(far_b.sum(), np.uint64))
+    first = far_a & ~far_b if training else far_a
+    yield CONTEXTS, tally(a[first], b[first], row[first], np.ones(first.sum(), np.uint64))
+
+
+def by_part(layout: Layout, kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    part = layout.part(kind, columns[0])
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = runs(part)
+    for i, j in zip(at, np.append(at, len(part))[1:], strict=True):
+        yield int(part[i]), [c[order[i:j]] for c in columns]
+
+
+def _blocks(docs: DataFrame, classes, layout: Layout, id_col: str, text_col: str, hot=None, limit: int = 3_000_000) -> DataFrame:
+    """(part, block, entries, head): blocks of token pairs. In training (no `hot`) they are sums by pair, and head is null. Else they
+    are sums by pair and row, without pairs of hot words; head is in one part's row of each block and has what needs no table: id,
+    held_out, and the tokens, base sum and hot pairs' sum of numbered words. A block is named by a hash of its rows."""
+    training = hot is None
+    head = f"array<struct<id:{dict(docs.dtypes)[id_col]},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,near:double>>"
+    schema = f"part int, block binary, entries binary, head {head}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = classes.value.ids.get
-        held: list[np.ndarray] = []
-        keys: list[bytes] = []
-        size = 0
+        words = classes.value
+        codes = Codes(words.ids)
+        base, grid = words.log_base(words.counts), None if training else hot.value
+        known_end = int(words.counts[END] > 0)
+        held: list[tuple] = []
+        heads: list[dict] = []
+        name = xxhash.xxh3_128()
+        rows = size = 0
 
         def flush():
-            entries = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            entries, n = np.unique(entries, return_counts=True)
-            part = part_of(entries if training else entries >> np.uint64(13), parts)
-            order = np.argsort(part, kind="stable")
-            bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-            rows = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own = entries[order[a:b]]
-                if training:
-                    rows.append((int(part[order[a]]), squeeze(own), squeeze_counts(n[order[a:b]]), []))
-                else:
-                    there, local = np.unique(own & np.uint64(8191), return_inverse=True)
-                    own = own >> np.uint64(13) << np.uint64(13) | local.astype(np.uint64)
-                    rows.append((int(part[order[a]]), squeeze(own), squeeze_counts(n[order[a:b]]), [keys[i] for i in there]))
-            columns = zip(*rows, strict=True) if rows else [[], [], [], []]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["part", "entries", "counts", "keys"])
+            nonlocal rows, size
+            a, b, row = (np.concatenate(c) for c in zip(*held, strict=True))
+            out = []
+            for kind, columns in entries_of(a, b, row, training):
+                out += [(part, name.digest(), pack(*own), None) for part, own in by_part(layout, kind, columns)]
+            if not training:
+                first = out.pop() if out else (0, name.digest(), pack(*[np.zeros(0, np.uint64)] * 4), None)
+                out.append((*first[:3], list(heads)))
             held.clear()
-            keys.clear()
-            return out
+            heads.clear()
+            name.reset()
+            rows = size = 0
+            for row in out:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if training and held_out(doc_id):
+                out = held_out(doc_id)
+                if training and out:
                     continue
-                words = words_of(text)
-                pairs = pairs_of(np.fromiter(map(get, words, repeat(RARE)), np.uint64, len(words)))
+                own = words_of(text)
+                own = np.fromiter(map(codes.__getitem__, own), np.uint64, len(own))
+                a, b = np.concatenate(([np.uint64(END)], own)), np.concatenate((own, [np.uint64(END)]))
                 if not training:
-                    pairs = pairs[(pairs >> np.uint64(16) >= HOT) | (pairs & np.uint64(65535) >= HOT)]
-                    pairs = pairs << np.uint64(13) | np.uint64(len(keys))
-                    keys.append(row_key(doc_id, text))
-                held.append(pairs)
-                size += len(pairs)
-                if size > limit or len(keys) == 8192:
-                    yield flush()
-                    size = 0
-        yield flush()
+                    near = (a < HOT) & (b < HOT)
+                    numbered = own[own < UNNUMBERED].astype(np.int64)
+                    pairs_near = float(grid[a[near].astype(np.int64), b[near].astype(np.int64)].sum())
+                    heads.append({"id": doc_id, "held_out": out, "n_tokens": len(b), "n_known": len(numbered) + known_end, "base": float(base[numbered].sum() + base[END]), "near": pairs_near})
+                    name.update(f"{doc_id}\0{text or ''}\0".encode("utf-8", "surrogatepass"))
+                    a, b = a[~near], b[~near]
+                held.append((a, b, np.full(len(a), 0 if training else rows, np.uint64)))
+                rows += 1
+                size += len(a)
+                if size > limit or rows == BLOCK_ROWS:
+                    yield from flush()
+        if rows:
+            yield from flush()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_0"), F.col(f"`{text_col}`").alias("_1"))
-    return rows.mapInArrow(run, "part int, entries binary, counts binary, keys array<binary>")
-
+    return rows.mapInArrow(run, schema)
 
-BIGRAMS = "part int, pairs binary, counts binary, of_counts array<bigint>, context array<int>, low array<array<bigint>>, high array<bigint>, p array<double>, hot array<bigint>, hot_counts array<bigint>"
 
+BIGRAMS = "part int, pairs binary, of_counts array<bigint>, context array<int>, low array<array<bigint>>, high array<bigint>, p array<double>, hot array<bigint>, hot_counts array<bigint>"
 
-def count_bigrams(docs: DataFrame, classes, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """One row per part: its pairs and counts; how many pairs have the counts 1 to CUTOFF + 1; and per context the numbers
-    of successors with each low count, the sum of the high counts, the class probability of all successors, and its hot pairs."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
+def count_bigrams(docs: DataFrame, classes, layout: Layout, id_col: str, text_col: str) -> DataFrame:
+    """One row per part: its pairs and counts (key, other, n, 0); how many pairs have the counts 1 to CUTOFF + 1; and per numbered context
+    the numbers of successors with each low count, the sum of the high counts, the probability of all successors, and its hot pairs."""
     arrow = to_arrow_schema(StructType.fromDDL(BIGRAMS))
 
-    def merge(key, table):
-        pairs = np.concatenate([expand(x) for x in table.column("entries").to_pylist()])
-        n = np.concatenate([expand_counts(x) for x in table.column("counts").to_pylist()])
-        order = np.argsort(pairs, kind="stable")
-        pairs, n = pairs[order], n[order]
-        starts = np.flatnonzero(np.diff(pairs, prepend=np.uint64(2**63)))
-        pairs, n = pairs[starts], np.add.reduceat(n, starts) if len(starts) else n
-        contexts, local = np.unique(pairs >> np.uint64(16), return_inverse=True)
-        k, p = len(contexts), classes.value.p
-        low = [np.bincount(local[n == r], minlength=k).tolist() for r in range(1, CUTOFF + 1)]
-        high = np.bincount(local[n > CUTOFF], n[n > CUTOFF], minlength=k).astype(np.int64)
-        seen = np.bincount(local, p[(pairs & np.uint64(65535)).astype(np.int64)], minlength=k)
-        hot = (pairs >> np.uint64(16) < HOT) & (pairs & np.uint64(65535) < HOT)
-        row = (key[0].as_py(), squeeze(pairs), squeeze_counts(n), [int((n == r).sum()) for r in range(1, CUTOFF + 2)], contexts.astype(np.int64).tolist(), low, high.tolist(), seen.tolist(), pairs[hot].astype(np.int64).tolist(), n[hot].tolist())
+    def merge(name, table):
+        kind = layout.kind(name[0].as_py())
+        key, other, zero, times = tally(*unpack_all(table.column("entries").to_pylist(), 4))
+        n, words = times.astype(np.int64), classes.value
+        context, p, near = other, np.zeros(len(key)), other < UNNUMBERED
+        if kind == PAIRS:
+            context, p = key >> np.uint64(16), words.p[(key & np.uint64(65535)).astype(np.int64)]
+        elif kind == FOLLOWERS:
+            p = words.p_of(of_key(key, n))
+        else:
+            near = np.zeros(len(key), bool)
+        contexts, local = np.unique(context[near], return_inverse=True)
+        k, m = len(contexts), n[near]
+        low = [np.bincount(local[m == r], minlength=k).tolist() for r in range(1, CUTOFF + 1)]
+        high = np.bincount(local[m > CUTOFF], m[m > CUTOFF], minlength=k).astype(np.int64)
+        seen = np.bincount(local, p[near], minlength=k)
+        hot = (key >> np.uint64(16) < HOT) & (key & np.uint64(65535) < HOT) & (kind == PAIRS)
+        row = (name[0].as_py(), pack(key, other, times, zero), [int((n == r).sum()) for r in range(1, CUTOFF + 2)], contexts.astype(np.int64).tolist(), low, high.tolist(), seen.tolist(), key[hot].astype(np.int64).tolist(), n[hot].tolist())
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
-    return _blocks(docs, classes, id_col, text_col, parts, True).groupBy("part").applyInArrow(merge, BIGRAMS)
+    return _blocks(docs, classes, layout, id_col, text_col).select("part", "entries").groupBy("part").applyInArrow(merge, BIGRAMS)
+
+
+def of_key(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of n over the rows with its key; equal keys are neighbours."""
+    at = runs(key)
+    return np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, len(key)))) if len(at) else n
 
 
 def discounts(of_counts: list[int]) -> np.ndarray:
@@ -236,18 +325,33 @@ def discounts(of_counts: list[int]) -> np.ndarray:
     return np.where((d > 0) & (d < 1), d, fixed)
 
 
+def context_weights(mass: np.ndarray, total: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of what counts are divided by, log10 of the backoff weight) of contexts, from the discounted and the whole sum of their
+    counts and from the probability of their successors as single words."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # A context that every word has followed needs no rest: its discounted counts are scaled up to one.
+        every = seen >= 1 - 1e-9
+        seen = np.where(every, 0.0, seen)
+        alpha = np.where(total > 0, (1 - mass / np.maximum(total, 1)) / (1 - seen), 1.0)
+        # A context whose counts are all high keeps no mass by its discounts; what it has never seen gets one count's share.
+        full = (mass >= total) & (total > 0)
+        alpha = np.where(full, 1 / (total + 1) / (1 - seen), alpha)
+        norm = np.where(every, np.maximum(mass, 1e-300), np.where(full, total + 1, np.maximum(total, 1)))
+        return np.log10(norm), np.log10(alpha)
+
+
 @dataclass
 class Weights:
-    """What scoring needs besides the table of counts, by class: all bounded by the vocabulary."""
+    """What scoring needs besides the tables of counts, by number: all bounded by the vocabulary."""
 
-    log_context: np.ndarray
-    log_alpha: np.ndarray
-    log_p: np.ndarray
-    discount: np.ndarray
-    hot: np.ndarray  # log10 probability of token b after a, HOT x HOT
+    classes: Classes
+    discount: np.ndarray  # of the counts 0 to CUTOFF
+    log_norm: np.ndarray = field(default=None)
+    log_alpha: np.ndarray = field(default=None)
+    hot: np.ndarray = field(default=None)  # log10 probability of token b after a, HOT x HOT
 
-    def log_seen(self, context: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.log10(np.where(n <= CUTOFF, self.discount[np.minimum(n, CUTOFF)], 1.0) * n) - self.log_context[context]
+    def discounted(self, n: np.ndarray) -> np.ndarray:
+        return np.where(n <= CUTOFF, self.discount[np.minimum(n, CUTOFF)], 1.0) * n
 
 
 @dataclass
@@ -256,37 +360,27 @@ class KatzModel:
 
     unigram: DataFrame
     bigrams: DataFrame
-    parts: int
+    layout: Layout
     classes: Classes
     weights: Weights
 
 
 def weights_of(bigrams: DataFrame, classes: Classes) -> Weights:
     sums = bigrams.select(F.posexplode("of_counts")).groupBy("pos").agg(F.sum("col")).collect()
-    d = discounts([n for _, n in sorted(sums)])
-    size, p = len(classes.counts), classes.p
+    weights = Weights(classes, np.concatenate(([1.0], discounts([n for _, n in sorted(sums)]))))
+    size = len(classes.counts)
     zipped = F.arrays_zip("context", "high", "p", *(F.get("low", i).alias(f"n{i}") for i in range(CUTOFF)))
     flat = bigrams.select(F.inline(zipped)).groupBy("context").agg(F.sum("high"), F.sum("p"), *(F.sum(f"n{i}") for i in range(CUTOFF))).collect()
     mass, seen, total = np.zeros(size), np.zeros(size), np.zeros(size)
     for context, high, below, *low in flat:
-        mass[context] = high + sum(x * (r + 1) * d[r] for r, x in enumerate(low))
+        mass[context] = high + sum(x * (r + 1) * weights.discount[r + 1] for r, x in enumerate(low))
         total[context] = high + sum(x * (r + 1) for r, x in enumerate(low))
         seen[context] = below
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # A context that every class has followed needs no rest: its discounted counts are scaled up to one.
-        every = seen >= 1 - 1e-9
-        seen = np.where(every, 0.0, seen)
-        alpha = np.where(total > 0, (1 - mass / np.maximum(total, 1)) / (1 - seen), 1.0)
-        # A context whose counts are all high keeps no mass by its discounts; what it has never seen gets one count's share.
-        alpha = np.where((alpha <= 0) & (total > 0), 1 / (total + 1) / (1 - seen), alpha)
-        full = (mass >= total) & (total > 0)
-        norm = np.where(every, np.maximum(mass, 1e-300), np.where(full, total + 1, np.maximum(total, 1)))
-        weights = Weights(np.log10(norm), np.log10(alpha), np.log10(p), np.concatenate(([1.0], d)), np.zeros(0))
+    weights.log_norm, weights.log_alpha = context_weights(mass, total, seen)
     hot = min(HOT, size)
-    grid = weights.log_alpha[:hot, None] + weights.log_p[None, :hot]
+    weights.hot = weights.log_alpha[:hot, None] + np.log10(classes.p)[None, :hot]
     for pair, n in bigrams.select(F.inline(F.arrays_zip("hot", "hot_counts"))).collect():
-        grid[pair >> 16, pair & 65535] = weights.log_seen(np.array([pair >> 16]), np.array([n]))[0]
-    weights.hot = grid
+        weights.hot[pair >> 16, pair & 65535] = np.log10(weights.discounted(np.array([n]))[0]) - weights.log_norm[pair >> 16]
     return weights
 
 
@@ -295,73 +389,76 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark = docs.sparkSession
     unigram = materialize(word_counts(docs, id_col, text_col), "unigram")
     classes = learn_classes(unigram, min(vocabulary, 65_533))
-    parts = max(32, -(-classes.tokens // tokens_per_part))  # 32 at least, for a cluster's tasks
-    bigrams = materialize(count_bigrams(docs, spark.sparkContext.broadcast(classes), id_col, text_col, parts), "bigrams")
-    return KatzModel(unigram, bigrams, parts, classes, weights_of(bigrams, classes))
-
+    unnumbered = classes.tokens - int(classes.counts.sum())
+    layout = Layout(max(1, -(-classes.tokens // tokens_per_part)), max(1, -(-3 * unnumbered // tokens_per_part)))
+    bigrams = materialize(count_bigrams(docs, spark.sparkContext.broadcast(classes), layout, id_col, text_col), "bigrams")
+    return KatzModel(unigram, bigrams, layout, classes, weights_of(bigrams, classes))
 
-ROWS = "key binary, held_out boolean, n_tokens bigint, n_known bigint, base double, near double, rare array<struct<word:string,n:bigint>>"
 
-
-def _local(docs: DataFrame, model: KatzModel, id_col: str, text_col: str) -> DataFrame:
-    """What a row's own task knows: tokens and base sum of the vocabulary, its hot pairs' sum, and its rare words."""
-    spark = docs.sparkSession
-    classes = model.classes
-    base = np.log10((classes.counts + 1) / (classes.tokens + classes.types + 1))
-    base[RARE] = 0.0
-    shared = spark.sparkContext.broadcast((classes.ids, base, model.weights.hot))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"_id {kind}, {ROWS}"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    known_end = int(classes.counts[END] > 0)
+def tables_of(model: KatzModel) -> DataFrame:
+    """(part, pairs): the tables of counts, and for CONTEXTS also the pairs of two unnumbered words, with the follower's own count."""
+    layout = model.layout
+    arrow = to_arrow_schema(StructType.fromDDL("part int, pairs binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base, hot = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, rows = batch.slice(at, 1000), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    own = np.fromiter(map(ids.get, words, repeat(RARE)), np.int64, len(words))
-                    a, b = np.concatenate(([END], own)), np.concatenate((own, [END]))
-                    near = (a < HOT) & (b < HOT)
-                    rare = Counter(words[i] for i in np.flatnonzero(own == RARE))
-                    rows.append((doc_id, row_key(doc_id, text), held_out(doc_id), len(words) + 1, len(words) + known_end - rare.total(), float(base[own].sum() + base[END]), float(hot[a[near], b[near]].sum()), [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rare.items()]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+            for blob in batch.column(1).to_pylist():
+                follower, context, n, _ = unpack(blob, 4)
+                far = context >= UNNUMBERED
+                own = [context[far], follower[far], n[far], of_key(follower, n)[far]]
+                order = np.lexsort((own[1], own[0]))
+                for part, columns in by_part(layout, CONTEXTS, [c[order] for c in own]):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(*columns)], pa.binary())], schema=arrow)
 
-    return docs.select(F.col(f"`{id_col}`").alias("_0"), F.col(f"`{text_col}`").alias("_1")).mapInArrow(run, schema)
+    stored = model.bigrams.select("part", "pairs")
+    followers = stored.where((F.col("part") >= layout.pairs) & (F.col("part") < layout.pairs + layout.unnumbered))
+    return stored.unionByName(followers.mapInArrow(run, "part int, pairs binary"))
 
 
-def _distant(docs: DataFrame, model: KatzModel, id_col: str, text_col: str) -> DataFrame:
-    """(key, far): the sum over a row's other pairs, scored where the counts of each part are."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.weights)
-
-    def score_part(key, blocks, table):
-        weights = shared.value
-        known = expand(table.column("pairs")[0].as_py()) if table.num_rows else np.zeros(0, np.uint64)
-        counts = expand_counts(table.column("counts")[0].as_py()) if table.num_rows else np.zeros(0, np.int64)
-        keys, sums = [], []
-        for entries, times, own in zip(*(blocks.column(c).to_pylist() for c in ("entries", "counts", "keys")), strict=True):
-            entries, times = expand(entries), expand_counts(times)
-            pairs = entries >> np.uint64(13)
-            n = np.zeros(len(pairs), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                n = np.where(known[at] == pairs, counts[at], 0)
-            context, token = (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(65535)).astype(np.int64)
-            value = weights.log_alpha[context] + weights.log_p[token]
-            value[n > 0] = weights.log_seen(context[n > 0], n[n > 0])
-            sums.append(np.bincount((entries & np.uint64(8191)).astype(np.int64), times * value, minlength=len(own)))
-            keys += own
-        return pa.table({"key": pa.array(keys, pa.binary()), "far": pa.array(np.concatenate(sums) if sums else [], pa.float64())})
-
-    blocks = _blocks(docs, spark.sparkContext.broadcast(model.classes), id_col, text_col, model.parts, False).groupBy("part")
-    return blocks.cogroup(model.bigrams.select("part", "pairs", "counts").groupBy("part")).applyInArrow(score_part, "key binary, far double").groupBy("key").agg(F.sum("far").alias("far"))
+def scorer(kind: int, blobs: list[bytes], weights: Weights):
+    """A function from (key, other) of token pairs to their log10 probability, or this part's share of it, and to the count of the
+    token where it is kept here (FOLLOWERS), else None.
+
+    Where neither word has a number, FOLLOWERS gives what depends on the token and CONTEXTS what depends on the context.
+    """
+    keys, others, n, c = unpack_all(blobs, 4)
+    order = np.lexsort((others, keys))
+    keys, others, n, c = keys[order], others[order], n[order].astype(np.int64), c[order].astype(np.int64)
+    classes = weights.classes
+    p = classes.p
+    log_p = np.log10(p)
+    numbered = others < UNNUMBERED
+    starts = runs(keys)
+    if kind == CONTEXTS and len(starts):
+        single = classes.p_of(c)
+        single[numbered] = p[others[numbered].astype(np.int64)]
+        norm, alpha = context_weights(np.add.reduceat(weights.discounted(n), starts), np.add.reduceat(n, starts), np.add.reduceat(single, starts))
+    of_follower = of_key(keys, n)
+
+    def score(key: np.ndarray, other: np.ndarray):
+        at = find(keys, others, key, other)
+        seen = at >= 0
+        times = np.where(seen, n[at], 0) if len(n) else np.zeros(len(key), np.int64)
+        gain = np.zeros(len(key))
+        gain[seen] = np.log10(weights.discounted(times[seen]))
+        if kind == PAIRS:
+            a, b = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(65535)).astype(np.int64)
+            return np.where(seen, gain - weights.log_norm[a], weights.log_alpha[a] + log_p[b]), None
+        near = other < UNNUMBERED
+        word = np.where(near, other, 0).astype(np.int64)
+        first = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        known = keys[first] == key if len(keys) else np.zeros(len(key), bool)
+        if kind == FOLLOWERS:
+            count = np.where(known, of_follower[first], 0) if len(keys) else np.zeros(len(key), np.int64)
+            value = np.where(seen, gain, np.log10(classes.p_of(count)))
+            return value + np.where(near, np.where(seen, -weights.log_norm[word], weights.log_alpha[word]), 0.0), count
+        value = np.where(near, np.where(seen, gain, log_p[word]), 0.0)
+        if len(keys):
+            place = np.searchsorted(starts, first, side="right") - 1
+            value += np.where(seen, -norm[place], np.where(known, alpha[place], 0.0))
+        return value, None
+
+    return score
 
 
 def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,25 +467,41 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     Null and empty texts are their end alone. A null id counts as the empty text when rows are held out, and stays
     null; repeated rows are learned from each and score alike; an empty table gives no rows; other columns are ignored.
     """
-    classes = model.classes
-    rows = materialize(_local(docs, model, id_col, text_col), "scored")
-    listed = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = rows.select("key", F.inline("rare")).join(model.unigram, "word", "left")
-    inside = F.when(c > 0, F.log10((1 - F.lit(classes.unseen)) * c / max(classes.tokens, 1))).otherwise(F.lit(float(np.log10(classes.unseen))))
-    rare = rare.groupBy("key").agg(
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(classes.tokens + classes.types + 1)))).alias("rare_base"),
-        F.sum(F.col("n") * (inside - F.lit(float(np.log10(classes.p[RARE]))))).alias("rare_score"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-    )
-    sums = listed.join(_distant(docs, model, id_col, text_col), "key", "left").join(rare, "key", "left")
-    sums = sums.select("key", *((F.coalesce(x, F.lit(0.0)) / F.col("copies")).alias(x) for x in ("far", "rare_base", "rare_score", "rare_known")))
-    return rows.join(sums, "key").select(
-        F.col("_id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.round("rare_known").cast("long")).alias("n_known"),
-        F.lit(classes.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base")).alias("base_score"),
-        (F.col("near") + F.col("far") + F.col("rare_score")).alias("score"),
+    context = docs.sparkSession.sparkContext
+    classes, layout = context.broadcast(model.classes), model.layout
+    weights, hot = context.broadcast(model.weights), context.broadcast(model.weights.hot)
+    blocks = _blocks(docs, classes, layout, id_col, text_col, hot)
+    sums = StructType([blocks.schema["block"], *StructType.fromDDL("sums binary").fields, blocks.schema["head"]])
+    sums_arrow = to_arrow_schema(sums)
+
+    def score_part(name, entries, table):
+        values = scorer(layout.kind(name[0].as_py()), table.column("pairs").to_pylist(), weights.value)
+        out = []
+        for blob in entries.column("entries").to_pylist():
+            key, other, row, times = unpack(blob, 4)
+            value, count = values(key, other)
+            there, local = np.unique(row, return_inverse=True)
+            base, known = (np.zeros(len(key)), np.zeros(len(key))) if count is None else (classes.value.log_base(count), count > 0)
+            out.append(pack(there, *(np.bincount(local, times * x, minlength=len(there)).astype(np.float64).view(np.uint64) for x in (value, base, known))))
+        return pa.Table.from_arrays([entries.column("block"), pa.array(out, pa.binary()), entries.column("head")], schema=sums_arrow)
+
+    kind = dict(docs.dtypes)[id_col]
+    result = f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    result_arrow = to_arrow_schema(StructType.fromDDL(result))
+
+    def add_up(name, table):
+        """Blocks of the same rows have one name, and the sums of all; each gets an equal share."""
+        heads = [h for h in table.column("head").to_pylist() if h is not None]
+        total = np.zeros((3, BLOCK_ROWS))
+        for blob in table.column("sums").to_pylist():
+            row, *values = unpack(blob, 4)
+            for t, v in zip(total, values, strict=True):
+                t[row.astype(np.int64)] += v.view(np.float64)
+        value, base, known = total / max(len(heads), 1)
+        rows = [(x["id"], x["held_out"], x["n_tokens"], x["n_known"] + round(known[i]), x["base"] + base[i], x["near"] + value[i]) for h in heads for i, x in enumerate(h)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(result_arrow.types)], schema=result_arrow)
+
+    parts = blocks.groupBy("part").cogroup(tables_of(model).groupBy("part")).applyInArrow(score_part, sums)
+    return parts.groupBy("block").applyInArrow(add_up, result).select(
+        F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.classes.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -404,102 +404,103 @@ def test_components(spark):
     assert roots[139] == 101 and roots[140] == 100 and roots[200] == 6 and roots[13] == 12
 
 
-def model_probabilities(model):
-    """P(token | context) of each class, straight from the tables."""
-    size = len(model.classes.counts)
-    counts = {}
-    for r in model.bigrams.collect():
-        for pair, n in zip(katz.expand(r.pairs), katz.expand_counts(r.counts), strict=True):
-            counts[int(pair) >> 16, int(pair) & 65535] = int(n)
-    w = model.weights
-    out = np.zeros((size, size))
-    for a in range(size):
-        for b in range(size):
-            n = counts.get((a, b), 0)
-            out[a, b] = 10 ** (w.log_seen(np.array([a]), np.array([n]))[0] if n else w.log_alpha[a] + w.log_p[b])
-    return out, counts
-
-
-@pytest.mark.parametrize("vocabulary", [65_533, 40])
+def az_words(text):
+    return [w for w in re.split(WS, (text or "").translate(AZ)) if w]
+
+
+def is_held_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+class RawKatz:
+    """Katz backoff again, from the texts: nothing of the operator's is used."""
+
+    def __init__(self, rows):
+        self.c1, self.after, pairs = Counter(), defaultdict(dict), Counter()
+        for i, t in rows:
+            if not is_held_out(i):
+                own = ["", *az_words(t), ""]
+                self.c1.update(own[1:])
+                pairs.update(zip(own, own[1:], strict=False))
+        self.total = sum(self.c1.values())
+        self.p0 = sum(n == 1 for n in self.c1.values()) / self.total
+        n = [sum(x == r for x in pairs.values()) for r in range(1, 7)]
+        common = 6 * n[5] / n[0]
+        absolute = [(r - 0.999 * n[0] / (n[0] + 2 * n[1])) / r for r in range(1, 6)]
+        turing = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) if min(n) and common < 1 else -1 for r in range(1, 6)]
+        good = all(n)
+        self.d = [g if good and 0 < g < 1 else a for g, a in zip(turing, absolute, strict=True)]
+        for (a, b), k in pairs.items():
+            self.after[a][b] = k
+        self.weight = {}
+        for a, seen in self.after.items():
+            whole = sum(seen.values())
+            mass = sum(k * self.factor(k) for k in seen.values())
+            whole += mass >= whole
+            self.weight[a] = whole, (1 - mass / whole) / (1 - sum(map(self.one, seen)))
+
+    def factor(self, k):
+        return self.d[k - 1] if k <= 5 else 1
+
+    def one(self, w):
+        return (1 - self.p0) * self.c1[w] / self.total if self.c1[w] else self.p0
+
+    def two(self, a, b):
+        if a not in self.weight:
+            return self.one(b)
+        whole, alpha = self.weight[a]
+        k = self.after[a].get(b)
+        return k * self.factor(k) / whole if k else alpha * self.one(b)
+
+    def score(self, text):
+        own = ["", *az_words(text), ""]
+        return sum(math.log10(self.two(a, b)) for a, b in zip(own, own[1:], strict=False))
+
+
+@pytest.mark.parametrize("vocabulary", [65_533, 40, 0])
 def test_katz(spark, texts, docs, empty, vocabulary):
+    """What is numbered and how many parts there are changes no result."""
     df, rows = texts
-    model = katz.train(df, vocabulary=vocabulary)
-    words = {i: [w for w in re.split(WS, (t or "").translate(AZ)) if w] for i, t in rows}
-    training = [(i, t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    c = Counter()
-    for _, t in training:
-        c.update([*(w for w in re.split(WS, (t or "").translate(AZ)) if w), ""])
-    total, types = sum(c.values()), len(c)
+    model = katz.train(df, vocabulary=vocabulary, tokens_per_part=20_000)
+    assert len(model.classes.counts) <= vocabulary + 1 and model.layout.pairs > 1
+    raw = RawKatz(rows)
     got = {(r.doc_id, r.n_tokens): r for r in katz.score(df, model).collect()}
+    assert len(got) == len(rows) - 1  # one row is there twice
     for i, t in rows:
-        own = [*words[i], ""] if i != 7 else [*[w for w in re.split(WS, (t or "").translate(AZ)) if w], ""]
+        own = [*az_words(t), ""]
         r = got[i, len(own)]
-        assert (r.train_tokens, r.n_known) == (total, sum(c[w] > 0 for w in own))
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + types + 1)) for w in own))
-        assert r.held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2)
-    classes = model.classes
-    size = len(classes.counts)
-    assert size <= vocabulary + 2 and classes.counts.sum() == total
-    assert classes.p.sum() == pytest.approx(1)
-    rare_words = [w for w in c if w and w.encode() not in classes.ids]
-    assert sum(map(classes.share_of_rare, (c[w] for w in rare_words))) + classes.share_of_rare(0) == pytest.approx(1)
-    if size < 200:
-        table, counts = model_probabilities(model)
-        for a in range(size):
-            assert table[a].sum() == pytest.approx(1)
-        for i, t in rows:
-            own = [w for w in re.split(WS, (t or "").translate(AZ)) if w]
-            ids = [0, *(classes.ids.get(w.encode(), 1) for w in own), 0]
-            want = sum(math.log10(table[a, b]) for a, b in zip(ids, ids[1:], strict=False))
-            for w, k in zip(own, ids[1:], strict=False):
-                if k == 1:
-                    want += math.log10(classes.share_of_rare(c[w]))
-            assert got[i, len(own) + 1].score == pytest.approx(want)
-    assert katz.score(docs, katz.train(docs)).count() == len(TRICKY)
-    assert katz.score(empty, katz.train(empty)).count() == 0
-
-
-def test_katz_equals_a_model_from_raw_counts(spark):
-    """Nothing of the operator's is used: counts, discounts, backoff weights and recursion are made again from the texts."""
+        assert (r.train_tokens, r.n_known, r.held_out) == (raw.total, sum(raw.c1[w] > 0 for w in own), is_held_out(i))
+        assert r.base_score == pytest.approx(sum(math.log10((raw.c1[w] + 1) / (raw.total + len(raw.c1) + 1)) for w in own))
+        assert r.score == pytest.approx(raw.score(t), rel=1e-9), i
+    if vocabulary == 40:
+        assert katz.score(docs, katz.train(docs)).count() == len(TRICKY)
+        assert katz.score(empty, katz.train(empty)).count() == 0
+        assert katz.score(docs, katz.train(empty)).count() == len(TRICKY)
+
+
+@pytest.mark.parametrize("vocabulary", [65_533, 12, 0])
+def test_katz_equals_a_model_from_raw_counts(spark, vocabulary):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, rng.integers(0, 40)))) for i in range(200)]
     rows[7] = (7, "never seen before w1 w2")
-    c1, c2 = Counter(), Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            own = ["</s>", *t.split(), "</s>"]
-            c1.update(own[1:])
-            c2.update(zip(own, own[1:], strict=False))
-    total, once = sum(c1.values()), sum(n == 1 for n in c1.values())
-    p0 = once / total
-    one = lambda w: (1 - p0) * c1[w] / total if c1[w] else p0
-    n = [sum(x == r for x in c2.values()) for r in range(1, 7)]
-    common = 6 * n[5] / n[0]
-    absolute = [(r - 0.999 * n[0] / (n[0] + 2 * n[1])) / r for r in range(1, 6)]
-    turing = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) if min(n) and common < 1 else -1 for r in range(1, 6)]
-    d = [g if 0 < g < 1 else a for g, a in zip(turing, absolute, strict=True)]
-    after = defaultdict(dict)
-    for (a, b), k in c2.items():
-        after[a][b] = k
-
-    def two(a, b):
-        seen = after.get(a)
-        if not seen:
-            return one(b)
-        whole = sum(seen.values())
-        mass = sum(k * (d[k - 1] if k <= 5 else 1) for k in seen.values())
-        whole += mass >= whole
-        if b in seen:
-            return seen[b] * (d[seen[b] - 1] if seen[b] <= 5 else 1) / whole
-        return (1 - mass / whole) / (1 - sum(map(one, seen))) * one(b)
-
-    words = [*c1, "unseen"]
-    assert all(sum(two(a, b) for b in words) == pytest.approx(1) for a in after)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in katz.score(df, katz.train(df)).collect()}
+    raw = RawKatz(rows)
+    words = [*raw.c1, "unseen"]
+    assert all(sum(raw.two(a, b) for b in words) == pytest.approx(1) for a in raw.after)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in katz.score(df, katz.train(df, vocabulary=vocabulary)).collect()}
     for i, t in rows:
-        own = ["</s>", *t.split(), "</s>"]
-        assert got[i] == pytest.approx(sum(math.log10(two(a, b)) for a, b in zip(own, own[1:], strict=False)), rel=1e-9), i
+        assert got[i] == pytest.approx(raw.score(t), rel=1e-9), i
+
+
+def test_katz_blocks_of_equal_rows(spark):
+    """Two blocks that hold the same rows have one name; each row still gets its own score, once."""
+    rows = [(i, f"w{i} w{i + 1} w1") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model = katz.train(df, vocabulary=3)
+    once = rows_of(katz.score(df, model))
+    twice = rows_of(katz.score(df.unionByName(df), model))
+    assert [r[:2] for r in twice] == [r[:2] for r in once for _ in range(2)]
+    assert [r[-1] for r in twice] == pytest.approx([r[-1] for r in once for _ in range(2)])
 
 
 def test_katz_beats_the_base_on_held_out_text(spark):
