@@ -119,6 +119,10 @@ class Layout:
     pairs: int
     unnumbered: int
 
+    @property
+    def all(self) -> int:
+        return self.pairs + 2 * self.unnumbered
+
     def kind(self, part: int) -> int:
         return PAIRS if part < self.pairs else FOLLOWERS if part < self.pairs + self.unnumbered else CONTEXTS
 
@@ -213,7 +217,7 @@ def by_part(layout: Layout, kind: int, columns: list[np.ndarray]) -> Iterator[tu
         yield int(part[i]), [c[order[i:j]] for c in columns]
 
 
-def _blocks(docs: DataFrame, classes, layout: Layout, id_col: str, text_col: str, hot=None, limit: int = 3_000_000) -> DataFrame:
+def _blocks(docs: DataFrame, classes, layout: Layout, id_col: str, text_col: str, hot=None, limit: int = 2_000_000) -> DataFrame:
     """(part, block, entries, head): blocks of token pairs. In training (no `hot`) they are sums by pair, and head is null. Else they
     are sums by pair and row, without pairs of hot words; head is in one part's row of each block and has what needs no table: id,
     held_out, and the tokens, base sum and hot pairs' sum of numbered words. A block is named by a hash of its rows."""
@@ -304,7 +308,7 @@ def count_bigrams(docs: DataFrame, classes, layout: Layout, id_col: str, text_co
         row = (name[0].as_py(), pack(key, other, times, zero), [int((n == r).sum()) for r in range(1, CUTOFF + 2)], contexts.astype(np.int64).tolist(), low, high.tolist(), seen.tolist(), key[hot].astype(np.int64).tolist(), n[hot].tolist())
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
-    return _blocks(docs, classes, layout, id_col, text_col).select("part", "entries").groupBy("part").applyInArrow(merge, BIGRAMS)
+    return _blocks(docs, classes, layout, id_col, text_col).select("part", "entries").repartition(layout.all, "part").groupBy("part").applyInArrow(merge, BIGRAMS)
 
 
 def of_key(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -501,7 +505,9 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
         rows = [(x["id"], x["held_out"], x["n_tokens"], x["n_known"] + round(known[i]), x["base"] + base[i], x["near"] + value[i]) for h in heads for i, x in enumerate(h)]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(result_arrow.types)], schema=result_arrow)
 
-    parts = blocks.groupBy("part").cogroup(tables_of(model).groupBy("part")).applyInArrow(score_part, sums)
+    # As many tasks as parts, so that none grows with the corpus.
+    left, right = (side.repartition(layout.all, "part").groupBy("part") for side in (blocks, tables_of(model)))
+    parts = left.cogroup(right).applyInArrow(score_part, sums)
     return parts.groupBy("block").applyInArrow(add_up, result).select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.classes.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
