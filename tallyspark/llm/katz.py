@@ -39,6 +39,8 @@ PAIRS, FOLLOWERS, CONTEXTS = 0, 1, 2
 #: Codes from here on are hashes of words without a number.
 UNNUMBERED = 1 << 63
 HOT = 512
+#: Sums of logarithms travel as whole numbers of 2 ** -33, some 1e-10.
+STEP = 2.0**-33
 #: Rows in a block at most.
 BLOCK_ROWS = 8192
 #: Counts up to here are discounted.
@@ -475,8 +477,8 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     classes, layout = context.broadcast(model.classes), model.layout
     weights, hot = context.broadcast(model.weights), context.broadcast(model.weights.hot)
     blocks = _blocks(docs, classes, layout, id_col, text_col, hot)
-    sums = StructType([blocks.schema["block"], *StructType.fromDDL("sums binary").fields, blocks.schema["head"]])
-    sums_arrow = to_arrow_schema(sums)
+    returned = StructType([blocks.schema["block"], *StructType.fromDDL("sums binary").fields, blocks.schema["head"]])
+    sums_arrow = to_arrow_schema(returned)
 
     def score_part(name, entries, table):
         values = scorer(layout.kind(name[0].as_py()), table.column("pairs").to_pylist(), weights.value)
@@ -485,8 +487,9 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
             key, other, row, times = unpack(blob, 4)
             value, count = values(key, other)
             there, local = np.unique(row, return_inverse=True)
-            base, known = (np.zeros(len(key)), np.zeros(len(key))) if count is None else (classes.value.log_base(count), count > 0)
-            out.append(pack(there, *(np.bincount(local, times * x, minlength=len(there)).astype(np.float64).view(np.uint64) for x in (value, base, known))))
+            base, known = (np.zeros(len(key)), np.zeros(len(key))) if count is None else (classes.value.log_base(count), (count > 0) * STEP)
+            sums = [np.bincount(local, times * x, minlength=len(there)) for x in (value, base, known)]
+            out.append(pack(there, *(np.rint(x / STEP).astype(np.int64).view(np.uint64) for x in sums)))
         return pa.Table.from_arrays([entries.column("block"), pa.array(out, pa.binary()), entries.column("head")], schema=sums_arrow)
 
     kind = dict(docs.dtypes)[id_col]
@@ -496,18 +499,18 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     def add_up(name, table):
         """Blocks of the same rows have one name, and the sums of all; each gets an equal share."""
         heads = [h for h in table.column("head").to_pylist() if h is not None]
-        total = np.zeros((3, BLOCK_ROWS))
+        total = np.zeros((3, BLOCK_ROWS), np.int64)
         for blob in table.column("sums").to_pylist():
             row, *values = unpack(blob, 4)
             for t, v in zip(total, values, strict=True):
-                t[row.astype(np.int64)] += v.view(np.float64)
-        value, base, known = total / max(len(heads), 1)
+                t[row.astype(np.int64)] += v.view(np.int64)
+        value, base, known = total / max(len(heads), 1) * [[STEP], [STEP], [1]]
         rows = [(x["id"], x["held_out"], x["n_tokens"], x["n_known"] + round(known[i]), x["base"] + base[i], x["near"] + value[i]) for h in heads for i, x in enumerate(h)]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(result_arrow.types)], schema=result_arrow)
 
     # As many tasks as parts, so that none grows with the corpus.
     left, right = (side.repartition(layout.all, "part").groupBy("part") for side in (blocks, tables_of(model)))
-    parts = left.cogroup(right).applyInArrow(score_part, sums)
+    parts = left.cogroup(right).applyInArrow(score_part, returned)
     return parts.groupBy("block").applyInArrow(add_up, result).select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.classes.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
