@@ -657,6 +657,32 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in pieces} == set(clean) and 0 < len(clean) <= len(kept) <= len(good) < len(rows)
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing extra columns and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, n_words string, `key` int, found string"
+    rows = [(i, t, None, None, None, "x", None, 1, "y") for i, t in TRICKY] + [(None, None, None, None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF).collect()
+        none = stage(spark, odd.limit(0), SF)
+        assert none.count() == 0, name
+        if name == "packing":
+            assert sum(r.length for r in got if r.start == 0) > 0 and {r.doc_id for r in got} == {r[0] for r in rows}
+            continue
+        assert none.columns == odd.columns and {r.doc_id for r in got} <= {r[0] for r in rows}, name
+        assert all(r["_id"] in ("x", None) and r["key"] in (1, None) for r in got), name
+        if name == "quality_rules":
+            assert all(r.text for r in got)
+        elif name == "line_dedup":
+            assert len(got) == len(rows)
+        elif name == "minhash_near_dedup":
+            assert sum(r.doc_id is None for r in got) == 2 and {1, 2, 3, 4} <= {r.doc_id for r in got}
+        else:
+            assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
