@@ -15,6 +15,13 @@ from ..plans.scratch import materialize, scratch_root  # noqa: F401
 #: ASCII letters, for lower-casing A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def word_bytes(kept: str) -> bytes:
+    """A table for bytes.translate of UTF-8: A-Z in lower case, `kept` and all bytes beyond ASCII as they are, spaces for the rest."""
+    return bytes(b if b >= 128 or chr(b) in kept else 32 for b in LOWER_BYTES)
+
+
 #: The white space that separates words, as a bracket body and as a string.
 SPACE_SET = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, katz, line_dedup, near_dedup, packing, pii, quality, secrets, tokens
+from . import chat, common, decontaminate, divergence, exact_dedup, importance, katz, line_dedup, near_dedup, packing, pii, quality, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +76,20 @@ def packing_query(spark, sf_dir):
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def importance_query(spark, sf_dir):
+    ranks = importance.resampling_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def divergence_query(spark, sf_dir):
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
+def copies_query(spark, sf_dir):
+    marked = exact_dedup.mark_copies(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_secrets": secrets_query,
     "op2_quality_rules": quality_query,
@@ -87,6 +101,9 @@ QUERIES = {
     "op8_katz": katz_query,
     "op9_decontamination": decontamination_query,
     "op10_packing": packing_query,
+    "op11_importance": importance_query,
+    "op12_divergence": divergence_query,
+    "op13_exact_dedup": copies_query,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -158,4 +175,41 @@ ORACLE_SQL = {
         SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_importance": rf"""
+        WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        aim AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        counted AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM docs) GROUP BY ALL),
+        vocabulary AS (SELECT w FROM counted UNION SELECT w FROM aim),
+        bytes AS (SELECT w, list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS b FROM vocabulary),
+        hashed AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+        s AS (SELECT bucket, sum(n) AS n FROM counted JOIN hashed USING (w) GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS n FROM aim JOIN hashed USING (w) GROUP BY 1),
+        sizes AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT count(*) FROM aim) AS t_all),
+        gains AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s.n + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket, sizes),
+        sums AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS total FROM counted JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY 1),
+        scored AS (SELECT doc_id, len(words) AS n_features, CASE WHEN len(words) = 0 THEN 0 ELSE (total - ((total % len(words)) + len(words)) % len(words)) // len(words) END AS weight,
+                          CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM docs LEFT JOIN sums USING (doc_id)),
+        noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS wanted FROM noisy)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM ranked""",
+    "op12_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        c AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING count(*) >= 30),
+        k AS (SELECT lang, source, term, sum(n) AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        l AS (SELECT lang, count(*) AS terms, sum(total) AS size FROM kept GROUP BY 1),
+        g AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN k USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(k.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * CAST(coalesce(k.n, 0) + 5 AS HUGEINT) // CAST(g.size + 5 * l.terms AS HUGEINT) AS p,
+                     1 + CAST(1000000000 AS HUGEINT) * CAST(kept.total + 5 AS HUGEINT) // CAST(l.size + 5 * l.terms AS HUGEINT) AS q
+              FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = kept.term),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+        both_parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_exact_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+        g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
 }
