@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import attributes, first_value
+from .bam import BamSource
 
 GFF3 = "seqid string, source string, type string, start bigint, end bigint, score string, strand string, phase string, attributes string"
 SAM = "read_name string, flag int, seqname string, pos bigint, mapq int, cigar string, mate_seqname string, mate_pos bigint, template bigint, seq string, qual string"
@@ -57,18 +58,34 @@ def cigar_ops(cigar: Column) -> Column:
     return F.transform(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substring(x, F.lit(1), F.char_length(x) - 1).cast("int").alias("len")))
 
 
-def sam(spark: SparkSession, path: str, excluded: DataFrame | None = None, strip_mate: bool = False) -> DataFrame:
-    """(read_name, seqname, left, right, flag, cigar) of mapped alignments, each once; left counts all operations before the first match, as right does the last base."""
-    rows = spark.read.csv(path, sep="\t", comment="@", schema=SAM, quote="").where("(flag & 4) = 0 AND seqname <> '*'")
+def alignments(rows: DataFrame, excluded: DataFrame | None = None, strip_mate: bool = False) -> DataFrame:
+    """(read_name, seqname, left, right, flag, cigar) of mapped alignments, each once; left counts all operations before the first match, as right does the last base.
+
+    rows are (read_name, flag, seqname, pos, cigar as (op, len) pairs); excluded lists sequences to leave out.
+    """
+    rows = rows.where("(flag & 4) = 0 AND seqname <> '*'")
     if excluded is not None:
         rows = rows.join(F.broadcast(excluded) if excluded.limit(100_001).count() <= 100_000 else excluded, "seqname", "left_anti")
-    ops = cigar_ops(F.col("cigar"))
+    ops = F.col("cigar")
     matched = F.array_position(F.transform(ops, lambda o: o["op"].isin("M", "=", "X")), True)
     before = F.when(matched > 0, matched - 1).otherwise(0).cast("int")
     lead = F.aggregate(F.slice(ops, F.lit(1), before), F.lit(0).cast("long"), lambda n, o: n + o["len"])
     span = F.aggregate(F.slice(ops, before + 1, F.size(ops)), F.lit(0).cast("long"), lambda n, o: n + F.when(o["op"].isin("M", "D", "N", "S", "=", "X"), o["len"]).otherwise(0))
     name = F.regexp_replace("read_name", r"/\d$", "") if strip_mate else F.col("read_name")
-    return rows.select(name.alias("read_name"), "seqname", (F.col("pos") - lead).alias("left"), (F.col("pos") + span - 1).alias("right"), "flag", ops.alias("cigar")).distinct()
+    return rows.select(name.alias("read_name"), "seqname", (F.col("pos") - lead).alias("left"), (F.col("pos") + span - 1).alias("right"), "flag", "cigar").distinct()
+
+
+def sam(spark: SparkSession, path: str, excluded: DataFrame | None = None, strip_mate: bool = False) -> DataFrame:
+    """alignments() of SAM text."""
+    rows = spark.read.csv(path, sep="\t", comment="@", schema=SAM, quote="")
+    return alignments(rows.withColumn("cigar", cigar_ops(F.col("cigar"))), excluded, strip_mate)
+
+
+def bam(spark: SparkSession, path: str, excluded: DataFrame | None = None, strip_mate: bool = False, split_bytes: int = 64 << 20) -> DataFrame:
+    """alignments() of a BAM file, or of those of a folder, read in splits; a file that is cut off ends with its last whole record."""
+    spark.dataSource.register(BamSource)
+    rows = spark.read.format("bam").option("splitBytes", split_bytes).load(path)
+    return alignments(rows, excluded, strip_mate)
 
 
 def equivalence_classes(spark: SparkSession, path: str) -> DataFrame:
