@@ -86,8 +86,9 @@ def divergence_query(spark, sf_dir):
 
 
 def copies_query(spark, sf_dir):
-    marked = exact_dedup.mark_copies(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)  # before the join, so that no text is shuffled
+    marked = exact_dedup.mark_copies(_read(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256")))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
