@@ -14,15 +14,15 @@ MEAN_KEPT, SQUARE_KEPT, TINY = 0.7, 0.9, 1e-8
 class Ascent:
     """Adaptive moment steps; the first gradient sets the moments, and no step is longer than `longest`."""
 
-    def __init__(self, longest: float):
+    def __init__(self, longest: float, rate: float = RATE):
         self.mean = self.square = None
-        self.longest, self.count = longest, 0
+        self.longest, self.rate, self.count = longest, rate, 0
 
     def step(self, gradient: np.ndarray) -> np.ndarray:
         first = self.mean is None
         self.mean = gradient if first else MEAN_KEPT * self.mean + (1 - MEAN_KEPT) * gradient
         self.square = gradient**2 if first else SQUARE_KEPT * self.square + (1 - SQUARE_KEPT) * gradient**2
-        rate = max(LEAST_RATE, RATE * np.exp(-DECAY * self.count))
+        rate = max(LEAST_RATE, self.rate * np.exp(-DECAY * self.count))
         self.count += 1
         return np.clip(rate * self.mean / (np.sqrt(self.square) + TINY), -self.longest, self.longest)
 
