@@ -38,6 +38,7 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|change_me|example|your[_-].*|
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "salt")
 TOKEN = re.compile(r"""[A-Za-z_$][\w.$-]*+|["'`]|=>|:=|[=!<>]=|[0-9][\w.]*+|[=:+\[\](){}<>,#?|&\n]""")
 STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"} | {"`": re.compile(r"`[^`]*+`")}
+ROOM = re.compile(r"[ \t]*+")
 BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>#]++""")
 IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][\w.$]*)\}?$")
 INSERTED = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)|#\{([A-Za-z_]\w*)\}|\{([A-Za-z_][\w.]*)\}|%\(([A-Za-z_]\w*)\)s")
@@ -93,6 +94,7 @@ class Pairs:
         self.text, self.tokens = text, tokens_of(text)
         self.found: list[tuple[str, list[tuple[int, int]], list[str]]] = []
         self.read = 0  # the end of the last bare value, inside which no pair begins
+        self.next_tag = -1  # the place of the last < that was searched for
         for i in range(len(self.tokens)):
             self.visit(i)
 
@@ -118,8 +120,11 @@ class Pairs:
             self.value(self.word(i + 1), i + 3)
         elif kind == "<" and self.kind(i + 1) == "name" and self.kind(i + 2) == ">":
             start = self.tokens[i + 2][2]
-            end = self.text.find("<", start, start + 4096) if name_weight(self.word(i + 1)) else -1
-            if end > start:
+            if self.next_tag < start:  # each stretch of the text is searched once
+                end = self.text.find("<", start)
+                self.next_tag = end if end >= 0 else len(self.text) + 1
+            end = self.next_tag
+            if start < end < len(self.text) and name_weight(self.word(i + 1)):
                 body = self.text[start:end]
                 self.add(self.word(i + 1), [(start + len(body) - len(body.lstrip()), end - len(body) + len(body.rstrip()))], [])
         elif kind == "#" and self.word(i + 1) == "define" and self.kind(i + 2) == "name":
@@ -142,8 +147,8 @@ class Pairs:
                 self.value(name, at)
 
     def after_type(self, i: int) -> int | None:
-        """The token after the = that follows a type, if a type and = follow; a type has 40 tokens at most."""
-        for at in range(i, min(i + 40, len(self.tokens))):
+        """The token after the = that follows a type, if a type and = follow on the line. No colon is of a type, so that no token is looked at for two pairs."""
+        for at in range(i, len(self.tokens)):
             kind = self.kind(at)
             if kind == "=":  # in a bare value there is no room around it
                 return at + 1 if at > i and (self.text[self.tokens[at][1] - 1].isspace() or self.kind(at + 1) == "str") else None
@@ -158,7 +163,7 @@ class Pairs:
         literals: list[tuple[int, int]] = []
         refs: list[str] = []
         start = self.tokens[i - 1][2]
-        bare = BARE.match(self.text, start + (len(self.text[start : start + 40]) - len(self.text[start : start + 40].lstrip(" \t"))))
+        bare = BARE.match(self.text, ROOM.match(self.text, start).end())
         if bare and not (self.kind(i) == "name" and self.kind(i + 1) in ("str", "[", "(")) and not (self.kind(i) == "name" and IDENTIFIER.match(bare[0])):
             self.add(name, [bare.span()], [])
             self.read = bare.end()

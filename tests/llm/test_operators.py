@@ -117,6 +117,10 @@ def test_secrets_follow_assignments():
         'it\'s so: password = "{}"',
         '{{"db": {{"password": "{}"}}}}',
         "[db]\npassword = {} ; note",
+        "<config><password>" + " " * 5000 + "{}" + "\n" * 5000 + "</password></config>",
+        "let pwd: " + "Option<Vec<" * 60 + "u8" + ">" * 120 + ' = "{}"',
+        "password = " + " \t" * 300 + "{}",
+        "password" + " " * 300 + ":" + " " * 300 + "'{}'",
     ],
 )
 def test_secret_names(text):
@@ -127,7 +131,7 @@ def test_secret_names(text):
 
 def test_secret_names_take_linear_time():
     started = time.process_time()
-    for text in ("x" * 300_000, "x-" * 150_000, "a[b]" * 60_000, "a[" * 100_000, "a: b[" * 60_000, "$" * 200_000, "p: " + "T<" * 100_000, "a|b" * 60_000, "a: " * 90_000, "p: " + "a|" * 90_000, "p: " + "T<>" * 60_000, 'password = password + "k3jf8sXz"\n' * 20_000, 'password = password + "aaaaaaaa"\n' * 20_000, "\\\"" * 200_000, "\"'`" * 100_000, '"""' * 100_001, "<a>" * 100_000, "password:" * 60_000, "password = (" * 60_000, "password = a + " * 50_000):
+    for text in ("x" * 300_000, "x-" * 150_000, "a[b]" * 60_000, "a[" * 100_000, "a: b[" * 60_000, "$" * 200_000, "p: " + "T<" * 100_000, "a|b" * 60_000, "a: " * 90_000, "p: " + "a|" * 90_000, "p: " + "T<>" * 60_000, 'password = password + "k3jf8sXz"\n' * 20_000, 'password = password + "aaaaaaaa"\n' * 20_000, "\\\"" * 200_000, "\"'`" * 100_000, '"""' * 100_001, "<a>" * 100_000, "password:" * 60_000, "password = (" * 60_000, "password = a + " * 50_000, "<password>" * 60_000, "<password> " * 60_000 + "x", "password=" + " " * 200_000, "pwd = \t" * 80_000, "p:" + "a," * 100_000, "p:a," * 80_000):
         began = time.process_time()
         secrets.literal_spans("key " + text)
         assert time.process_time() - began < 6, text[:30]
