@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.scratch import materialize
+from .relations import dense_ids
 
 
 def likelihood_table(rows: DataFrame, read: str, feature: str, weight: str) -> DataFrame:
@@ -31,30 +36,81 @@ def log_likelihood(table: DataFrame, y: DataFrame) -> DataFrame:
     return reads.agg(F.sum(F.col("k") * F.log("p")).alias("log_likelihood"))
 
 
-def em(table: DataFrame, features: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, most: int = 500, broadcast_rows: int = 500_000) -> DataFrame:
-    """(feature, y) from a uniform start over features (feature, efflen): `rounds` rounds, or until the log-likelihood gains less than tolerance.
-
-    Features without a read keep y = 0. The abundance side is broadcast only if it was counted to be small.
+def packed_reads(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """(features, probs, count): a read's row of the likelihood as arrays, features by the number that ids (feature, i) give them."""
+    count = F.first("count") if "count" in table.columns else F.lit(1)
+    row = F.collect_list(F.struct("i", F.col("prob").cast("double").alias("prob"))).alias("row")
+    return table.join(ids, "feature").groupBy("read").agg(row, count.cast("double").alias("count")).select(F.col("row.i").alias("features"), F.col("row.prob").alias("probs"), "count")
+
+
+def packed_round(rows: DataFrame, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(counts by feature number, log-likelihood at y): reads are shared out inside their rows, and only a partition's sums are shuffled."""
+    n, shared = len(y), rows.sparkSession.sparkContext.broadcast(y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, likelihood = np.zeros(n), 0.0
+        for batch in batches:
+            lists, count = batch.column(0), batch.column(2).to_numpy()
+            size = lists.value_lengths().to_numpy()
+            read, features = np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()
+            w = batch.column(1).flatten().to_numpy() * shared.value[features]
+            total = np.bincount(read, w, len(size))
+            known = total > 0
+            likelihood += float(count[known] @ np.log(total[known]))
+            share = np.divide(count, total, out=np.zeros(len(total)), where=known)
+            counts += np.bincount(features, w * share[read], n)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], likelihood))], names=["i", "c"])
+
+    sums = rows.mapInArrow(run, "i int, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # a row for each feature, which were counted
+    counts = np.zeros(n + 1)
+    counts[sums["i"].to_numpy()] = sums["c"].to_numpy()
+    shared.unpersist()
+    return counts[:n], float(counts[n])
+
+
+def em(table: DataFrame, features: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, most: int = 10_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """(feature, y) from a uniform start over features (feature, efflen): `rounds` rounds, or until a round gains less log-likelihood than tolerance.
+
+    Features without a read keep y = 0. Up to broadcast_rows features, as counted, reads are packed once by a shuffle, and a
+    round sends y out and brings one sum for each feature back; beyond, a round joins y to the rows. Rounds without an end
+    (`most`) are an error.
     """
     n = features.count()
-    small = n <= broadcast_rows
+    if n <= broadcast_rows:
+        return _packed_em(table, features, rounds, tolerance, most)
     table = materialize(table, "likelihood")
-    y = features.select("feature", F.lit(1.0 / max(n, 1)).alias("y"))
-    if rounds is not None:
-        for _ in range(rounds):
-            y = materialize(em_round(table, y, small), "em")
-        return y
+    y = features.select("feature", F.lit(1.0 / n).alias("y"))
     before = None
-    for number in range(most):
-        y = materialize(em_round(table, y, small), "em")
-        if number % 5 == 4:
+    for number in range(rounds if rounds is not None else most):
+        y = materialize(em_round(table, y, False), "em")
+        if rounds is None and number % 5 == 4:
             now = log_likelihood(table, y).first()[0]
             if before is not None and now - before < tolerance:
-                break
+                return y
             before = now
+    if rounds is None:
+        raise RuntimeError(f"no convergence after {most} rounds")
     return y
 
 
+def _packed_em(table: DataFrame, features: DataFrame, rounds: int | None, tolerance: float, most: int) -> DataFrame:
+    ids = materialize(dense_ids(features, ["feature"], "i").withColumn("i", (F.col("i") - 1).cast("int")), "em-features")
+    rows = materialize(packed_reads(table, F.broadcast(ids)), "em-reads")
+    n = ids.count()
+    y, before = np.full(n, 1 / max(n, 1)), None
+    for _ in range(rounds if rounds is not None else most):
+        counts, now = packed_round(rows, y)
+        if rounds is None and before is not None and now - before < tolerance:
+            break
+        y, before = counts / max(counts.sum(), 1e-300), now
+    else:
+        if rounds is None:
+            raise RuntimeError(f"no convergence after {most} rounds")
+    found = table.sparkSession.createDataFrame(pa.table({"i": pa.array(np.arange(n), pa.int32()), "y": y}))
+    return ids.join(F.broadcast(found), "i").select("feature", "y")
+
+
 def to_tpm(y: DataFrame, features: DataFrame) -> DataFrame:
     """(feature, tpm): y over effective length, scaled to a million."""
     rate = y.join(features, "feature").withColumn("rate", F.col("y") / F.col("efflen"))

@@ -320,3 +320,20 @@ def test_components_converge_or_fail(spark):
     assert {tuple(r) for r in graph.connected_components(path).collect()} == {(i, 0) for i in range(41)}
     with pytest.raises(RuntimeError, match="not converged"):
         graph.connected_components(path, most=2)
+
+
+def test_em_by_packed_reads_equals_em_by_joins(spark):
+    import random
+
+    pick = random.Random(7)
+    rows = [(r, f"f{f}", pick.random(), 1 + r % 3) for r in range(300) for f in pick.sample(range(12), pick.choice([1, 2, 4]))]
+    table = spark.createDataFrame(rows, "read long, feature string, prob double, count long")
+    names = spark.createDataFrame([(f"f{i}",) for i in range(14)], "feature string")
+    for t in (table, table.drop("count")):
+        packed, joined = ({r.feature: r.y for r in likelihood.em(t, names, rounds=4, broadcast_rows=most).collect()} for most in (100, 0))
+        assert packed.keys() == joined.keys() and all(abs(packed[f] - joined[f]) < 1e-12 for f in packed) and packed["f13"] == 0
+    end = likelihood.em(table, names, tolerance=1e-8)
+    more = likelihood.em(table, names, rounds=400)
+    assert abs(likelihood.log_likelihood(table, end).first()[0] - likelihood.log_likelihood(table, more).first()[0]) < 1e-4
+    with pytest.raises(RuntimeError, match="convergence"):
+        likelihood.em(table, names, most=3)
