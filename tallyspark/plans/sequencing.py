@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+from ..operators import prepare
 from ..sources import readers
 from ..sources.bam import BamSource
-from .catalog import query, table
+from .catalog import _EXONS, exons, query, table
 from .scratch import scratch_root
 
 
@@ -37,3 +40,43 @@ def bam_alignments(spark, sf_dir):
     lineitem_alignments(spark, sf_dir).write.format("bam").option("sequences", sequences).mode("append").save(folder)
     read = readers.bam(spark, folder, suppliers.where("seqname LIKE '%0'"), strip_mate=True, split_bytes=1 << 20)
     return read.groupBy("seqname", "flag").agg(F.count("*").alias("n"), F.sum("left").alias("sum_left"), F.sum("right").alias("sum_right"), F.countDistinct("read_name").alias("reads"))
+
+
+def small_genes(spark, sf_dir):
+    """(transcript_id, seqname, strand, first, last, exons, exonic_length): 20 neighbouring orders share a sequence, whose exons are those of the splicing queries."""
+    x = exons(spark, sf_dir).withColumns({"seqname": F.floor(F.col("transcript") / 20).cast("string"), "strand": F.when(F.col("strand") == 1, "-").otherwise("+")})
+    whole = x.groupBy(F.col("transcript").alias("transcript_id"), "seqname", "strand").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("exons"))
+    return whole.select("*", F.col("exons")[0]["first"].alias("first"), F.element_at("exons", -1)["last"].alias("last"), scalar.exonic_length(F.col("exons")).alias("exonic_length"))
+
+
+def neighbour_pairs(spark, sf_dir):
+    """Alignments of 20 bases at the ends of neighbouring exons, as mates; they may overhang."""
+    x = exons(spark, sf_dir).withColumn("seqname", F.floor(F.col("transcript") / 20).cast("string"))
+    ends = x.withColumn("l2", F.lead("last").over(W.partitionBy("transcript").orderBy("first"))).where("l2 IS NOT NULL")
+    cigar = F.array(F.struct(F.lit("M").alias("op"), F.lit(20).alias("len")))
+    name = F.concat_ws(":", "transcript", "first")
+    reverse = (F.col("transcript") + F.col("first")) % 3 == 0
+    mate = lambda left, flag: F.struct(left.cast("long").alias("left"), (left + 19).cast("long").alias("right"), flag.cast("int").alias("flag"))
+    mates = F.array(mate(F.col("first") + F.col("first") % 45 - 3, F.when(reverse, 83).otherwise(99)), mate(F.col("l2") + F.col("first") % 7 - 22, F.when(reverse, 163).otherwise(147)))
+    return ends.select(name.alias("read_name"), "seqname", F.explode(mates).alias("m"), cigar.alias("cigar")).select("read_name", "seqname", "m.*", "cigar")
+
+
+@query(f"""WITH {_EXONS}, g AS (SELECT transcript, CAST(transcript // 20 AS VARCHAR) AS seq, CASE WHEN strand = 1 THEN '-' ELSE '+' END AS strand, first, last, before, after, lead(last) OVER (PARTITION BY transcript ORDER BY first) AS l2 FROM near),
+t AS (SELECT transcript, seq, any_value(strand) AS strand, min(first) AS t_first, max(last) AS t_last, sum(last - first + 1) AS t_length FROM g GROUP BY ALL),
+m AS (SELECT transcript || ':' || first AS read, seq, (transcript + first) % 3 = 0 AS reverse, first + first % 45 - 3 AS af, first + first % 45 + 16 AS al, l2 + first % 7 - 22 AS bf, l2 + first % 7 - 3 AS bl FROM g WHERE l2 IS NOT NULL),
+c AS (SELECT read, t.transcript, t_length, reverse = (t.strand = '-') AS match, least(af, bf) AS lo, greatest(al, bl) AS hi,
+  bool_or(af >= first - 2 AND (af >= first OR af > before) AND af <= last AND al <= last + 2) AND bool_or(bf >= first - 2 AND (bf >= first OR bf > before) AND bf <= last AND bl <= last + 2) AS ok,
+  coalesce(sum(after - 1 - last) FILTER (last + 1 > least(af, bf) AND after - 1 < greatest(al, bl)), 0) AS gaps
+  FROM m JOIN t ON m.seq = t.seq AND t_first <= least(af, bf) AND greatest(al, bl) <= t_last JOIN g ON g.transcript = t.transcript GROUP BY ALL),
+f AS (SELECT read, transcript, t_length, match, CAST(hi - lo + 1 - gaps AS BIGINT) AS length FROM c WHERE ok AND hi - lo + 1 - gaps > 0),
+s AS (SELECT count(*) FILTER (match) / count(*) AS p FROM f),
+h AS (SELECT length, count(*) AS n FROM (SELECT read, min(length) AS length FROM f GROUP BY 1) WHERE length <= 2000 GROUP BY 1),
+z AS (SELECT l.length, coalesce(n, 0) AS n, exp(-0.5 * ((l.length - 150) / 50.0) ** 2) AS normal FROM (SELECT unnest(range(1, 2001)) AS length) l LEFT JOIN h USING (length)),
+d AS (SELECT length, CASE WHEN (SELECT sum(n) FROM z) >= 1000 THEN (n + 1) / ((SELECT sum(n) FROM z) + 2000) ELSE normal / (SELECT sum(normal) FROM z) END AS pmf FROM z),
+e AS (SELECT t_length, greatest(1, sum(pmf * (t_length - length + 1))) AS efflen FROM (SELECT DISTINCT t_length FROM t) JOIN d ON length <= t_length GROUP BY 1),
+probs AS (SELECT read, transcript, CASE WHEN match THEN p ELSE 1 - p END * coalesce(pmf, 0) / efflen AS prob FROM f JOIN e USING (t_length) LEFT JOIN d USING (length), s)
+SELECT transcript AS feature, count(*) AS reads, round(sum(prob), 10) AS prob FROM probs WHERE prob > 1e-12 GROUP BY 1""")
+def sample_likelihood(spark, sf_dir):
+    """Likelihood of a sample from alignments and transcripts, summed by transcript."""
+    made = prepare.sample_likelihood(small_genes(spark, sf_dir), neighbour_pairs(spark, sf_dir), width=1000)
+    return made.likelihood.groupBy("feature").agg(F.count("*").alias("reads"), F.round(F.sum("prob"), 10).alias("prob"))
