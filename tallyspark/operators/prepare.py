@@ -61,12 +61,13 @@ def compatible(transcripts: DataFrame, pairs: DataFrame, width: int = 100_000) -
 
 @dataclass
 class Sample:
-    """likelihood (read, feature, prob), efflens (feature, efflen), lengths (length, pmf, cdf), and the share of fragments on their transcript's strand."""
+    """likelihood (read, feature, prob), efflens (feature, efflen), lengths (length, pmf, cdf), the share of fragments on their transcript's strand, reads' numbers (read_name, read)."""
 
     likelihood: DataFrame
     efflens: DataFrame
     lengths: DataFrame
     specificity: float
+    names: DataFrame
 
 
 def sample_likelihood(transcripts: DataFrame, alignments: DataFrame, width: int = 100_000, by_length: bool = False) -> Sample:
@@ -97,10 +98,15 @@ def sample_likelihood(transcripts: DataFrame, alignments: DataFrame, width: int
     if by_length:
         rows = reached(rows, "t_length").withColumn("prob", F.col("prob") / F.col("_reach"))
     kept = materialize(rows.where(F.col("prob") > LEAST_PROBABILITY).select("read_name", "seqname", "first", "feature", "prob"), "fragments")
-    place = kept.groupBy("read_name").agg(F.min(F.struct("seqname", "first")).alias("p")).select("p.seqname", "p.first", "read_name")
-    numbers = relations.dense_ids(place, ["seqname", "first", "read_name"], "read").select("read_name", "read")
+    numbers = read_numbers(kept)
     table = likelihood.likelihood_table(kept.join(numbers, "read_name"), "read", "feature", "prob")
-    return Sample(materialize(table, "likelihood"), efflens, lengths, matches / n)
+    return Sample(materialize(table, "likelihood"), efflens, lengths, matches / n, numbers)
+
+
+def read_numbers(rows: DataFrame) -> DataFrame:
+    """(read_name, read): reads numbered from 1 by their first place (seqname, first)."""
+    place = rows.groupBy("read_name").agg(F.min(F.struct("seqname", "first")).alias("p")).select("p.seqname", "p.first", "read_name")
+    return materialize(relations.dense_ids(place, ["seqname", "first", "read_name"], "read").select("read_name", "read"), "numbers")
 
 
 def tree_of(sample: str, made: Sample, method: str = "cluster", seed: int = 123_456_789) -> DataFrame:

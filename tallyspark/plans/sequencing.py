@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import bias as kernel
 from ..functions import scalar
-from ..operators import prepare
+from ..operators import bias, prepare
 from ..sources import readers
 from ..sources.bam import BamSource
 from .catalog import _EXONS, exons, query, table
@@ -80,3 +82,35 @@ def sample_likelihood(spark, sf_dir):
     """Likelihood of a sample from alignments and transcripts, summed by transcript."""
     made = prepare.sample_likelihood(small_genes(spark, sf_dir), neighbour_pairs(spark, sf_dir), width=1000)
     return made.likelihood.groupBy("feature").agg(F.count("*").alias("reads"), F.round(F.sum("prob"), 10).alias("prob"))
+
+
+def line_examples(spark, sf_dir):
+    """(y, seq): seven letters of a line's numbers; y tells returned lines, and large ones of odd parts."""
+    letter = lambda c: F.substring(F.lit("ACGT"), (c % 4 + 1).cast("int"), F.lit(1))
+    parts = [F.floor(F.col("l_quantity") / 13), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.floor(F.col("l_discount") * 100), F.floor(F.col("l_tax") * 100), F.col("l_orderkey")]
+    y = (F.col("l_returnflag") == "R") | ((F.col("l_quantity") > 30) & (F.col("l_partkey") % 2 == 1))
+    return table(spark, sf_dir, "lineitem").select(y.alias("y"), F.concat(*map(letter, parts)).alias("seq"))
+
+
+@query()
+def sequence_bias(spark, sf_dir):
+    """(place, order, cell, log_ratio) of the sequence model that tells lines' examples."""
+    model = bias.fit_sequence_bias(line_examples(spark, sf_dir))
+    rows = [(j, o, c, float(v)) for j, (o, t) in enumerate(zip(model.orders, model.tables, strict=True)) for c, v in enumerate(t)]  # the model, whose size does not follow the rows
+    return spark.createDataFrame(rows, "place int, order int, cell int, log_ratio double").withColumn("log_ratio", F.round("log_ratio", 9))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_name || ' ' || p_brand AS seq FROM part), k AS (SELECT unnest(range(1, 21)) AS k),
+a AS (SELECT seq, k, unnest(range(1, length(seq) - k + 2)) AS a FROM t, k WHERE k <= length(seq)),
+s AS (SELECT seq, k, CASE lower(substr(seq, a, 1)) WHEN 'c' THEN 2.0 WHEN 'g' THEN 0.5 WHEN 't' THEN 3.0 ELSE 1.0 END AS w,
+  (length(substr(seq, a, k)) - length(translate(upper(substr(seq, a, k)), 'GC', ''))) / k AS gc FROM a)
+SELECT seq AS feature, round(greatest(1, sum(k / 210.0 * w * (0.5 + least(100, floor(gc * 100 + 0.5)) / 100))), 6) AS efflen FROM s GROUP BY 1""")
+def biased_effective_length(spark, sf_dir):
+    """Effective lengths of parts' names under a bias of the first letter and of the share of G and C; the lengths 1 to 20 have shares in proportion to them."""
+    none = [-1] * kernel.WIDTH
+    first = kernel.SequenceBias([0 if j == kernel.OUTER else -1 for j in range(kernel.WIDTH)], [np.log([1.0, 2.0, 0.5, 3.0]) if j == kernel.OUTER else np.zeros(0) for j in range(kernel.WIDTH)])
+    model = kernel.FragmentBias(first, kernel.SequenceBias(none, [np.zeros(0)] * kernel.WIDTH), 0.5 + np.arange(101) / 100)
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("seq")).distinct()
+    lengths = spark.range(1, 21).select(F.col("id").alias("length"), (F.col("id") / 210).alias("pmf"))
+    out = bias.biased_lengths(names.select(F.col("seq").alias("feature"), "seq"), model, lengths)
+    return out.select("feature", F.round("efflen", 6).alias("efflen"))
