@@ -40,8 +40,8 @@ class Classes:
         return float(self.counts @ np.log(total)), slope
 
 
-def stick_gradient(y: np.ndarray, parents: np.ndarray, leaves: np.ndarray, slope: np.ndarray) -> np.ndarray:
-    """Gradient over y of f(sticks(y)) + log Jacobian, from the gradient of f over x."""
+def stick_gradient(y: np.ndarray, parents: np.ndarray, leaves: np.ndarray, slope: np.ndarray, jacobian: bool = True) -> np.ndarray:
+    """Gradient over y of f(sticks(y)), and of the log Jacobian unless that is left out, from the gradient of f over x."""
     left, right = kernels.tree_children(parents, leaves)
     inner = np.flatnonzero(np.asarray(leaves) <= 0)
     mass = np.ones(len(parents))
@@ -54,7 +54,7 @@ def stick_gradient(y: np.ndarray, parents: np.ndarray, leaves: np.ndarray, slope
         node = inner[k]
         a, b = worth[left[node]], worth[right[node]]
         out[k] = mass[node] * (a - b)
-        worth[node] = y[k] * a + (1 - y[k]) * b + 1 / max(mass[node], 1e-300)
+        worth[node] = y[k] * a + (1 - y[k]) * b + jacobian / max(mass[node], 1e-300)
     return out
 
 
