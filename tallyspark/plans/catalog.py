@@ -286,8 +286,9 @@ def minhash_jaccard(spark, sf_dir):
 
 
 # The three queries above read documents of 12 to 600 characters, with 12-mers and 50 bins; these read every document, with the reference's 32 and 200.
-_WHOLE_KMERS = """t AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= 32),
-s AS (SELECT doc_id, h % 200 AS bin, min(h) AS value FROM (SELECT doc_id, CAST(('0x' || substr(md5(array_to_string(c[i:i + 31], '')), 1, 15)) AS BIGINT) AS h FROM (SELECT doc_id, c, unnest(range(1, len(c) - 30)) AS i FROM t)) GROUP BY ALL)"""
+_WHOLE_KMERS = """t AS (SELECT doc_id, substr(text, p * 500 + 1, 531) AS piece FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 32) // 500 + 1)) AS p FROM documents WHERE length(text) >= 32)),
+k AS (SELECT DISTINCT doc_id, substr(piece, i, 32) AS kmer FROM (SELECT doc_id, piece, unnest(range(1, length(piece) - 30)) AS i FROM t)),
+s AS (SELECT doc_id, h % 200 AS bin, min(h) AS value FROM k JOIN (SELECT kmer, CAST(('0x' || substr(md5(kmer), 1, 15)) AS BIGINT) AS h FROM (SELECT DISTINCT kmer FROM k)) USING (kmer) GROUP BY ALL)"""
 _WHOLE_PAIRS = "c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS matches FROM s a JOIN s b ON a.bin = b.bin AND a.value = b.value AND a.doc_id < b.doc_id GROUP BY ALL)"
 
 
