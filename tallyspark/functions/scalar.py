@@ -64,10 +64,12 @@ def first_value(attrs: Column, key: str) -> Column:
 
 def genes_by_pattern(df: DataFrame, key: str, name: str, pattern: str) -> DataFrame:
     """(key, gene): what the pattern's first group, or all of it, finds in a name; others get unknown-gene-<n>, numbered by key."""
+    from ..operators.relations import dense_ids
+
     group = 1 if "(" in pattern else 0
     found = df.select(key, F.regexp_extract(name, pattern, group).alias("gene"))
-    unknown = found.where("gene = ''").withColumn("gene", F.concat(F.lit("unknown-gene-"), F.row_number().over(W.orderBy(key))))
-    return found.where("gene <> ''").unionByName(unknown)
+    numbers = dense_ids(found.where("gene = ''"), [key], "n")
+    return found.where("gene <> ''").unionByName(numbers.select(key, F.concat(F.lit("unknown-gene-"), "n").alias("gene")))
 
 
 def logistic(x: Column) -> Column:

@@ -35,13 +35,13 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def files_of(path: str) -> list[tuple[str, int]]:
-    """(path in its store, bytes) of a file, or of the *.bam files of a folder."""
+def files_of(path: str, suffix: str = ".bam") -> list[tuple[str, int]]:
+    """(path in its store, bytes) of a file, or of those of a folder whose names end in the suffix."""
     store, inner = store_of(path)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and f.path.endswith(".bam")]
+    found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and f.path.endswith(suffix)]
     return sorted((f.path, f.size) for f in found)
 
 
