@@ -52,16 +52,22 @@ def cassette_exons(exons: DataFrame) -> DataFrame:
 
 
 def mutually_exclusive_exons(exons: DataFrame) -> DataFrame:
-    """(seqname, strand, intron_first, intron_last, first_a, last_a, first_b, last_b): internal exons between the same flanks that form exactly two islands."""
+    """(seqname, strand, intron_first, intron_last, first_a, last_a, first_b, last_b, include, exclude): internal exons between the same flanks that form exactly two islands.
+
+    include lists the transcripts with an exon in the first island, exclude those with one in the second.
+    """
     from .intervals import islands
 
     w = W.partitionBy("transcript").orderBy("first")
     near = exons.withColumns({"before": F.lag("last").over(w), "after": F.lead("first").over(w)}).where("before is not null and after is not null")
-    flanks = near.select("seqname", "strand", (F.col("before") + 1).alias("intron_first"), (F.col("after") - 1).alias("intron_last"), "first", "last").distinct()
+    flanks = near.select("seqname", "strand", (F.col("before") + 1).alias("intron_first"), (F.col("after") - 1).alias("intron_last"), "first", "last", "transcript")
     keys = ["seqname", "strand", "intron_first", "intron_last"]
-    merged = islands(flanks.withColumnsRenamed({"first": "f", "last": "l"}), keys, "f", "l")
+    whole = flanks.groupBy(*keys, "first", "last").agg(F.collect_set("transcript").alias("ids"))
+    merged = islands(whole.select(*keys, F.col("first").alias("f"), F.col("last").alias("l")), keys, "f", "l")
     pair = merged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("i")).where(F.size("i") == 2)
-    return pair.select(*keys, F.col("i")[0]["first"].alias("first_a"), F.col("i")[0]["last"].alias("last_a"), F.col("i")[1]["first"].alias("first_b"), F.col("i")[1]["last"].alias("last_b"))
+    two = pair.select(*keys, F.col("i")[0]["first"].alias("first_a"), F.col("i")[0]["last"].alias("last_a"), F.col("i")[1]["first"].alias("first_b"), F.col("i")[1]["last"].alias("last_b"))
+    side = lambda first: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when((F.col("last") <= F.col("last_a")) == first, F.col("ids"))))))
+    return whole.join(two, keys).groupBy(*keys, "first_a", "last_a", "first_b", "last_b").agg(side(True).alias("include"), side(False).alias("exclude"))
 
 
 def alternative_sites(exons: DataFrame) -> DataFrame:

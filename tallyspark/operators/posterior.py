@@ -36,7 +36,7 @@ def gibbs(table: DataFrame, efflens: list[float], chains: int = 2, draws: int =
     """(sample, chain, draw, x): each sample's likelihood rows (sample, read, feature from 0, prob) in `chains` independent chains."""
     n = len(efflens)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(g.feature.to_numpy(), g.prob.to_numpy()) for _, g in frame.sort_values(["read", "feature"]).groupby("read")]
         x = kernels.gibbs(rows, n, np.array(efflens), draws, stride, burn_in, seed + int(key[1]))
         return pd.DataFrame({"sample": key[0], "chain": key[1], "draw": range(draws), "x": list(x)})

@@ -29,12 +29,11 @@ def stratified_split(df: DataFrame, key: str, stratum: str, numerator: int, deno
     return ranked.join(quota, stratum).withColumn("training", F.col("_at") <= F.col("quota")).drop("_at", "quota")
 
 
-def split_rhat(draws: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, rhat): between and within variance of the two halves of each chain."""
-    w = W.partitionBy(*keys).orderBy(order)
-    n = F.count("*").over(W.partitionBy(*keys))
-    halves = draws.withColumn("_half", F.when(F.row_number().over(w) * 2 <= n, 0).otherwise(1))
-    per = halves.groupBy(*keys, "_half").agg(F.count("*").alias("m"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
+def split_rhat(draws: DataFrame, keys: list[str], order: str, value: str, chain: str | None = None) -> DataFrame:
+    """(keys, rhat): between and within variance of the two halves of each chain; with `chain`, of the halves of all chains."""
+    own = [*keys, *([chain] if chain else [])]
+    halves = draws.withColumn("_half", F.when(F.row_number().over(W.partitionBy(*own).orderBy(order)) * 2 <= F.count("*").over(W.partitionBy(*own)), 0).otherwise(1))
+    per = halves.groupBy(*own, "_half").agg(F.count("*").alias("m"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
     both = per.groupBy(*keys).agg(F.min("m").alias("m"), F.avg("var").alias("within"), F.var_samp("mean").alias("between"))
     pooled = (F.col("m") - 1) / F.col("m") * F.col("within") + F.col("between")
     return both.where("m > 1 and within > 0").select(*keys, F.sqrt(pooled / F.col("within")).alias("rhat"))

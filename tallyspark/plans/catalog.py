@@ -494,10 +494,12 @@ def splicing_cassette(spark, sf_dir):
 @query(f"""WITH {_EXONS}, f AS (SELECT DISTINCT seqname, strand, before + 1 AS intron_first, after - 1 AS intron_last, first, last FROM near WHERE before IS NOT NULL AND after IS NOT NULL),
 p AS (SELECT *, max(last) OVER (PARTITION BY seqname, strand, intron_first, intron_last ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR first > reach THEN 1 ELSE 0 END) OVER (PARTITION BY seqname, strand, intron_first, intron_last ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS k FROM p),
-i AS (SELECT seqname, strand, intron_first, intron_last, min(first) AS a, max(last) AS b FROM n GROUP BY seqname, strand, intron_first, intron_last, k)
-SELECT seqname, strand, intron_first, intron_last, min(a) AS first_a, min(b) AS last_a, max(a) AS first_b, max(b) AS last_b FROM i GROUP BY 1, 2, 3, 4 HAVING count(*) = 2""")
+i AS (SELECT seqname, strand, intron_first, intron_last, min(first) AS a, max(last) AS b FROM n GROUP BY seqname, strand, intron_first, intron_last, k),
+two AS (SELECT seqname, strand, intron_first, intron_last, min(a) AS first_a, min(b) AS last_a, max(a) AS first_b, max(b) AS last_b FROM i GROUP BY 1, 2, 3, 4 HAVING count(*) = 2)
+SELECT t.*, md5(array_to_string(list_sort(list(DISTINCT transcript) FILTER (x.last <= last_a)), ',')) AS include, md5(array_to_string(list_sort(list(DISTINCT transcript) FILTER (x.last > last_a)), ',')) AS exclude
+FROM two t JOIN near x ON x.seqname = t.seqname AND x.strand = t.strand AND x.before + 1 = intron_first AND x.after - 1 = intron_last GROUP BY ALL""")
 def splicing_mutex(spark, sf_dir):
-    return features.mutually_exclusive_exons(exons(spark, sf_dir))
+    return features.mutually_exclusive_exons(exons(spark, sf_dir)).withColumns({"include": _ids("include"), "exclude": _ids("exclude")})
 
 
 _SITE = """SELECT a.seqname, a.strand, a.fixed, a.site AS short, b.site AS long, '{side}' AS side, md5(array_to_string(list_sort(a.ids), ',')) AS include, md5(array_to_string(list_sort(b.ids), ',')) AS exclude

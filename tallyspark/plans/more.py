@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -275,7 +278,7 @@ def splice_site_types(spark, sf_dir):
 
 # The side store's statements, over views that stand for its tables: parts are features, suppliers genes, customers' segments factors.
 def side_views(spark, sf_dir):
-    """Views of the side store's names over the driver's tables; the statements of the queries below run on them."""
+    """A function that runs a statement with the side store's names standing for the driver's tables; the session keeps its own views."""
     p, li, s = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
     kind = F.when(F.col("p_size") % 2 == 0, "cassette_exon").otherwise("retained_intron")
     views = {
@@ -287,9 +290,15 @@ def side_views(spark, sf_dir):
         "effects": li.groupBy(F.col("l_returnflag").alias("factor"), F.col("l_partkey").alias("feature_num")).agg(F.sum("l_quantity").alias("w")),
     }
     for name, df in views.items():
-        assert set(df.columns) <= set(store.TABLES[name].split(", "))
-        df.createOrReplaceTempView(name)
-    return spark.sql
+        if unknown := set(df.columns) - set(store.TABLES[name].split(", ")):
+            raise ValueError(f"{name} has no column {', '.join(sorted(unknown))}")
+
+    def run(statement: str, **more):
+        known = views | more
+        used = {n for n in re.findall(r"\b(?:FROM|JOIN) (\w+)", statement) if n in known}
+        return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], statement), **{n: known[n] for n in used})
+
+    return run
 
 
 _SIDE = """splicing_features AS (SELECT p_partkey AS feature_num, CASE WHEN p_size % 2 = 0 THEN 'cassette_exon' ELSE 'retained_intron' END AS type, p_brand AS seqname, CAST(p_size AS BIGINT) AS first, CAST(p_size + 100 AS BIGINT) AS last FROM part),
@@ -328,9 +337,7 @@ def store_span_range(spark, sf_dir):
 
 def top_views(spark, sf_dir):
     sql = side_views(spark, sf_dir)
-    sql(_TOP).createOrReplaceTempView("top_features")
-    sql("SELECT feature_num, w FROM effects WHERE factor = 'N'").createOrReplaceTempView("bias")
-    return sql
+    return functools.partial(sql, top_features=sql(_TOP), bias=sql("SELECT feature_num, w FROM effects WHERE factor = 'N'"))
 
 
 @query(f"WITH {_WITH_TOP} SELECT feature_num, span FROM top_features")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
@@ -18,16 +21,26 @@ TABLES = {
 
 
 def write(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table with the columns that TABLES gives it; a table is replaced whole, so that a reader never meets half of one."""
+    """Each table with the columns that TABLES gives it. A table is written whole beside the old one and then takes its name.
+
+    A reader that has listed the old files meets an error, never half of a table. Tables change one after the other.
+    """
     for name, df in tables.items():
-        df.select(*TABLES[name].split(", ")).write.mode("overwrite").parquet(f"{folder}/{name}")
+        spark, new = df.sparkSession, f"{folder}/.{name}-{uuid.uuid4().hex}"
+        df.select(*TABLES[name].split(", ")).write.parquet(new)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        old, new = path(f"{folder}/{name}"), path(new)
+        files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise OSError(f"{folder}/{name} could not be replaced; it is in {new}")
 
 
 def attach(spark: SparkSession, folder: str, prefix: str = "") -> None:
-    """The folder's tables as views `prefix` + name: several stores can be open at once."""
+    """The folder's tables as views `prefix` + name: several stores can be open at once. A store need not have every table."""
     for name in TABLES:
         try:
             spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(prefix + name)
-        except Exception as e:  # a store need not have every table
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -82,7 +82,8 @@ def test_cassette_and_mutex(spark):
     df = spark.createDataFrame([(t, "s", 1, f, l) for t, f, l in rows], "transcript string, seqname string, strand int, first long, last long")
     found = {r["first"]: (r.include, r.exclude) for r in features.cassette_exons(df).collect()}
     assert found == {21: (["A"], ["B"]), 32: (["C"], ["B"])}
-    assert [(r.first_a, r.last_a, r.first_b, r.last_b) for r in features.mutually_exclusive_exons(df).collect()] == [(21, 30, 32, 38)]
+    (m,) = features.mutually_exclusive_exons(df).collect()
+    assert (m.first_a, m.last_a, m.first_b, m.last_b) == (21, 30, 32, 38) and not set(m.include) & set(m.exclude) and m.include and m.exclude
 
 
 def test_length_distribution_falls_back(spark):
@@ -337,3 +338,53 @@ def test_em_by_packed_reads_equals_em_by_joins(spark):
     assert abs(likelihood.log_likelihood(table, end).first()[0] - likelihood.log_likelihood(table, more).first()[0]) < 0.5
     with pytest.raises(RuntimeError, match="convergence"):
         likelihood.em(table, names, most=3)
+
+
+def test_store_queries_leave_the_session_alone(spark):
+    from tallyspark.plans.more import store_effects_less_bias
+
+    spark.range(3).createOrReplaceTempView("effects")
+    assert store_effects_less_bias(spark, SF).count() > 0 and spark.table("effects").count() == 3
+    spark.catalog.dropTempView("effects")
+
+
+def test_store_tables_are_replaced_whole(spark, tmp_path):
+    row = lambda w: spark.createDataFrame([("a", 1, w)], "factor string, feature_num long, w double")
+    for w in (0.5, 0.75):
+        store.write({"effects": row(w)}, str(tmp_path))
+    store.attach(spark, str(tmp_path), "kept_")
+    assert [r.w for r in spark.table("kept_effects").collect()] == [0.75] and sorted(p.name for p in tmp_path.iterdir()) == ["effects"]
+    (tmp_path / "genes").write_text("not a table")
+    with pytest.raises(Exception, match="genes|Parquet|parquet"):
+        store.attach(spark, str(tmp_path), "bad_")
+
+
+def test_split_rhat_pools_chains(spark):
+    import random
+    from statistics import mean, variance
+
+    from tallyspark.operators import sampling
+
+    pick = random.Random(5)
+    rows = [("k", c, i, pick.gauss(c, 1)) for c in range(3) for i in range(20)]
+    halves = [[v for _, c, i, v in rows if c == chain and (i < 10) == first] for chain in range(3) for first in (True, False)]
+    within, between = mean(map(variance, halves)), variance(map(mean, halves))
+    want = ((9 / 10 * within + between) / within) ** 0.5
+    (got,) = sampling.split_rhat(spark.createDataFrame(rows, "k string, chain int, i int, v double"), ["k"], "i", "v", "chain").collect()
+    assert abs(got.rhat - want) < 1e-9
+
+
+def test_alignments_are_dealt_by_place_and_sorted(spark):
+    from tallyspark.operators import relations
+
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber")
+    parts = relations.in_alignment_order(rows, "l_suppkey", ["l_orderkey", "l_linenumber"]).withColumn("part", F.spark_partition_id()).collect()
+    by_part = {}
+    for r in parts:
+        by_part.setdefault(r.part, []).append((r.l_suppkey, r.l_orderkey, r.l_linenumber))
+    assert all(own == sorted(own) for own in by_part.values()) and len(parts) == rows.count()
+    homes = {}
+    for part, own in by_part.items():
+        for s, *_ in own:
+            homes.setdefault(s, set()).add(part)
+    assert all(len(h) == 1 for h in homes.values())
