@@ -141,3 +141,25 @@ def alternative_ends(exons: DataFrame, genes: DataFrame, within: int = 250, forw
     several = clusters.withColumns({"c": F.count("*").over(whole), "every": F.flatten(F.collect_list("include").over(whole))}).where("c > 2 or c = 2 and k = 0")
     kind = F.when(F.col("five"), "alt_5p_end").otherwise("alt_3p_end")
     return several.select("gene", kind.alias("type"), "first", "last", "include", F.array_except("every", "include").alias("exclude"))
+
+
+def splice_graph_events(transcripts: DataFrame, forward: str = "+") -> DataFrame:
+    """(seqname, strand, tss, first, last, type, kinds, ids): splicing events of transcripts (transcript_id, seqname, strand, exons) that start at one place.
+
+    Transcripts are grouped by sequence, strand and start; edges that they share make a graph whose unbranched paths are
+    compressed, and paths that leave a place together are events, from `first` to `last` in the transcripts' direction, -1
+    being their end. On the other strand the last base of the first exon by place counts as the start. A task takes the
+    transcripts of one start.
+    """
+    import pandas as pd
+
+    from ..functions import splice_graph
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = {t: [(e["first"], e["last"]) for e in exons] for t, exons in zip(frame.transcript_id, frame.exons, strict=True)}
+        rows = [(*key, a, b, t, k, list(ids)) for a, b, t, k, ids in splice_graph.events(own, key[1] == forward)]
+        return pd.DataFrame(rows, columns=["seqname", "strand", "tss", "first", "last", "type", "kinds", "ids"])
+
+    tss = F.when(F.col("strand") == forward, F.col("exons")[0]["first"]).otherwise(F.col("exons")[0]["last"])
+    rows = transcripts.select(F.col("transcript_id").cast("string").alias("transcript_id"), F.col("seqname").cast("string").alias("seqname"), F.col("strand").cast("string").alias("strand"), tss.cast("long").alias("tss"), "exons")
+    return rows.groupBy("seqname", "strand", "tss").applyInPandas(run, "seqname string, strand string, tss bigint, first bigint, last bigint, type string, kinds string, ids array<string>")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bias as kernel
 from ..functions import scalar
-from ..operators import bias, prepare
+from ..operators import bias, features, prepare
 from ..sources import readers
 from ..sources.bam import BamSource
 from .catalog import _EXONS, exons, query, table
@@ -114,3 +114,10 @@ def biased_effective_length(spark, sf_dir):
     lengths = spark.range(1, 21).select(F.col("id").alias("length"), (F.col("id") / 210).alias("pmf"))
     out = bias.biased_lengths(names.select(F.col("seq").alias("feature"), "seq"), model, lengths)
     return out.select("feature", F.round("efflen", 6).alias("efflen"))
+
+
+@query()
+def splice_graph_events(spark, sf_dir):
+    """Events of the splice graph among neighbouring orders that start at one place."""
+    found = features.splice_graph_events(small_genes(spark, sf_dir).withColumn("seqname", F.floor(F.col("transcript_id") / 2000).cast("string")))
+    return found.withColumn("ids", F.array_join("ids", ","))
