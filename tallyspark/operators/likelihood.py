@@ -118,9 +118,10 @@ def to_tpm(y: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def exact_classes(table: DataFrame) -> DataFrame:
-    """(features, probs, count): reads with the same features and probabilities are one class."""
-    rows = table.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("feature", "prob"))).alias("row"))
-    return rows.groupBy(F.col("row.feature").alias("features"), F.col("row.prob").alias("probs")).agg(F.count("*").alias("count"))
+    """(features, probs, count): reads with the same features and probabilities are one class; rows that are classes already bring their count."""
+    count = F.first("count") if "count" in table.columns else F.lit(1)
+    rows = table.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("feature", "prob"))).alias("row"), count.cast("long").alias("n"))
+    return rows.groupBy(F.col("row.feature").alias("features"), F.col("row.prob").alias("probs")).agg(F.sum("n").alias("count"))
 
 
 def range_classes(table: DataFrame) -> DataFrame:

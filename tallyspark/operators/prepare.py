@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alternatives
 from ..functions import trees as tree_kernels
 from ..plans.scratch import materialize
 from ..sources import readers
@@ -61,13 +62,16 @@ def compatible(transcripts: DataFrame, pairs: DataFrame, width: int = 100_000) -
 
 @dataclass
 class Sample:
-    """likelihood (read, feature, prob), efflens (feature, efflen), lengths (length, pmf, cdf), the share of fragments on their transcript's strand, reads' numbers (read_name, read)."""
+    """likelihood (read, feature, prob), efflens (feature, efflen), lengths (length, pmf, cdf), the share of fragments on their transcript's strand, reads' numbers (read_name, read).
+
+    Rows of a quantifier's classes have a count besides, and neither lengths nor names.
+    """
 
     likelihood: DataFrame
     efflens: DataFrame
-    lengths: DataFrame
-    specificity: float
-    names: DataFrame
+    lengths: DataFrame | None = None
+    specificity: float | None = None
+    names: DataFrame | None = None
 
 
 def sample_likelihood(transcripts: DataFrame, alignments: DataFrame, width: int = 100_000, by_length: bool = False) -> Sample:
@@ -122,25 +126,47 @@ def tree_of(sample: str, made: Sample, method: str = "cluster", seed: int = 123_
     return made.likelihood.sparkSession.createDataFrame([(sample, names, parents.tolist(), leaves.tolist())], trees.TREE)
 
 
-def prepare_sample(sample: str, made: Sample, tree: DataFrame | str = "cluster", steps: int = 500, draws: int = 6, seed: int = 123_456_789) -> DataFrame:
-    """One prepared row (sample, features, mu, omega, alpha, parents, leaves, efflen), leaf i being features[i - 1].
+def prepare_sample(sample: str, made: Sample, tree: DataFrame | str = "cluster", steps: int = 500, draws: int = 6, seed: int = 123_456_789, method: str = alternatives.METHODS[0]) -> DataFrame:
+    """One prepared row (sample, features, method, reference, values, mu, omega, alpha, parents, leaves, efflen), leaf i being features[i - 1].
 
     tree is a method, or a row (features, parents, leaves) that fits all samples, as a tree of sketches. Reads go to the fit
-    as classes with counts.
+    as classes with counts. mu, omega and alpha are the values of the default approximation, and null for others.
     """
     shape = materialize(tree_of(sample, made, tree, seed) if isinstance(tree, str) else tree.select(F.lit(sample).alias("sample"), "features", "parents", "leaves"), "tree")
     leaf = materialize(shape.select(F.posexplode("features").alias("at", "feature")), "leaves")
     if made.efflens.join(leaf, "feature", "left_anti").limit(1).count():
         raise ValueError("the tree lacks a feature")
-    rows = made.likelihood.join(leaf, "feature").select("read", F.col("at").alias("feature"), "prob")
+    rows = made.likelihood.join(leaf, "feature").select("read", F.col("at").alias("feature"), "prob", *(c for c in made.likelihood.columns if c == "count"))
     classes = likelihood.exact_classes(rows).withColumn("class_key", F.monotonically_increasing_id())
     flat = materialize(classes.select("class_key", "count", F.explode(F.arrays_zip("features", "probs")).alias("c")), "classes")
     flat = flat.select(F.lit(sample).alias("sample"), "class_key", "count", F.col("c.features").alias("feature"), F.col("c.probs").alias("prob"))
-    fitted = posterior.approximate(flat, shape, steps, draws, seed)
+    fitted = posterior.approximate_by(method, flat, shape, steps, draws, seed)
+    fitted = fitted.select("*", *(F.when(F.col("method") == alternatives.METHODS[0], F.get("values", F.lit(i))).alias(c) for i, c in enumerate(("mu", "omega", "alpha"))))
     sizes = leaf.join(made.efflens, "feature", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("efflen", F.lit(1.0)).alias("efflen")))), lambda c: c["efflen"]).alias("efflen"))
     return fitted.join(shape.select("sample", "features"), "sample").join(F.broadcast(sizes.withColumn("sample", F.lit(sample))), "sample")
 
 
+def in_one_order(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prepared rows, (feature, leaf)): leaves and effective lengths of all samples by the order of the features' names, which must be the same set."""
+    names = prepared.select("sample", F.array_sort("features").alias("names"))
+    if names.select(F.sha2(F.array_join("names", "\n"), 256)).distinct().count() > 1:
+        raise ValueError("samples were prepared with different sets of transcripts")
+    listed = names.limit(1).select(F.posexplode("names").alias("at", "feature")).select("feature", (F.col("at") + 1).alias("leaf"))
+
+    @F.pandas_udf("array<int>")
+    def renamed(leaves: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for leaf, features in zip(leaves, own, strict=True):
+            place = np.empty(len(features) + 1, np.int64)
+            place[0] = 0
+            place[1 + np.argsort(np.asarray(features, object), kind="stable")] = np.arange(1, len(features) + 1)
+            out.append(place[np.asarray(leaf)])
+        return pd.Series(out)
+
+    sizes = F.transform(F.array_sort(F.arrays_zip(F.col("features").alias("f"), F.col("efflen").alias("e"))), lambda p: p["e"])
+    return prepared.withColumns({"leaves": renamed("leaves", "features"), "efflen": sizes, "features": F.array_sort("features")}), listed
+
+
 def prepare_files(spark: SparkSession, sample: str, alignments: str, annotation: str, excluded_sequences: DataFrame | None = None, excluded_transcripts: DataFrame | None = None, strip_mate: bool = False, **options) -> DataFrame:
     """prepare_sample from a BAM or SAM file and a GFF3 annotation."""
     read = readers.sam if alignments.endswith(".sam") else readers.bam
@@ -150,7 +176,7 @@ def prepare_files(spark: SparkSession, sample: str, alignments: str, annotation:
 
 def posterior_tpm(prepared: DataFrame, draws: int = 1000, seed: int = 123_456_789) -> DataFrame:
     """(sample, feature, tpm): the mean of draws of each prepared row over effective length."""
-    drawn = posterior.sample_posterior(prepared, draws, seed).join(prepared.select("sample", "features", "efflen"), "sample")
+    drawn = posterior.sample_by(prepared.select("sample", "method", "reference", "values", "parents", "leaves"), draws, seed).join(prepared.select("sample", "features", "efflen"), "sample")
 
     @F.pandas_udf("array<double>")
     def rates(x: pd.Series, efflen: pd.Series) -> pd.Series:

@@ -235,14 +235,23 @@ def line_set(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.text(path).where("value <> ''").select(F.col("value").alias(name)).distinct()
 
 
-def experiment(spark: SparkSession, path: str, suffix: str = ".prep.parquet") -> DataFrame:
-    """(sample, file, factors) of a YAML experiment; a sample without a file has its name and the suffix."""
+def experiment_spec(spark: SparkSession, path: str) -> dict:
+    """A YAML experiment as it stands; every sample has a name."""
     import yaml
 
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    rows = []
-    for sample in yaml.safe_load(text)["samples"]:
-        if "name" not in sample:
-            raise ValueError("a sample has no name")
-        rows.append((sample["name"], sample.get("file", sample["name"] + suffix), {k: None if v is None else str(v) for k, v in (sample.get("factors") or {}).items()}))
+    spec = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if any("name" not in s for s in spec["samples"]):
+        raise ValueError("a sample has no name")
+    return spec
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name in the path's store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def experiment(spark: SparkSession, path: str, suffix: str = ".prep.parquet") -> DataFrame:
+    """(sample, file, factors) of a YAML experiment; a sample without a file has its name and the suffix."""
+    rows = [(s["name"], s.get("file", s["name"] + suffix), {k: None if v is None else str(v) for k, v in (s.get("factors") or {}).items()}) for s in experiment_spec(spark, path)["samples"]]
     return spark.createDataFrame(rows, T.StructType.fromDDL("sample string, file string, factors map<string,string>"))
