@@ -177,7 +177,8 @@ def biased_likelihood(transcripts: DataFrame, alignments: DataFrame, width: int
     outer = transcripts.select(F.col("transcript_id").alias("feature"), "seqname", "strand", "exons", F.col("first").alias("o_first"), F.col("last").alias("o_last"))
     blocks = lambda m: compatibility.blocks(F.col(f"{m}.left"), F.col(f"{m}.cigar"))
     inner = pairs.select("pair", "read_name", "seqname", F.col("first").alias("i_first"), F.col("last").alias("i_last"), "reverse", F.col("two").isNotNull().alias("whole"), blocks("one").alias("one"), F.when(F.col("two").isNotNull(), blocks("two")).alias("two"))
-    met = intervals.containment_join(outer, inner, "seqname", width)
+    inner = inner.withColumn("bounds", compatibility.bounds(F.col("one"), F.col("two")))
+    met = intervals.containment_join(outer, inner, "seqname", width).where(compatibility.may_fit(F.col("bounds"), F.col("exons")))
     range_ = F.explode(F.array(compatibility.transcript_range(F.col("exons"), F.col("strand"), F.col("one"), F.col("two"), F.col("reverse"), median)))
     placed = met.select("pair", "read_name", "seqname", "i_first", "feature", range_.alias("p"), (F.col("reverse") == (F.col("strand") == "-")).alias("match")).where("p IS NOT NULL")
     placed = materialize(placed.select("pair", "read_name", "seqname", "i_first", "feature", "p.first", "p.last", "match"), "placed")

@@ -37,6 +37,18 @@ def _fits(b: Column, exons: Column) -> Column:
     return fits.otherwise(b["op"].isin("S", "I", "H", "P"))
 
 
+def bounds(one: Column, two: Column) -> Column:
+    """(low, high) of the bases of both mates that must be exonic; null if there are none."""
+    exonic = F.filter(F.concat(one, F.coalesce(two, F.slice(one, 1, 0))), lambda b: b["op"].isin("M", "=", "X", "D"))
+    return F.struct(F.array_min(F.transform(exonic, lambda b: b["first"])).alias("low"), F.array_max(F.transform(exonic, lambda b: b["last"])).alias("high"))
+
+
+def may_fit(bounds: Column, exons: Column) -> Column:
+    """A quick test that every compatible fragment passes: its first and last exonic bases lie in exons, but for the overhang."""
+    near = lambda at: F.exists(exons, lambda e: (at >= e["first"] - OVERHANG) & (at <= e["last"] + OVERHANG))
+    return F.coalesce(near(bounds["low"]) & near(bounds["high"]), F.lit(True))
+
+
 def _aligned(b: Column) -> Column:
     return F.filter(b, lambda x: ~x["op"].isin("S", "I", "H", "P"))
 

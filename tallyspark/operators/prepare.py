@@ -53,7 +53,8 @@ def compatible(transcripts: DataFrame, pairs: DataFrame, width: int = 100_000) -
     outer = transcripts.select("transcript_id", "seqname", "strand", "exons", F.col("exonic_length").alias("t_length"), F.col("first").alias("o_first"), F.col("last").alias("o_last"))
     blocks = lambda m: compatibility.blocks(F.col(f"{m}.left"), F.col(f"{m}.cigar"))
     inner = pairs.select("pair", "read_name", "seqname", F.col("first").alias("i_first"), F.col("last").alias("i_last"), "reverse", "own_reverse", blocks("one").alias("one"), F.when(F.col("two").isNotNull(), blocks("two")).alias("two"))
-    met = intervals.containment_join(outer, inner, "seqname", width)
+    inner = inner.withColumn("bounds", compatibility.bounds(F.col("one"), F.col("two")))
+    met = intervals.containment_join(outer, inner, "seqname", width).where(compatibility.may_fit(F.col("bounds"), F.col("exons")))
     length = F.explode(F.array(compatibility.fragment_length(F.col("exons"), F.col("one"), F.col("two"))))  # exploded, so that it is worked out once
     room = F.when(F.col("own_reverse"), F.col("i_last") - F.col("o_first") + 1).otherwise(F.col("o_last") - F.col("i_first") + 1)
     match = F.col("reverse") == (F.col("strand") == "-")
