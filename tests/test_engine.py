@@ -398,3 +398,16 @@ def test_exons_of_the_sql_do_not_hang_on_the_order_of_equal_lines():
     split = con.sql(f"WITH {catalog._EXONS} SELECT count(*), count(*) FILTER (before + 1 >= first) FROM near").fetchall()
     want = con.sql("SELECT count(DISTINCT (l_orderkey, l_partkey % 40)) FROM lineitem").fetchall()
     assert split == [(want[0][0], 0)]
+
+
+def test_nearest_neighbours_screen_pairs_in_blocks(spark):
+    """Equal distances go to the smaller key, copies are neighbours, and no row of a pair leaves a block."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (400, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)], "k int, x array<float>")
+    got = graph.nearest_neighbours(df, "k", "x", 5, df.where("k % 10 = 0"), blocks=3)
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {(u, v, d[u, v]) for u in range(0, 400, 10) for v in sorted((v for v in range(400) if v != u), key=lambda v: (d[u, v], v))[:5]}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in graph.nearest_neighbours(df.where("k < 3"), "k", "x", 5).select("u", "v").collect()} == {(u, v) for u in range(3) for v in range(3) if u != v}
