@@ -411,3 +411,16 @@ def test_nearest_neighbours_screen_pairs_in_blocks(spark):
     want = {(u, v, d[u, v]) for u in range(0, 400, 10) for v in sorted((v for v in range(400) if v != u), key=lambda v: (d[u, v], v))[:5]}
     assert {tuple(r) for r in got.collect()} == want
     assert {tuple(r) for r in graph.nearest_neighbours(df.where("k < 3"), "k", "x", 5).select("u", "v").collect()} == {(u, v) for u in range(3) for v in range(3) if u != v}
+
+
+def test_pairs_of_sets_are_shuffled_as_lists(spark):
+    """Pairs are shuffled once, in tasks told by their number, whatever the session's partitions; members without a name count in a set's size."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (900, 2))})
+    df = spark.createDataFrame([*rows, (7, None)], "k int, m int")
+    got = graph.set_jaccard(df, "k", "m")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    own = {k: {m for a, m in rows if a == k} | ({None} if k == 7 else set()) for k, _ in rows}
+    shared = lambda u, v: (own[u] & own[v]) - {None}
+    want = {(u, v): len(shared(u, v)) / (len(own[u]) + len(own[v]) - len(shared(u, v))) for u in own for v in own if u < v and shared(u, v)}
+    assert {(r.u, r.v): r.jaccard for r in got.collect()} == pytest.approx(want)
