@@ -424,3 +424,14 @@ def test_pairs_of_sets_are_shuffled_as_lists(spark):
     shared = lambda u, v: (own[u] & own[v]) - {None}
     want = {(u, v): len(shared(u, v)) / (len(own[u]) + len(own[v]) - len(shared(u, v))) for u in own for v in own if u < v and shared(u, v)}
     assert {(r.u, r.v): r.jaccard for r in got.collect()} == pytest.approx(want)
+
+
+def test_exclusions_are_told_by_classes(spark, duck):
+    """Every pair of exclusions() is a pair of one class, and no other is; one row a feature."""
+    rows = [(g, s, 10 * g + k) for g in (1, 2) for k, s in enumerate([1, 1, 1, 2, 2, 3, None])]
+    df = spark.createDataFrame([*rows, (1, 1, 10)], "gene int, size int, u int")
+    got = coregulation.exclusion_classes(df, "u", ["gene", "size"]).collect()
+    assert {(r.gene, r.u, r.class_id, r.n_links) for r in got if r.gene == 1} == {(1, 10, 10, 2), (1, 11, 10, 2), (1, 12, 10, 2), (1, 13, 13, 1), (1, 14, 13, 1), (1, 15, 15, 0)}
+    pairs = {tuple(r) for r in coregulation.exclusions(df.dropna().selectExpr("u", "concat(gene, '|', size) AS locus"), "u", "locus").collect()}
+    assert pairs == {(a.u, b.u) for a in got for b in got if a.class_id == b.class_id and a.gene == b.gene and a.u < b.u}
+    assert catalog.QUERIES["exclusion_pairs"](spark, SF).count() == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
