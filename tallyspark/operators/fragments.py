@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 from .relations import hash_unit
 
+#: Sequences whose k-mers a task counts.
+SPREAD = 20_000
+
 
 def strand_specificity(pairs: DataFrame, match: Column) -> DataFrame:
     """One row: matches, mismatches, their specificity, and one less the entropy in bits."""
@@ -106,7 +109,12 @@ def histogram_lookup(bins: DataFrame, rows: DataFrame, x: str) -> DataFrame:
 
 
 def kmer_usage(sequences: DataFrame, key: str, text: str, k: int, segments: int, weight) -> DataFrame:
-    """(key, segment, kmer, best): the largest weight of each k-mer in each of a sequence's equal segments; weight(pos) gives a place's weight."""
-    places = sequences.where(F.char_length(text) >= k).select(key, text, F.explode(F.sequence(F.lit(1), F.char_length(text) - k + 1)).alias("pos"))
+    """(key, segment, kmer, best): the largest weight of each k-mer in each of a sequence's equal segments; weight(pos) gives a place's weight.
+
+    Rows are dealt out by key before they become places, SPREAD to a task: a file that fits one split holds many times its size in places.
+    """
+    long_enough = sequences.where(F.char_length(text) >= k).select(key, text)
+    dealt = long_enough.repartition(max(1, -(-long_enough.count() // SPREAD)), key)
+    places = dealt.select(key, text, F.explode(F.sequence(F.lit(1), F.char_length(text) - k + 1)).alias("pos"))
     segment = F.floor((F.col("pos") - 1) * segments / (F.char_length(text) - k + 1)).cast("int")
     return places.groupBy(key, segment.alias("segment"), F.substring(F.col(text), F.col("pos"), F.lit(k)).alias("kmer")).agg(F.max(weight(F.col("pos"))).alias("best"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import approximation, kernels, scalar
-from tallyspark.operators import compatibility, coregulation, effects, features, graph, intervals, likelihood, models, posterior, relations
+from tallyspark.operators import compatibility, coregulation, effects, features, fragments, graph, intervals, likelihood, models, posterior, relations
 from tallyspark.plans import catalog, more, store
 from tallyspark.sources import readers, sinks
 from tallyspark.streaming import counts
@@ -435,3 +435,23 @@ def test_exclusions_are_told_by_classes(spark, duck):
     pairs = {tuple(r) for r in coregulation.exclusions(df.dropna().selectExpr("u", "concat(gene, '|', size) AS locus"), "u", "locus").collect()}
     assert pairs == {(a.u, b.u) for a in got for b in got if a.class_id == b.class_id and a.gene == b.gene and a.u < b.u}
     assert catalog.QUERIES["exclusion_pairs"](spark, SF).count() == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
+
+
+def test_kmers_are_counted_in_tasks_of_few_sequences(spark, monkeypatch):
+    """A file of one split is dealt out before its sequences become places."""
+    monkeypatch.setattr(fragments, "SPREAD", 10)
+    df = spark.createDataFrame([(i, "abcabcab"[: i % 9]) for i in range(95)], "k int, s string").coalesce(1)
+    got = fragments.kmer_usage(df, "k", "s", 3, 2, lambda pos: pos)
+    assert got.rdd.getNumPartitions() == 7  # 63 sequences of three letters or more
+    assert {tuple(r) for r in got.where("k = 8").collect()} == {(8, 0, "abc", 1), (8, 0, "bca", 2), (8, 0, "cab", 3), (8, 1, "abc", 4), (8, 1, "bca", 5), (8, 1, "cab", 6)}
+
+
+def test_correlations_without_scales_are_sent_as_they_are(spark):
+    """Blocks follow the numbers in them; pairs are those of one square, and no scales are sent."""
+    x = np.random.default_rng(9).standard_normal((2500, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, x array<float>")
+    got = coregulation.correlated_pairs(df, "k", "x", least=0.97)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(x" not in plan and "scale" not in plan
+    c = np.corrcoef(x.astype(np.float64))
+    assert {(r.u, r.v) for r in got.collect()} == {(i, j) for i, j in zip(*np.nonzero(np.abs(c) >= 0.97)) if i < j}
