@@ -455,3 +455,13 @@ def test_correlations_without_scales_are_sent_as_they_are(spark):
     assert "cast(x" not in plan and "scale" not in plan
     c = np.corrcoef(x.astype(np.float64))
     assert {(r.u, r.v) for r in got.collect()} == {(i, j) for i, j in zip(*np.nonzero(np.abs(c) >= 0.97)) if i < j}
+
+
+def test_least_hashes_are_those_of_a_plain_loop():
+    for s, k in (("abcdefgabcdefg", 3), ("Ärger über ärger, ünd", 4), ("ab", 3), ("", 3), ("x" * 50, 8)):
+        want = {}
+        for x in {s[i : i + k] for i in range(len(s) - k + 1)}:
+            h = int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+            want[h % 7] = min(h, want.get(h % 7, h))
+        at, least = graph.least_hashes(s, k, 7)
+        assert dict(zip(at.tolist(), least.tolist(), strict=True)) == want
