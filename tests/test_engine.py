@@ -465,3 +465,14 @@ def test_least_hashes_are_those_of_a_plain_loop():
             want[h % 7] = min(h, want.get(h % 7, h))
         at, least = graph.least_hashes(s, k, 7)
         assert dict(zip(at.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_exons_and_numbers_are_made_in_tasks_told_by_rows(spark, monkeypatch):
+    """A task's share of lines and keys does not follow the session's partitions."""
+    monkeypatch.setattr(catalog, "LINES", 500)
+    monkeypatch.setattr(relations, "KEYS", 10)
+    n = catalog.table(spark, SF, "lineitem").count()
+    assert catalog.exons(spark, SF).rdd.getNumPartitions() == -(-n // 500)
+    rows = relations.dense_ids(spark.range(95).selectExpr("95 - id AS k"), ["k"])
+    assert [(r.k, r.id) for r in rows.orderBy("k").collect()] == [(i, i) for i in range(1, 96)]
+    assert rows.rdd.getNumPartitions() == 10
