@@ -287,8 +287,9 @@ def test_long_texts_are_sketched(spark, long_texts):
     assert got == least and {i for i, _ in got} == {1, 2}
     shared = sum(least.get((1, b)) == least.get((2, b)) is not None for b in range(200))
     union = len({b for _, b in least})
-    assert [tuple(r) for r in catalog.QUERIES["lsh_candidates_whole"](spark, long_texts[0]).collect()] == [(1, 2, shared)]
-    assert [tuple(r) for r in catalog.QUERIES["minhash_jaccard_whole"](spark, long_texts[0]).collect()] == [(1, 2, pytest.approx(shared / union, abs=1e-6))]
+    assert [tuple(r) for r in catalog.QUERIES["lsh_candidates_whole"](spark, long_texts[0]).orderBy("doc_id").collect()] == [(1, 1, 1, shared), (2, 2, 1, shared), (3, 3, 0, 0), (4, 4, 0, 0), (5, 5, 0, 0)]
+    near = pytest.approx(shared / union, abs=1e-6)
+    assert [tuple(r) for r in catalog.QUERIES["minhash_jaccard_whole"](spark, long_texts[0]).orderBy("doc_id").collect()] == [(1, 1, 1, near), (2, 2, 1, near), *((i, i, 0, None) for i in (3, 4, 5))]
 
 
 def test_long_texts_are_counted(spark, long_texts):
@@ -476,3 +477,26 @@ def test_exons_and_numbers_are_made_in_tasks_told_by_rows(spark, monkeypatch):
     rows = relations.dense_ids(spark.range(95).selectExpr("95 - id AS k"), ["k"])
     assert [(r.k, r.id) for r in rows.orderBy("k").collect()] == [(i, i) for i in range(1, 96)]
     assert rows.rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("least, at_once", [(40, 10), (10**6, 10**6)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, least, at_once):
+    """One row a key: the sums of its pairs, whatever the blocks, with copies as one class and a value that all keys share."""
+    monkeypatch.setattr(graph, "BLOCK_LEAST", least)
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    sets = [{b: int(rng.integers(3)) for b in range(70) if rng.random() < 0.2} | {64: 9} for _ in range(40)]
+    sets += sets[:10] + sets[:5]
+    rows = [(f"k{i:02d}", b, v) for i, s in enumerate(sets) for b, v in s.items()]
+    sketch = spark.createDataFrame(rows, "key string, bin long, value long")
+    names = [f"k{i:02d}" for i in range(len(sets))]
+    class_of = {n: names[sets.index(s)] for n, s in zip(names, sets, strict=True)}
+    matches = {(u, v): m for r in graph.bin_collisions(sketch, "key").collect() for (u, v), m in (((r.u, r.v), r.matches), ((r.v, r.u), r.matches))}
+    jaccard = {(u, v): j for r in graph.sketch_jaccard(sketch, "key").collect() for (u, v), j in (((r.u, r.v), r.jaccard), ((r.v, r.u), r.jaccard))}
+    for r in graph.sketch_links(sketch, "key").collect():
+        own = [v for u, v in matches if u == r.key]
+        far = [jaccard[r.key, v] for v in own if class_of[v] != class_of[r.key]]
+        assert (r.class_id, r.n_links, r.matches) == (class_of[r.key], len(own), sum(matches[r.key, v] for v in own)) and r.jaccard == pytest.approx(max(far))
+        names.remove(r.key)
+    assert not names
+    assert graph.sketch_links(sketch.where("false"), "key").count() == 0
