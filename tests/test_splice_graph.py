@@ -1,5 +1,6 @@
 """Splicing events of compressed graphs, by hand and against paths found by walking every transcript."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -64,3 +65,24 @@ def test_query_has_the_walked_paths(spark):
     want = sorted((*key, *p) for key, own in groups.items() for p in walked(own, key[1] == "+"))
     got = [(r.seqname, r.strand, r.tss, r["first"], r["last"], r.kinds, tuple(r.ids.split(","))) for r in splice_graph_events(spark, sf).collect()]
     assert sorted(got) == want and len(want) > 50
+
+
+def test_starts_are_taken_in_order_across_batches(spark):
+    """A task goes through its starts; one whose transcripts come in several batches is still one, and no start is a call of its own."""
+    rng = random.Random(5)
+    groups, rows = defaultdict(dict), []
+    for t in range(200):
+        e = [(10 * x, 10 * x + rng.choice((1, 4))) for x in sorted({1, *rng.sample(range(2, 9), 3)})]
+        key = (rng.choice("ab"), rng.choice("+-"))
+        groups[(*key, e[0][0] if key[1] == "+" else e[0][1])][f"t{t}"] = e
+        rows.append((f"t{t}", *key, e))
+    frame = spark.createDataFrame(rows, "transcript_id string, seqname string, strand string, exons array<struct<first:bigint,last:bigint>>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = features.splice_graph_events(frame)
+        got = sorted((*tuple(r)[:-1], tuple(r.ids)) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted((*key, *event) for key, own in groups.items() for event in splice_graph.events(own, key[1] == "+")) and len(got) > 50
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
