@@ -500,3 +500,18 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, least, at_once):
         names.remove(r.key)
     assert not names
     assert graph.sketch_links(sketch.where("false"), "key").count() == 0
+
+
+def test_components_are_dealt_out_by_number(spark, monkeypatch):
+    """Rounds have as many tasks as the edges ask for, whatever the session's partitions, and broadcast no labels."""
+    monkeypatch.setattr(graph, "EDGES", 10)
+    made, write = [], graph.materialize
+
+    def watched(df, name):
+        made.append((name, df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialize", watched)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
+    assert {tuple(r) for r in graph.connected_components(path).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert {n for name, n, _ in made if name == "labels"} == {9} and not any("Broadcast" in plan for *_, plan in made)
