@@ -3,7 +3,7 @@
 Texts with equal word sequences are one class. A class's minima make bands; their low bits are packed into a
 signature. Buckets of equal bands give candidate pairs of a pivot and a member; the signatures' agreeing bits,
 corrected for chance collisions, estimate the similarity, and pairs near the threshold or above are confirmed on
-their full shingle sets. Links become components by star contraction. Pivots are chosen again among the members
+their full shingle sets, unless the places that their shingles fill prove that they are not linked. Links become components by star contraction. Pivots are chosen again among the members
 that are still in different components until no bucket has an open pair, so that no link is lost to the choice.
 """
 
@@ -24,6 +24,8 @@ ROWS, BANDS, BITS = 4, 24, 2
 HASHES = 512  # of which ROWS * BANDS make the bands; all make the signature
 #: Five of the estimate's standard deviations at 0.8.
 MARGIN = 0.11
+#: Places of a set's shingles, by their low bits, in 64-bit words.
+PLACES = 1024
 #: Pivots of a bucket in the first rounds.
 POPULAR = (1, 16)
 _seeds = np.random.Generator(np.random.PCG64(20240607))
@@ -115,19 +117,34 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
+def places_of(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each place that a shingle of the set falls on, as 64-bit numbers."""
+    filled = np.zeros(PLACES, bool)
+    filled[(shingles % np.uint64(PLACES)).astype(np.intp)] = True
+    return np.packbits(filled, bitorder="little").view("<i8")
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False only if 100 * intersection < percent * union for certain: a place that one set alone fills holds at least one shingle that the other lacks."""
+    both = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseAND(F.col(f"{b}.{w}"))) for w in FILLED), F.lit(0))
+    most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.filled"), F.col(f"{b}.n") - F.col(f"{b}.filled"))
+    return (100 + percent) * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 SIGNATURE = [f"s{i}" for i in range(HASHES * BITS // 64)]
+FILLED = [f"f{i}" for i in range(PLACES // 64)]
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(_id, c1, c2, n, s0.., bands): class of equal word sequences, set size, signature, bands. One pass, no shuffle."""
-    names = ["_id", "c1", "c2", "n", *SIGNATURE, "bands"]
+    """(_id, c1, c2, n, s0.., f0.., bands): class of equal word sequences, set size, signature, places, bands. One pass, no shuffle."""
+    names = ["_id", "c1", "c2", "n", *SIGNATURE, *FILLED, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                c, n, s, b = [], [], [], []
+                c, n, s, f, b = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = shingles.words(text)
                     c.append(np.frombuffer(digest(words), "<i8"))
@@ -135,13 +152,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     n.append(len(own))
                     best = minima(own)
                     s.append(packed(best))
+                    f.append(places_of(own))
                     b.append(bands_of(best))
-                c, s = np.array(c).reshape(-1, 2), np.array(s).reshape(-1, len(SIGNATURE))
+                c, s, f = np.array(c).reshape(-1, 2), np.array(s).reshape(-1, len(SIGNATURE)), np.array(f).reshape(-1, len(FILLED))
                 lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32), np.array(b, np.int64).reshape(-1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in c.T), pa.array(n, pa.int64()), *(pa.array(x) for x in s.T), lists], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in c.T), pa.array(n, pa.int64()), *(pa.array(x) for x in s.T), *(pa.array(x) for x in f.T), lists], names=names)
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"_id {kind}, c1 bigint, c2 bigint, n bigint, {', '.join(f'{x} bigint' for x in SIGNATURE)}, bands array<bigint>"
+    schema = f"_id {kind}, c1 bigint, c2 bigint, n bigint, {', '.join(f'{x} bigint' for x in SIGNATURE + FILLED)}, bands array<bigint>"
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
 
 
@@ -236,9 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("c", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(banded.join(shared, "band"), "members")
-    signed = materialize(reps.select("c", "c1", "c2", "_id", "n", "bands", *SIGNATURE).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
+    signed = materialize(reps.select("c", "c1", "c2", "_id", "n", "bands", *SIGNATURE, *FILLED).join(members.groupBy("c").agg(F.sum("k").alias("popular")), "c"), "signatures")
     texts = materialize(member_texts(docs, signed.select("c", "c1", "c2", "_id"), id_col, text_col), "texts")
-    signatures = signed.select("c", "n", "bands", *SIGNATURE)
+    signatures = signed.select("c", "n", "bands", *SIGNATURE, *FILLED, sum((F.bit_count(w) for w in FILLED), F.lit(0)).alias("filled"))
     active = members.select("band", "at", "c").join(signed.select("c", "popular"), "c")
     roots = done = None
     number = 0
@@ -265,6 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             & (F.col("p.root") != F.col("m.root"))
             & (100 * F.least("p.n", "m.n") >= percent * F.greatest("p.n", "m.n"))
             & (estimate("p", "m") >= percent / 100 - MARGIN)
+            & may_link("p", "m", percent)
             & ~F.arrays_overlap(F.slice("p.bands", F.lit(1), F.col("p.at")), F.slice("m.bands", F.lit(1), F.col("p.at"))),
         )
         pairs = near.select(F.col("p.c").alias("u"), F.col("m.c").alias("v")).distinct()

@@ -402,6 +402,24 @@ def test_near_dedup_of_short_texts(spark):
     assert rows_of(near_dedup.near_duplicates(df, size=4)) == brute_components(rows)
 
 
+def test_minhash_places_rule_out_no_link(spark):
+    """True links pass the bound at every size; sets of 60 and 150 at 0.7 of each other do not."""
+    rng, made = np.random.default_rng(4), []
+    for n in (1, 5, 60, 400, 1200, 5000):
+        x = np.unique(rng.integers(0, 2**63, n + n // 4, np.uint64))
+        for a, b in ((x, x[: -(-4 * len(x) // 5)]), (x[len(x) // 9 :], x[: len(x) - len(x) // 9])):
+            both = len(np.intersect1d(a, b))
+            assert n < 5 or 100 * both >= 77 * (len(a) + len(b) - both)
+            made.append((100 * both >= 80 * (len(a) + len(b) - both), *((len(y), int(np.bitwise_count(near_dedup.places_of(y).view(np.uint64)).sum()), *near_dedup.places_of(y).tolist()) for y in (a, b))))
+    side = "struct<n: long, filled: long, " + ", ".join(f"{w}: long" for w in near_dedup.FILLED) + ">"
+    got = spark.createDataFrame(made, f"linked boolean, a {side}, b {side}").select("linked", near_dedup.may_link("a", "b", 80).alias("may")).collect()
+    assert all(r.may for r in got if r.linked) and sum(r.linked for r in got) >= 6
+    x = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in (60, 150)]
+    made = [(False, *((len(y), int(np.bitwise_count(near_dedup.places_of(y).view(np.uint64)).sum()), *near_dedup.places_of(y).tolist()) for y in (own, own[: 7 * len(own) // 10]))) for own in x]
+    got = spark.createDataFrame(made, f"linked boolean, a {side}, b {side}").select(near_dedup.may_link("a", "b", 80).alias("may")).collect()
+    assert not any(r.may for r in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(100, 140)] + [(7, 200)]
     roots = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
