@@ -2,7 +2,7 @@
 
 A file is a chain of small gzip blocks, and records run over their borders. A split finds the first block at or after its
 start, then the first place in it where a chain of records can begin, and owns the records that begin in blocks that begin
-before its end. Fields are taken from all records of a stretch at once.
+before its end. Fields are taken from all records of a stretch at once, and written for all rows of a batch at once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "read_name string, flag int, seqname string, pos bigint, mapq int, cigar array<struct<op:string,len:int>>, mate_seqname string, mate_pos bigint, template bigint"
@@ -115,16 +116,18 @@ class Blocks:
 
 
 class Stream:
-    """Inflated bytes of blocks, fetched as needed; `own` is how many of those held are of blocks that begin before `end`."""
+    """Inflated bytes of blocks, fetched as needed; `own` is how many of those held are of blocks that begin before `end`, `last` the place in the file and among them of the last block."""
 
     def __init__(self, blocks: Blocks, end: int):
-        self.blocks, self.end, self.data, self.own, self.ended, self.past = iter(blocks), end, bytearray(), 0, False, False
+        self.blocks, self.end, self.data, self.own, self.ended, self.past, self.last = iter(blocks), end, bytearray(), 0, False, False, (0, 0)
 
     def need(self, n: int, own: bool = False) -> bool:
         """Hold n bytes, if there are so many; of this split alone, if `own`."""
         while len(self.data) < n and not self.ended and not (own and self.past):
             at, data = next(self.blocks, (None, b""))
             self.ended, self.past = at is None, at is None or at >= self.end
+            if not self.ended:
+                self.last = at, len(self.data)
             self.data += data
             if not self.past:
                 self.own += len(data)
@@ -137,28 +140,55 @@ class Stream:
 
 @dataclass
 class Header:
-    names: list[str]
-    lengths: list[int]
-    size: int
+    """Sequences' names, with "*" behind them, and lengths; the records begin in the block at byte `at`, after `skip` bytes of it."""
+
+    names: pa.Array
+    lengths: np.ndarray
+    at: int
+    skip: int
 
 
 def read_header(stream: Stream) -> Header:
     def number(at: int) -> int:
-        if not stream.need(at + 4):
+        if at + 4 > len(stream.data) and not stream.need(at + 4):
             raise ValueError("the file ends in its header")
-        return struct.unpack_from("<i", stream.data, at)[0]
+        return int.from_bytes(stream.data[at : at + 4], "little", signed=True)
 
     if number(0) != int.from_bytes(b"BAM\x01", "little"):
         raise ValueError("not a BAM file")
     at = 8 + number(4)
-    n, names, lengths = number(at), [], []
+    n, starts, sizes = number(at), [], []
     at += 4
     for _ in range(n):
         k = number(at)
-        lengths.append(number(at + 4 + k))
-        names.append(stream.data[at + 4 : at + 3 + k].decode())
+        number(at + 4 + k)
+        starts.append(at + 4)
+        sizes.append(k)
         at += 8 + k
-    return Header(names, lengths, at)
+    raw, starts, sizes = np.frombuffer(bytes(stream.data[:at]), np.uint8), np.array(starts, np.int64), np.array(sizes, np.int64)
+    text, ends = _gather(raw, starts, sizes - 1)
+    names = pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes()))
+    lengths = _gather(raw, starts + sizes, np.full(n, 4))[0].view("<i4").astype(np.int64)
+    return Header(pa.concat_arrays([names, pa.array(["*"])]), lengths, stream.last[0], at - stream.last[1])
+
+
+#: Headers that a worker has read, the oldest first, by file.
+_HEADERS: dict[tuple, Header] = {}
+
+
+def header_of(store: fs.FileSystem, path: str) -> Header:
+    """A file's header. A worker reads many splits of a file, and lists of sequences can be long; the last four are kept."""
+    info = store.get_file_info(path)
+    key = store.type_name, path, info.size, info.mtime_ns
+    if key not in _HEADERS:
+        with store.open_input_file(path) as file:
+            header = read_header(Stream(Blocks(file, 0), 0))
+        if info.mtime_ns is None:
+            return header
+        while len(_HEADERS) >= 4:
+            del _HEADERS[next(iter(_HEADERS))]
+        _HEADERS[key] = header
+    return _HEADERS[key]
 
 
 def possible(stream: Stream, at: int, header: Header) -> int:
@@ -166,7 +196,7 @@ def possible(stream: Stream, at: int, header: Header) -> int:
     if not stream.need(at + FIELDS.size):
         return 0
     size, ref, pos, name, _, _, n_cigar, flag, bases, mate_ref, mate_pos, _ = FIELDS.unpack_from(stream.data, at)
-    n = len(header.names)
+    n = len(header.lengths)
     fits = lambda r, p: -1 <= r < n and -1 <= p and (r < 0 or p <= header.lengths[r])
     if not (name and bases >= 0 and flag < 4096 and fits(ref, pos) and fits(mate_ref, mate_pos)) or size < 32 + name + 4 * n_cigar + (bases + 1) // 2 + bases:
         return 0
@@ -249,19 +279,20 @@ def decode(data: bytes, starts: np.ndarray, names: pa.Array) -> pa.RecordBatch:
 
 def split_rows(store: fs.FileSystem, path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
     """Rows of the records that a split owns."""
+    header = header_of(store, path)
+    if header.at >= end:
+        return
     with store.open_input_file(path) as file:
-        header = read_header(Stream(Blocks(file, 0), 0))
-        blocks = Blocks(file, start)
-        if start and not blocks.find(end):
+        blocks = Blocks(file, max(start, header.at))
+        if start > header.at and not blocks.find(end):
             return
         stream = Stream(blocks, end)
-        if not start:
-            if not stream.need(header.size):
+        if start <= header.at:
+            if not stream.need(header.skip):
                 return
-            stream.drop(header.size)
+            stream.drop(header.skip)
         elif not first_record(stream, header):
             return
-        names = pa.array([*header.names, "*"])
         while stream.need(4) and stream.own > 0:
             stream.need(STRETCH, own=True)
             starts, at = [], 0
@@ -276,7 +307,7 @@ def split_rows(store: fs.FileSystem, path: str, start: int, end: int) -> Iterato
                 at += size
             if not starts:
                 return
-            yield decode(bytes(stream.data[:at]), np.array(starts, np.int64), names)
+            yield decode(bytes(stream.data[:at]), np.array(starts, np.int64), header.names)
             stream.drop(at)
 
 
@@ -306,19 +337,20 @@ class BlockWriter:
 
     def write(self, data: bytes) -> None:
         self.held += data
-        while len(self.held) >= 0xFF00:
-            self.flush(0xFF00)
+        at = 0
+        while len(self.held) - at >= 0xFF00:
+            self.flush(bytes(self.held[at : at + 0xFF00]))
+            at += 0xFF00
+        del self.held[:at]
 
-    def flush(self, n: int) -> None:
-        data = bytes(self.held[:n])
-        del self.held[:n]
+    def flush(self, data: bytes) -> None:
         deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
         body = deflate.compress(data) + deflate.flush()
         self.file.write(BLOCK_START + bytes([0, 0, 0, 0, 0, 255, 6, 0]) + b"BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
 
     def close(self) -> None:
         if self.held:
-            self.flush(len(self.held))
+            self.flush(bytes(self.held))
         self.file.write(END_BLOCK)
 
 
@@ -342,7 +374,57 @@ def record_bytes(row, number: dict[str, int]) -> bytes:
     return FIELDS.pack(32 + len(rest), *at("seqname", "pos"), len(name), row["mapq"] or 0, 0, len(packed), row["flag"], bases, *at("mate_seqname", "mate_pos"), row["template"] or 0) + rest
 
 
-class BamWriter(DataSourceWriter):
+def _fill(out: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+    """Put stretches that stand one after the other in the data at their places."""
+    out[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(len(data))] = data
+
+
+def _plain_bytes(batch: pa.RecordBatch, number: dict[str, int]) -> bytes:
+    """record_bytes() of all rows, none of which has too long a CIGAR."""
+    ints = lambda c: batch[c].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if batch["read_name"].null_count or batch["flag"].null_count:
+        raise ValueError("an alignment has no name or no flag")
+
+    def refs(column: str) -> np.ndarray:
+        coded = batch[column].dictionary_encode()
+        known = np.array([number.get(s, -1) for s in coded.dictionary.to_pylist()] + [-1], np.int64)
+        return known[coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
+
+    names = batch["read_name"].cast(pa.large_binary())
+    sizes = pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.list_value_length(batch["cigar"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ops = batch["cigar"].flatten()
+    codes = pc.index_in(ops.field("op"), pa.array(list(OPS)))
+    if codes.null_count or ops.field("len").null_count:
+        raise ValueError("a CIGAR has an unknown operation")
+    packed = (ops.field("len").to_numpy(zero_copy_only=False).astype("<u4") << 4 | codes.to_numpy(zero_copy_only=False).astype("<u4")).astype("<u4")
+    rows = {"size": 33 + sizes + 4 * counts, "ref": refs("seqname"), "pos": ints("pos") - 1, "name_length": sizes + 1, "mapq": ints("mapq"), "n_cigar": counts, "flag": ints("flag"), "mate_ref": refs("mate_seqname"), "mate_pos": ints("mate_pos") - 1, "template": ints("template")}
+    fields = np.zeros(len(batch), RECORD)
+    for name, values in rows.items():
+        kind = np.iinfo(RECORD[name])
+        if len(values) and not kind.min <= values.min() <= values.max() <= kind.max:
+            raise ValueError(f"{name} of an alignment is beyond what a record holds")
+        fields[name] = values
+    ends = np.cumsum(4 + rows["size"])
+    starts = ends - 4 - rows["size"]
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    out[starts[:, None] + np.arange(RECORD.itemsize)] = fields.view(np.uint8).reshape(-1, RECORD.itemsize)
+    _fill(out, starts + RECORD.itemsize, sizes, np.frombuffer(b"".join(names.to_pylist()), np.uint8))
+    _fill(out, starts + RECORD.itemsize + sizes + 1, 4 * counts, packed.view(np.uint8))
+    return out.tobytes()
+
+
+def batch_bytes(batch: pa.RecordBatch, number: dict[str, int]) -> Iterator[bytes]:
+    """Rows as records, all of a stretch at once; those of over 65,535 operations one by one."""
+    at = 0
+    for i in np.flatnonzero(pc.list_value_length(batch["cigar"]).fill_null(0).to_numpy(zero_copy_only=False) > 65_535):
+        yield _plain_bytes(batch.slice(at, i - at), number)
+        yield record_bytes(batch.slice(i, 1).to_pylist()[0], number)
+        at = i + 1
+    yield _plain_bytes(batch.slice(at), number)
+
+
+class BamWriter(DataSourceArrowWriter):
     """One file a task, whole with header and end; a file takes its name when it is complete, and no task replaces another's."""
 
     def __init__(self, path: str, sequences: list[tuple[str, int]]):
@@ -358,8 +440,9 @@ class BamWriter(DataSourceWriter):
         with store.open_output_stream(name + ".writing") as file:
             out = BlockWriter(file)
             out.write(header_bytes(self.sequences))
-            for row in iterator:
-                out.write(record_bytes(row, number))
+            for batch in iterator:
+                for data in batch_bytes(batch, number):
+                    out.write(data)
             out.close()
         message = WriterCommitMessage()
         message.file = name

@@ -4,6 +4,7 @@ import gzip
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from tallyspark.sources import bam, readers
@@ -129,3 +130,41 @@ def test_written_files_are_read_back(spark, reads, tmp_path):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, made.collect()))
     with pytest.raises(Exception, match="not overwritten"):
         made.write.format("bam").option("sequences", "chr1:5").mode("overwrite").save(str(tmp_path / "out"))
+
+
+def test_batches_are_written_as_their_rows(reads):
+    """A batch's bytes are those of its rows one by one: nulls, unknown sequences, and a CIGAR that goes into a tag among short ones."""
+    names = [n for n, _ in SEQUENCES]
+    number = {s: i for i, s in enumerate(names)}
+    rows = [{"read_name": n, "flag": f, "seqname": "*" if ref < 0 else names[ref], "pos": pos, "mapq": pos % 200, "cigar": [{"op": o, "len": k} for k, o in c], "mate_seqname": names[pos % 3], "mate_pos": pos, "template": -pos} for n, f, ref, pos, c in reads[:300]]
+    rows[7] |= {"cigar": None, "pos": None, "seqname": None, "mapq": None, "mate_seqname": None, "mate_pos": None, "template": None}
+    rows[8] |= {"read_name": "Läufer", "seqname": "elsewhere"}
+    for i in (100, 101, 299):
+        rows[i] |= {"cigar": [{"op": "MD"[j % 2], "len": 2} for j in range(66_000)]}
+    batch = pa.RecordBatch.from_pylist(rows, bam.ARROW)
+    for part, own in ((batch, rows), (batch.slice(5, 90), rows[5:95]), (batch.slice(0, 0), [])):
+        assert b"".join(bam.batch_bytes(part, number)) == b"".join(bam.record_bytes(r, number) for r in own)
+    for wrong in ({"read_name": None}, {"flag": None}, {"read_name": "n" * 255}, {"cigar": [{"op": "Q", "len": 1}]}, {"pos": 1 << 40}):
+        with pytest.raises(ValueError):
+            b"".join(bam.batch_bytes(pa.RecordBatch.from_pylist([rows[0] | wrong], bam.ARROW), number))
+
+
+def test_a_long_header_is_read_once_and_not_searched(tmp_path, monkeypatch):
+    """Splits that begin in a header of many sequences find the first record by what the header says, whatever place in a block it has."""
+    sequences = [(f"s{i}", 1_000 + i) for i in range(30_000)]
+    tries, heads, possible, read_header = [], [], bam.possible, bam.read_header
+    monkeypatch.setattr(bam, "possible", lambda stream, at, header: tries.append(at) or possible(stream, at, header))
+    monkeypatch.setattr(bam, "read_header", lambda stream: heads.append(1) or read_header(stream))
+    body = b"".join(record(f"r{i}", 0, 29_999 - i, i, [(10, "M")], 5) for i in range(3_000))
+    head = bam.header_bytes(sequences)
+    for name, cut in (("within.bam", len(head) // 2), ("before.bam", len(head))):
+        path = tmp_path / name
+        data = b"".join(block(x[i : i + 20_000]) for x in ((head + body)[:cut], (head + body)[cut:]) for i in range(0, len(x), 20_000)) + bam.END_BLOCK
+        path.write_bytes(data)
+        tries.clear(), heads.clear()
+        store = bam.store_of(str(path))[0]
+        got = [(r["read_name"], r["seqname"], r["pos"]) for a in range(0, len(data), 9_000) for b in bam.split_rows(store, str(path), a, min(len(data), a + 9_000)) for r in b.to_pylist()]
+        assert got == [(f"r{i}", f"s{29_999 - i}", i + 1) for i in range(3_000)]
+        assert len(heads) == 1 and len(tries) < 2_000
+        path.write_bytes(whole_file([record("other", 0, 1, 4, [(10, "M")], 5)], 20_000))
+        assert [r["seqname"] for b in bam.split_rows(store, str(path), 0, 10_000) for r in b.to_pylist()] == ["chr2"]
