@@ -95,7 +95,7 @@ class Block:
     """Features of one block: arrays are by feature, x and its variance by (sample, feature), effects by (factor, feature)."""
 
     x: np.ndarray
-    v: np.ndarray
+    v: np.ndarray | None  # None where x is sure
     about: np.ndarray  # the mean that kernels go by
     w: np.ndarray
     w_var: np.ndarray
@@ -112,7 +112,7 @@ class Block:
         n = x.shape[1]
         ones = np.ones((factors, n))
         known = seen_dev is not None
-        return cls(x, seen_dev**2 if known else np.zeros_like(x), about, 0 * ones, ones.copy(), x.mean(axis=0), ones.copy(), ones.copy(), np.log(np.maximum(x.std(axis=0), 0.1)), np.full(n, 0.1), x.copy() if known else None, seen_dev)
+        return cls(x, seen_dev**2 if known else None, about, 0 * ones, ones.copy(), x.mean(axis=0), ones.copy(), ones.copy(), np.log(np.maximum(x.std(axis=0), 0.1)), np.full(n, 0.1), x.copy() if known else None, seen_dev)
 
     def sweep(self, shared: Shared) -> None:
         """Effects and biases together, then local scales, then deviations; x too, where it is known up to a normal error."""
@@ -124,7 +124,8 @@ class Block:
         precise = np.exp(-2 * self.log_dev + 2 * self.log_dev_var)
         y = self.x + shared.scales[:, None] - bent
         prior = np.vstack([self.local1 * self.local2 * shared.shrink, np.full(len(precise), BIAS_DEVIATION**-2)])
-        inner = precise[:, None, None] * (z.T @ z) + prior.T[:, :, None] * np.eye(k + 1)
+        gram = z.T @ z
+        inner = precise[:, None, None] * gram + prior.T[:, :, None] * np.eye(k + 1)
         right = precise * (z.T @ y) + np.vstack([np.zeros_like(self.w), np.full(len(precise), -math.log(shared.features) * BIAS_DEVIATION**-2)])
         covariance = np.linalg.inv(inner)
         mean = np.einsum("fij,jf->if", covariance, right)
@@ -135,10 +136,11 @@ class Block:
             self.local1 = 1 / (1 / (1 + self.local1) + square * self.local2)
             self.local2 = 1 / (1 / (1 + self.local2) + square * self.local1)
         fitted = z @ mean
-        rest = ((y - fitted) ** 2 + np.einsum("si,fij,sj->sf", z, covariance, z) + self.v).sum(axis=0)
+        rest = ((y - fitted) ** 2 + (0 if self.v is None else self.v)).sum(axis=0) + covariance.reshape(len(precise), -1) @ gram.ravel()
         u = self.log_dev
         for _ in range(20):
-            a, b = rest * np.exp(-2 * u), rate * np.exp(-u)
+            inverse = np.exp(-u)
+            a, b = rest * inverse**2, rate * inverse
             u = u + np.clip((a + b - len(self.x) - shape) / (2 * a + b), -1, 1)
         self.log_dev, self.log_dev_var = u, 1 / (2 * rest * np.exp(-2 * u) + rate * np.exp(-u))
         if self.seen is not None:

@@ -45,12 +45,13 @@ def least_effects(loc: np.ndarray, scale: np.ndarray, coverage: float = 0.1, tol
     for _ in range(60):
         if not open_.any():
             break
-        d = (low + high) / 2
-        width = scale * math.sqrt(2)
-        covered = (_erf((d - loc) / width) - _erf((-d - loc) / width)) / 2
+        at = np.flatnonzero(open_)
+        d = (low[at] + high[at]) / 2
+        width = scale[at] * math.sqrt(2)
+        covered = (_erf((d - loc[at]) / width) - _erf((-d - loc[at]) / width)) / 2
         over = covered > coverage
-        high, low = np.where(open_ & over, d, high), np.where(open_ & ~over, d, low)
-        open_ &= np.abs(covered - coverage) > tolerance * coverage
+        high[at], low[at] = np.where(over, d, high[at]), np.where(over, low[at], d)
+        open_[at] = np.abs(covered - coverage) > tolerance * coverage
     return (low + high) / 2
 
 

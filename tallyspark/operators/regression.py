@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ from ..plans.scratch import materialize
 _ARRAYS = ("x", "v", "about", "w", "w_var", "bias", "local1", "local2", "log_dev", "log_dev_var", "seen", "seen_dev")
 _BY_CELL = ("x", "v", "seen", "seen_dev")
 _STATE = "block int, features array<string>, " + ", ".join(f"{a} array<double>" for a in _ARRAYS) + ", sums array<double>, change double"
+_BY_FACTOR = ("w", "w_var", "local1", "local2")
+_LISTS = pa.list_(pa.float64())
+_ARROW = pa.schema([("block", pa.int32()), ("features", pa.list_(pa.string())), *((a, _LISTS) for a in _ARRAYS), ("sums", _LISTS), ("change", pa.float64())])
+#: Tasks that first pack the blocks: this many, or one for each of so many blocks where that is more.
+TASKS, TASK_BLOCKS = 64, 16
 EFFECTS = "factor string, feature string, loc double, scale double, bias double, deviation double"
 
 
@@ -47,10 +53,28 @@ def _block(row, samples: int) -> regression.Block:
     for a in _ARRAYS:
         value = getattr(row, a)
         value = None if value is None else np.array(value, float)
-        shaped[a] = value if value is None or a not in (*_BY_CELL, "w", "w_var", "local1", "local2") else value.reshape(samples if a in _BY_CELL else -1, n)
+        shaped[a] = value if value is None or a not in (*_BY_CELL, *_BY_FACTOR) else value.reshape(samples if a in _BY_CELL else -1, n)
     return regression.Block(**shaped)
 
 
+def _arrow_blocks(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[tuple[int, pa.Array, regression.Block]]:
+    """(number, names of its features, block) of the rows of a state."""
+    for batch in batches:
+        for i in range(len(batch)):
+            names = batch["features"][i].values
+            shaped = {a: batch[a][i].values.to_numpy() if batch[a][i].is_valid else None for a in _ARRAYS}
+            for a in (*_BY_CELL, *_BY_FACTOR):
+                shaped[a] = None if shaped[a] is None else shaped[a].reshape(samples if a in _BY_CELL else -1, len(names))
+            yield batch["block"][i].as_py(), names, regression.Block(**shaped)
+
+
+def _arrow_row(number: int, names: pa.Array, block: regression.Block, sums: np.ndarray, change: float) -> pa.RecordBatch:
+    row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    values = [getattr(block, a) for a in _ARRAYS]
+    lists = [pa.nulls(1, _LISTS) if v is None else row(pa.array(v.ravel())) for v in (*values, sums)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), row(names), *lists, pa.array([change], pa.float64())], schema=_ARROW)
+
+
 def _advance(block: regression.Block, shared: regression.Shared, sweeps: int) -> tuple[np.ndarray, float]:
     """(sums, largest change of an effect in posterior deviations) of some sweeps."""
     before = block.w.copy()
@@ -62,13 +86,11 @@ def _advance(block: regression.Block, shared: regression.Shared, sweeps: int) ->
 def _swept(state: DataFrame, shared: regression.Shared, sweeps: int) -> DataFrame:
     samples = len(shared.design)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                block = _block(row, samples)
-                yield pd.DataFrame([_row(row.block, list(row.features), block, *_advance(block, shared, sweeps))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, names, block in _arrow_blocks(batches, samples):
+            yield _arrow_row(number, names, block, *_advance(block, shared, sweeps))
 
-    return state.mapInPandas(run, _STATE)
+    return state.mapInArrow(run, _STATE)
 
 
 def _summed(state: DataFrame, size: int) -> tuple[np.ndarray, float]:
@@ -103,14 +125,13 @@ def _start(about: DataFrame, matrix: np.ndarray, scales: np.ndarray, count: int,
 
 
 def _effects(state: DataFrame, factors: list[str], shared: regression.Shared) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                block = _block(row, len(shared.design))
-                for k, factor in enumerate(factors):
-                    yield pd.DataFrame({"factor": factor, "feature": row.features, "loc": block.w[k], "scale": np.sqrt(block.w_var[k]), "bias": block.bias, "deviation": np.exp(block.log_dev)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, block in _arrow_blocks(batches, len(shared.design)):
+            for k, factor in enumerate(factors):
+                values = {"loc": block.w[k], "scale": np.sqrt(block.w_var[k]), "bias": block.bias, "deviation": np.exp(block.log_dev)}
+                yield pa.RecordBatch.from_pydict({"factor": pa.array([factor]).take(pa.array(np.zeros(len(names), np.int32))), "feature": names, **{c: pa.array(v) for c, v in values.items()}})
 
-    return state.mapInPandas(run, EFFECTS)
+    return state.mapInArrow(run, EFFECTS)
 
 
 def _cells(state: DataFrame, samples: list[str]) -> DataFrame:
@@ -140,15 +161,16 @@ def regress(expression: DataFrame, design: DataFrame, scales: DataFrame | None =
     """
     samples, factors, matrix = design_of(design, sample)
     number = {s: i for i, s in enumerate(samples)}
-    cells = expression.select(F.col(sample).cast("string").alias("sample"), F.col(feature).cast("string").alias("feature"), F.col(x).cast("double").alias("x"), (F.col(deviation).cast("double") if deviation else F.lit(None).cast("double")).alias("dev"))
-    cells = cells.where(F.col("sample").isin(samples) & F.col("x").isNotNull())
-    about = materialize(cells.groupBy("feature").agg(F.avg("x").alias("about")), "means")
+    listed = F.broadcast(expression.sparkSession.createDataFrame(list(number.items()), "sample string, at int"))  # as long as the design
+    cells = expression.select(F.col(sample).cast("string").alias("sample"), F.col(feature).cast("string").alias("feature"), F.col(x).cast("double").alias("x"), *([F.col(deviation).cast("double").alias("dev")] if deviation else []))
+    cells = cells.where("x IS NOT NULL").join(listed, "sample").drop("sample")
+    about = cells.groupBy("feature").agg(F.avg("x").alias("about"))
     shared = _start(about, matrix, _scales_of(scales, sample, samples), degree, bandwidth)
     blocks = -(-shared.features // block_features)
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(frame.feature.unique())
-        at = frame["sample"].map(number).to_numpy(), np.searchsorted(names, frame.feature.to_numpy())
+        own, names = pd.factorize(frame.feature, sort=True)
+        at = frame["at"].to_numpy(), own
         table = np.full((len(samples), len(names)), np.nan)
         table[at] = frame.x
         if len(frame) != table.size or np.isnan(table).any():
@@ -162,7 +184,8 @@ def regress(expression: DataFrame, design: DataFrame, scales: DataFrame | None =
         block = regression.Block.start(table, table.mean(axis=0), len(factors), errors)
         return pd.DataFrame([_row(int(key[0]), list(names), block, np.zeros(0), 0.0)])
 
-    packed = cells.groupBy(F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int").alias("block")).applyInPandas(pack, _STATE)
+    tasks = min(blocks, max(TASKS, -(-blocks // TASK_BLOCKS)))
+    packed = cells.withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")).repartition(tasks, "block").groupBy("block").applyInPandas(pack, _STATE)
     state, shared, n, converged = _rounds(materialize(packed, "regression"), shared, lambda s, g, _: _swept(s, g, sweeps), rounds, tolerance, distort)
     return Fit(_effects(state, factors, shared), _cells(state, samples), n, converged)
 

@@ -4,11 +4,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tallyspark.functions import density, kernels
 from tallyspark.functions import regression as kernel
 from tallyspark.operators import effects, regression
+from tallyspark.plans import regressions
 
 
 def random_tree(n, pick):
@@ -177,3 +179,61 @@ def test_regression_from_stored_approximations(spark):
     assert inside.mean() > 0.9 and np.abs(got["loc"].to_numpy() - w).max() < 0.5
     tpm = regression.expression_tpm(fit.expression).groupBy("sample").sum("tpm").collect()
     assert all(math.isclose(r[1], 1e6, rel_tol=1e-9) for r in tpm)
+
+
+def test_blocks_pass_through_arrow_as_they_are():
+    """A block's row gives the same block back, with and without values that are known up to an error."""
+    pick = np.random.default_rng(8)
+    x, names = pick.normal(size=(5, 3)), pa.array(["a", "b", "c"])
+    for errors in (None, pick.uniform(1, 2, (5, 3))):
+        block = kernel.Block.start(x, x.mean(axis=0), 2, errors)
+        block.w = pick.normal(size=(2, 3))
+        rows = [regression._arrow_row(i, names, block, np.arange(4.0), 0.5) for i in (3, 9)]
+        back = list(regression._arrow_blocks([pa.Table.from_batches(rows).combine_chunks().to_batches()[0]], 5))
+        assert [(n, f.to_pylist()) for n, f, _ in back] == [(3, names.to_pylist()), (9, names.to_pylist())]
+        for _, _, got in back:
+            for a in regression._ARRAYS:
+                assert (getattr(got, a) is None) == (getattr(block, a) is None) and (getattr(got, a) is None or np.array_equal(getattr(got, a), getattr(block, a)))
+
+
+def test_sum_of_residuals_is_that_of_its_parts():
+    """A feature's residuals take in what the effects' covariance adds in each sample; here by a loop over samples."""
+    pick = np.random.default_rng(9)
+    design = np.hstack([np.repeat(np.eye(2), 3, axis=0), pick.normal(size=(6, 1))])
+    x, ones = pick.normal(size=(6, 4)), 1.3 * np.ones(3)
+    shared = kernel.Shared(design, pick.normal(size=6), kernel.knots(-1, 1, 3), 1.0, 4, shape=ones, rate=ones.copy(), distortion=np.zeros((3, 3)))
+    block = kernel.Block.start(x, x.mean(axis=0), 3, None)
+    z, precise = np.hstack([design, np.ones((6, 1))]), np.exp(-2 * block.log_dev + 2 * block.log_dev_var)
+    prior = [np.diag([*(block.local1 * block.local2)[:, f] * shared.shrink, kernel.BIAS_DEVIATION**-2]) for f in range(4)]
+    covariance = [np.linalg.inv(precise[f] * z.T @ z + prior[f]) for f in range(4)]
+    block.sweep(shared)
+    rest = [sum((x[s, f] + shared.scales[s] - z[s] @ [*block.w[:, f], block.bias[f]]) ** 2 + z[s] @ covariance[f] @ z[s] for s in range(6)) for f in range(4)]
+    weights = kernel.kernel_shares(block.about, shared.knots, 1.0)
+    slope = np.array(rest) * np.exp(-2 * block.log_dev) + weights @ shared.rate * np.exp(-block.log_dev) - 6 - weights @ shared.shape
+    assert np.allclose(slope, 0, atol=1e-9)
+
+
+def test_transcript_regression_makes_expression_once(spark, tmp_path, monkeypatch):
+    """Each nation that ships has a value for each part, of lines with known parts and nations alone, and what follows reads it from one table."""
+    tables = {
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 0), (2, 1), (3, 1), (4, None), (5, 7)]),
+        "part": ("p_partkey long", [(10,), (11,), (12,)]),
+        "lineitem": ("l_suppkey long, l_partkey long, l_quantity double", [(1, 10, 4.0), (1, 10, 3.0), (2, 10, 1.0), (3, 10, 1.0), (3, 11, None), (4, 10, 9.0), (9, 10, 9.0), (2, 99, 5.0), (2, None, 5.0)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 1), (7, 1)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, regress = [], regression.regress
+    monkeypatch.setattr(regressions.regression, "regress", lambda x, *a, **k: seen.append(x) or regress(x, *a, **k))
+    got = regressions.transcript_regression(spark, str(tmp_path))
+    assert got.count() == 3 and not [f for f in seen[0].inputFiles() if "lineitem" in f]
+    assert {(r.sample, r.feature): round(r.x, 9) for r in seen[0].collect()} == {(0, 10): round(math.log(8), 9), (1, 10): round(math.log(3), 9), **{(s, f): 0.0 for s in (0, 1) for f in (11, 12)}}
+
+
+def test_blocks_are_packed_by_many_tasks(spark, monkeypatch):
+    """However few partitions shuffles have: a table of few files is read in few tasks in all of the rounds."""
+    x, _, _, names, design = planted(300, 4, np.random.default_rng(10))
+    made, materialize = [], regression.materialize
+    monkeypatch.setattr(regression, "materialize", lambda df, name: made.append((name, df.rdd.getNumPartitions())) or materialize(df, name))
+    regression.regress(long_of(spark, x, names), spark.createDataFrame(design), block_features=10, rounds=1)
+    assert made[0] == ("regression", 30)
