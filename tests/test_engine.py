@@ -523,7 +523,7 @@ def test_pairs_of_sketches_are_all_given(spark, monkeypatch, least, at_once, mem
     assert graph.sketch_pairs(sketch.where("false"), "key").count() == 0
 
 
-@pytest.mark.parametrize("name", ["lsh_candidates", "lsh_candidates_whole", "minhash_jaccard_whole"])
+@pytest.mark.parametrize("name", ["lsh_candidates", "lsh_candidates_whole", "minhash_jaccard", "minhash_jaccard_whole"])
 def test_queries_of_sketches_give_pairs(spark, duck, name):
     """A row for every pair of documents, copies too, as the reference's candidates are."""
     got = catalog.QUERIES[name](spark, SF)
