@@ -434,7 +434,20 @@ def test_exclusions_are_told_by_classes(spark, duck):
     assert {(r.gene, r.u, r.class_id, r.n_links) for r in got if r.gene == 1} == {(1, 10, 10, 2), (1, 11, 10, 2), (1, 12, 10, 2), (1, 13, 13, 1), (1, 14, 13, 1), (1, 15, 15, 0)}
     pairs = {tuple(r) for r in coregulation.exclusions(df.dropna().selectExpr("u", "concat(gene, '|', size) AS locus"), "u", "locus").collect()}
     assert pairs == {(a.u, b.u) for a in got for b in got if a.class_id == b.class_id and a.gene == b.gene and a.u < b.u}
-    assert catalog.QUERIES["exclusion_pairs"](spark, SF).count() == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
+    assert catalog.QUERIES["exclusion_pairs"](spark, SF).count() == duck.sql(f"SELECT count(*) FROM ({catalog.ORACLE_SQL['exclusion_pairs']})").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("members", [3, 1000])
+def test_exclusions_are_all_pairs(spark, duck, monkeypatch, members):
+    """Every pair of a group is a row, whatever the blocks; null keys are no group, and tasks follow the pairs."""
+    monkeypatch.setattr(coregulation, "MEMBERS", members)
+    monkeypatch.setattr(coregulation, "PAIRS", 50)
+    rows = [(g, s, 100 * g + k) for g in (1, 2, 3) for k, s in enumerate([1] * 17 + [2, 2, 3, None])]
+    rows += [(None, 1, 7), (None, 1, 8)]
+    got = coregulation.pairs_within(spark.createDataFrame(rows, "gene int, size int, x int"), "x", ["gene", "size"])
+    assert got.rdd.getNumPartitions() == 9
+    assert sorted((r.gene, r["size"], r.u, r.v) for r in got.collect()) == sorted((*a[:2], a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and None not in a and a[2] < b[2])
+    assert list(catalog.QUERIES["exclusion_pairs"](spark, SF).columns) == ["gene", "u", "v"]
 
 
 def test_kmers_are_counted_in_tasks_of_few_sequences(spark, monkeypatch):
