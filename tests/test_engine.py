@@ -413,6 +413,17 @@ def test_nearest_neighbours_screen_pairs_in_blocks(spark):
     assert {tuple(r) for r in graph.nearest_neighbours(df.where("k < 3"), "k", "x", 5).select("u", "v").collect()} == {(u, v) for u in range(3) for v in range(3) if u != v}
 
 
+def test_neighbours_of_all_vectors_are_asked_for(spark):
+    """As the reference's knn has them: five edges of every vector, and the share of all."""
+    e = catalog.table(spark, SF, "embeddings").toPandas()
+    x = np.stack(e.embedding).astype(float)
+    order = [sorted((v for v in range(len(x)) if v != u), key=lambda v, u=u: (((x[u] - x[v]) ** 2).sum(), e.vec_id[v]))[:8] for u in range(len(x))]
+    got = catalog.QUERIES["knn_edges"](spark, SF).collect()
+    assert len(got) == 5 * len(e) and {(r.u, r.v) for r in got} == {(e.vec_id[u], e.vec_id[v]) for u, near in enumerate(order) for v in near[:5]}
+    a, b = ({tuple(sorted((u, v))) for u, near in enumerate(order) for v in near[part]} for part in (slice(5), slice(2, 8)))
+    assert tuple(catalog.QUERIES["knn_agreement"](spark, SF).first())[:2] == (len(a & b), len(a | b))
+
+
 def test_pairs_of_sets_are_shuffled_as_lists(spark):
     """Pairs are shuffled once, in tasks told by their number, whatever the session's partitions; members without a name count in a set's size."""
     rng = np.random.default_rng(6)
