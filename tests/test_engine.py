@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import approximation, kernels, scalar
+from tallyspark.functions import approximation, hashes, kernels, scalar
 from tallyspark.operators import compatibility, coregulation, effects, features, fragments, graph, intervals, likelihood, models, posterior, relations
 from tallyspark.plans import catalog, more, store
 from tallyspark.sources import readers, sinks
@@ -491,6 +491,24 @@ def test_least_hashes_are_those_of_a_plain_loop():
         assert dict(zip(at.tolist(), least.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("at_once, characters", [(5, 20), (32_768, 500_000)])
+def test_kmers_of_many_texts_are_hashed_at_once(monkeypatch, at_once, characters):
+    """Digests are those of the library: of letters of one to four bytes, one block or more, either direction, and no k-mer crosses texts."""
+    monkeypatch.setattr(hashes, "AT_ONCE", at_once)
+    monkeypatch.setattr(hashes, "CHARACTERS", characters)
+    texts = ["abcé" * 9, "", "日本語テキスト😀" * 5, "ab", "x" * 150, "GATTACAN" * 4, "TGé"]
+    back = [t.translate(str.maketrans("ACGT", "TGCA"))[::-1] for t in texts]
+    for k in (1, 3, 8, 32, 60, 130):
+        for other in (None, back):
+            want = np.full((len(texts), 7), -1)
+            for i, t in enumerate(texts):
+                for j in range(len(t) - k + 1):
+                    x = t[j : j + k] if other is None else min(t[j : j + k], other[i][len(t) - k - j : len(t) - j])
+                    h = int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+                    want[i, h % 7] = h if want[i, h % 7] < 0 else min(h, want[i, h % 7])
+            assert (hashes.least_of_bins(texts, k, 7, other) == want).all()
+
+
 def test_exons_and_numbers_are_made_in_tasks_told_by_rows(spark, monkeypatch):
     """A task's share of lines and keys does not follow the session's partitions."""
     monkeypatch.setattr(catalog, "LINES", 500)
