@@ -437,6 +437,19 @@ def test_pairs_of_sets_are_shuffled_as_lists(spark):
     assert {(r.u, r.v): r.jaccard for r in got.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("shift, kind, packed", [(0, "int", True), (2**55, "long", True), (2**62, "long", False), (-30, "int", False), (0, "string", False)])
+def test_keys_and_sizes_of_sets_are_one_number_where_they_fit(spark, shift, kind, packed):
+    """Half of what is shuffled; keys that leave no room, and those that are no numbers, are sent as before."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(a) + shift, int(b)) for a, b in rng.integers(0, 60, (900, 2))})
+    own = {k: {m for a, m in rows if a == k} for k, _ in rows}
+    name = str if kind == "string" else int
+    got = graph.set_jaccard(spark.createDataFrame([(name(k), m) for k, m in rows], f"k {kind}, m int"), "k", "m")
+    assert ("shiftright" in got._jdf.queryExecution().optimizedPlan().toString()) == packed and got.schema["u"].dataType.simpleString() == spark.createDataFrame([], f"k {kind}").schema["k"].dataType.simpleString()
+    want = {(name(u), name(v)): len(own[u] & own[v]) / len(own[u] | own[v]) for u in own for v in own if name(u) < name(v) and own[u] & own[v]}
+    assert {(r.u, r.v): r.jaccard for r in got.collect()} == pytest.approx(want)
+
+
 def test_exclusions_are_told_by_classes(spark, duck):
     """Every pair of exclusions() is a pair of one class, and no other is; one row a feature."""
     rows = [(g, s, 10 * g + k) for g in (1, 2) for k, s in enumerate([1, 1, 1, 2, 2, 3, None])]
